@@ -13,19 +13,23 @@ from litspark import schema
 from litspark.functions import text, vectors
 
 
-def hashed_weights(df: DataFrame, dim: int, key: str = "paper_id", body: str = "text") -> DataFrame:
-    """(key, pos, weight): unit-length feature-hashed word counts, non-zero places only.
+def _place_counts(df: DataFrame, dim: int, key: str, body: str) -> DataFrame:
+    """(key, pos, count): signed word counts; a text without words keeps one row with a null place.
 
-    A word adds +1 or -1 at the place its md5 names. Texts are spread by key once; both counts per
-    (key, pos) and lengths per key then work inside those partitions.
+    A word adds +1 or -1 at the place its md5 names. Texts are spread by key once; the counts here
+    and all later steps per key work inside those partitions.
     """
     spread = df.select(key, F.col(body).alias("_text")).repartition(F.col(key))
-    word = spread.select(key, F.explode(text.words(F.col("_text"))).alias("word"))
-    code = word.select(key, F.md5("word").alias("h"))
+    code = spread.select(key, F.explode_outer(text.words(F.col("_text"))).alias("word")).select(key, F.md5("word").alias("h"))
     place = F.pmod(F.conv(F.substring("h", 1, 8), 16, 10).cast("bigint"), F.lit(dim)).cast("int")
     sign = F.lit(1) - 2 * (F.conv(F.substring("h", 9, 1), 16, 10).cast("int") % 2)
-    counted = code.groupBy(key, place.alias("pos")).agg(F.sum(sign).alias("count")).filter("count <> 0")
+    return code.groupBy(key, place.alias("pos")).agg(F.sum(sign).alias("count"))
+
+
+def hashed_weights(df: DataFrame, dim: int, key: str = "paper_id", body: str = "text") -> DataFrame:
+    """(key, pos, weight): unit-length feature-hashed word counts, non-zero places only."""
     length = F.sqrt(F.sum(F.col("count") * F.col("count")).over(Window.partitionBy(key)))
+    counted = _place_counts(df, dim, key, body).filter(F.col("count") != 0)
     return counted.select(key, "pos", (F.col("count") / length).alias("weight"))
 
 
@@ -34,15 +38,16 @@ def hashing_encode(df: DataFrame, dim: int = schema.DEFAULT_DIM, key: str = "pap
 
     Texts without any word give the zero vector.
     """
-    places = hashed_weights(df, dim, key, body).groupBy(key).agg(
-        F.map_from_entries(F.collect_list(F.struct("pos", "weight"))).alias("at")
+    entry = F.when(F.col("count") != 0, F.struct("pos", "count"))
+    places = _place_counts(df, dim, key, body).groupBy(key).agg(
+        F.map_from_entries(F.collect_list(entry)).alias("at"),
+        F.sqrt(F.sum(F.col("count") * F.col("count"))).alias("length"),
     )
     dense = F.transform(
-        F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(F.col("at")[i], F.lit(0.0)).cast("float")
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: F.coalesce(F.col("at")[i] / F.col("length"), F.lit(0.0)).cast("float"),
     )
-    zero = F.array_repeat(F.lit(0.0).cast("float"), dim)
-    encoded = places.select(key, dense.alias("embedding"))
-    return df.select(key).join(encoded, key, "left").select(key, F.coalesce("embedding", zero).alias("embedding"))
+    return places.select(key, dense.alias("embedding"))
 
 
 def model_encode(

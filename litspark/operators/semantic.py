@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from litspark.functions import text
+from litspark.functions import periods, text
 from litspark.operators.ranks import top_k
 from litspark.operators.search import numbered, prefilter, result_order
 
@@ -62,7 +62,7 @@ def similar_papers(
 ) -> DataFrame:
     """All papers of a similarity search, in no order."""
     if year_from is not None and year_to is not None and "period" in embeddings.columns:
-        embeddings = prefilter(embeddings.withColumn("year", F.lit(year_from)), None, year_from, year_to)
+        embeddings = embeddings.filter(F.col("period").isin(periods.periods_between(year_from, year_to)))
     close = dot_scores(embeddings, query).filter(F.col("similarity") >= min_similarity)
     wanted = prefilter(papers, journals, year_from, year_to).filter(text.has_real_abstract(F.col("abstract")))
     return wanted.drop("abstract").join(close, "paper_id")
