@@ -37,3 +37,18 @@ def periods_between(year_from: int, year_to: int) -> list[str]:
         for name, lo, hi in schema.PERIODS
         if (hi is None or year_from < hi) and (lo is None or year_to >= lo)
     ]
+
+
+def period_dimension(spark):
+    """(period, lo, hi) rows, six of them."""
+    return spark.createDataFrame(schema.PERIODS, "period string, lo int, hi int")
+
+
+def by_range(papers, dimension):
+    """Period by range lookup in a dimension table instead of a fixed expression.
+
+    The dimension has one row per period and is broadcast; every paper meets exactly one of them.
+    """
+    dim = F.broadcast(dimension.withColumnRenamed("period", "found_period"))
+    inside = (F.coalesce("lo", F.lit(-32768)) <= F.col("year")) & (F.col("year") < F.coalesce("hi", F.lit(32767)))
+    return papers.join(dim, inside).drop("lo", "hi")

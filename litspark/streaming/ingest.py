@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from litspark import schema
 from litspark.operators import clean
+from litspark.operators.encode import with_text
 from litspark.plans.curate import with_period
 from litspark.sources.staging import stage
 
@@ -50,7 +51,7 @@ def add_unseen(spark: SparkSession, batch: DataFrame, batch_id: int, table: str,
         new = new.join(seen.select("paper_id"), "paper_id", "left_anti")
     if encoder is not None:
         new = stage(new)
-        texts = new.select("paper_id", F.concat("title", F.lit(" "), F.coalesce("abstract", F.lit(""))).alias("text"))
+        texts = with_text(new).select("paper_id", "text")
         new = new.join(encoder(texts), "paper_id")
     out = new.drop("ord").withColumn("batch_id", F.lit(batch_id))
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "period").parquet(table)
