@@ -50,7 +50,7 @@ def _rounded(df: DataFrame, *columns: str) -> DataFrame:
 
 @query
 def scan_papers(spark, sf):
-    return fx.papers_raw(spark, sf)
+    return fx.papers_raw(spark, sf).withColumn("year", F.col("year").cast("string"))
 
 
 @query
@@ -62,7 +62,8 @@ def na_normalise(spark, sf):
 def type_year(spark, sf):
     good, bad = clean.type_year(fx.cell_texts(spark, sf).select("ord", F.col("year"), F.col("year").alias("year_text")))
     rejects = bad.select("ord", F.lit(None).cast("smallint").alias("year"), "year_text", F.lit(True).alias("rejected"))
-    return good.withColumn("rejected", F.lit(False)).unionByName(rejects)
+    both = good.withColumn("rejected", F.lit(False)).unionByName(rejects)
+    return both.withColumn("year", F.col("year").cast("string"))
 
 
 @query
@@ -326,7 +327,8 @@ def manifest_rows(spark, sf):
     document = mf.manifest_document(fx.manifest(spark, sf), schema.DEFAULT_MODEL, fx.DIM)
     written = document.select(F.to_json(F.struct("*")).alias("json"))
     rows = _rounded(mf.manifest_rows(mf.parse_manifest(written)), "file_size_mb")
-    return rows.withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
+    as_text = {c: F.col(c).cast("string") for c in ("first_index", "last_index")}
+    return rows.withColumns(as_text).withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query
