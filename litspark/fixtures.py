@@ -62,22 +62,31 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored vectors of papers: (paper_id, ord, year, period, embedding, batch)."""
-    narrow = papers(spark, sf_dir).select("paper_id", "ord", "year", "period")
-    stored = embeddings(spark, sf_dir).select("paper_id", "embedding")
-    return narrow.join(stored, "paper_id").withColumn("batch", F.lit(0))
+
+    def build() -> DataFrame:
+        narrow = papers(spark, sf_dir).select("paper_id", "ord", "year", "period")
+        stored = embeddings(spark, sf_dir).select("paper_id", "embedding")
+        return narrow.join(stored, "paper_id").withColumn("batch", F.lit(0))
+
+    return snapshot(spark, "vectors", f"{sf_dir}/embeddings.parquet", build, ["period"])
 
 
 def minutes_after(start: str, minutes):
     return F.timestamp_seconds(F.unix_timestamp(F.lit(start)) + minutes * 60)
 
 
-def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries of the stored vectors, made two minutes per paper after a fixed start."""
     return maintain.manifest_build(
         maintain.half_split(vectors(spark, sf_dir)), minutes_after("2026-03-01 00:00:00", F.col("num_papers") * 2)
     )
 
 
+def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same entries as they were stored."""
+    return snapshot(spark, "manifest", f"{sf_dir}/embeddings.parquet", lambda: build_manifest(spark, sf_dir))
+
+
 def source_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(period, mtime): sources changed one minute per paper after the same start."""
     counts = papers(spark, sf_dir).groupBy("period").agg(F.count(F.lit(1)).alias("n"))

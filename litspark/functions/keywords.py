@@ -39,7 +39,7 @@ def query_groups_col(query: Column) -> Column:
 
 
 def keyword_predicate(query: str, info_upper: Column) -> Column:
-    """Predicate of one query: plain literal ``contains`` calls, which stay inside generated code."""
+    """Predicate of one query over upper-cased text: literal ``contains`` calls."""
     needed = [g for g in query_groups(query) if "" not in g]
     per_group = [
         reduce(lambda a, b: a | b, [F.contains(info_upper, F.upper(F.lit(t))) for t in g]) for g in needed

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from litspark import schema
 
 
+def bind(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once per row.
+
+    Named columns do not ensure that: the optimiser puts their definition in place of every use.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def na_normalise(c: Column) -> Column:
     """Null for the cell texts that stand for a missing value."""
     return F.when(~c.isin(schema.NA_TOKENS), c)

@@ -13,7 +13,7 @@ from litspark import schema
 from litspark.functions import periods, vectors
 from litspark.functions.text import embedding_text
 from litspark.operators.maintain import expected_entries, stale_periods
-from litspark.operators.ranks import sample_k
+from litspark.operators.ranks import sample_k, small
 
 CHECK_COLUMNS = ["check", "period", "expected", "actual", "passed", "required"]
 
@@ -32,7 +32,7 @@ def period_counts(papers: DataFrame) -> DataFrame:
 def missing_entries(entries: DataFrame) -> DataFrame:
     """(file_entry, present) for every file a complete table has."""
     known = entries.select("file_entry", F.lit(True).alias("known")).distinct()
-    joined = expected_entries(entries.sparkSession).join(F.broadcast(known), "file_entry", "left")
+    joined = expected_entries(entries.sparkSession).join(known, "file_entry", "left")
     return joined.select("file_entry", F.col("known").isNotNull().alias("present"))
 
 
@@ -91,10 +91,10 @@ def text_consistency(papers: DataFrame) -> DataFrame:
 def reencode_check(texts: DataFrame, stored: DataFrame, encode, k: int = 10, seed: int = 42) -> DataFrame:
     """One row: mean and smallest similarity of k re-encoded texts with their stored vectors.
 
-    The k ids are broadcast, so neither table is shuffled.
+    The few ids are broadcast, so neither table is shuffled.
     """
     chosen = sample_k(texts.select("paper_id"), k, seed, ["paper_id"])
-    ids = F.broadcast(chosen)
+    ids = small(chosen, k)
     fresh = encode(texts.join(ids, "paper_id", "left_semi")).select("paper_id", F.col("embedding").alias("fresh"))
     pairs = stored.join(ids, "paper_id", "left_semi").join(fresh, "paper_id")
     sims = pairs.select(vectors.dot(F.col("embedding"), F.col("fresh")).alias("s"))

@@ -32,10 +32,10 @@ def delta_by_count(papers: DataFrame, previous: DataFrame) -> DataFrame:
     narrow = papers.select("period", "ord")
     blocks = count_blocks(narrow, ord_block(narrow), ["period"])
     totals = blocks.select("period", "total").distinct()
-    targets = totals.join(F.broadcast(previous), "period", "left").select(
+    targets = totals.join(previous, "period", "left").select(
         "period", (F.col("total") - F.coalesce("previous", F.lit(0)) - 1).alias("pos"), F.lit(0).alias("tag")
     )
-    last = values_at(narrow, targets, ord_block(narrow), F.col("ord"), ["period"], blocks)
+    last = values_at(narrow, targets, ord_block(narrow), F.col("ord"), ["period"], blocks, len(schema.PERIODS))
     return (
         papers.join(F.broadcast(last.select("period", "value")), "period")
         .filter(F.col("ord") <= F.col("value"))
@@ -53,7 +53,7 @@ def half_split(df: DataFrame, order: Column | None = None, block: Column | None
     block = ord_block(df) if block is None else block
     blocks = count_blocks(df, block, ["period"])
     targets = blocks.select("period", (F.floor(F.col("total") / 2) - 1).alias("pos"), F.lit(0).alias("tag")).distinct()
-    last = values_at(df, targets, block, order, ["period"], blocks).select("period", F.col("value").alias("_half"))
+    last = values_at(df, targets, block, order, ["period"], blocks, len(schema.PERIODS)).select("period", F.col("value").alias("_half"))
     part = F.when(order <= F.col("_half"), 1).otherwise(2)
     return df.join(F.broadcast(last), "period", "left").withColumn("part", part).drop("_half")
 
@@ -67,7 +67,7 @@ def split_boundary(papers: DataFrame, period: str = schema.SPLIT_PERIOD) -> Data
     targets = split.select("period", F.explode(F.expr("sequence(split - 2, split + 1)")).alias("pos")).withColumn(
         "tag", F.col("pos")
     )
-    rows = values_at(narrow, targets, ord_block(narrow), F.col("ord"), ["period"], blocks)
+    rows = values_at(narrow, targets, ord_block(narrow), F.col("ord"), ["period"], blocks, 4)
     wanted = rows.select(F.col("tag").alias("idx"), F.col("value").alias("ord"))
     return one.join(F.broadcast(wanted), "ord")
 
@@ -141,7 +141,7 @@ def expected_entries(spark: SparkSession) -> DataFrame:
 def stale_periods(sources: DataFrame, entries: DataFrame) -> DataFrame:
     """(period, stale): a source is newer than any of its entries, or an entry is missing."""
     expected = expected_entries(sources.sparkSession)
-    known = F.broadcast(entries.select("file_entry", "created"))
+    known = entries.select("file_entry", "created")
     joined = sources.join(F.broadcast(expected), "period").join(known, "file_entry", "left")
     late = F.col("created").isNull() | (F.col("mtime") > F.col("created"))
     return joined.groupBy("period").agg(F.bool_or(late).alias("stale"))

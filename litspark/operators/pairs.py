@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from litspark import schema
 from litspark.functions import text
-from litspark.operators.ranks import draw_position, hash_blocks, rows_at, sample_k, seeded_hash, top_k
+from litspark.functions.text import seeded_hash
+from litspark.operators.ranks import draw_position, first_k, hash_blocks, rows_at, sample_k, small, top_k
 from litspark.operators.search import top_journals
+from litspark.sources.staging import stage
 
 COLUMNS = ["kind", "pair_key", "text_a", "text_b", "label"]
 
@@ -60,10 +62,14 @@ def journal_year(
         .filter((F.col("place") % 2 == 1) & F.col("next_id").isNotNull())
         .withColumn("pair_no", ((F.col("place") + 1) / 2).cast("int"))
     )
-    fill = [F.col("journal"), F.col("year"), F.col("pair_no")]
+    # staged: at most per_group rows a group are left, and the cut to n // 4 reads them three times
+    paired = stage(paired.select(*group, "pair_no", "paper_id", "next_id", "body", "next_body"))
+    fill = F.struct("journal", "year", "pair_no")
+    group_no = F.struct("journal", "year")
     if balanced:
-        fill = [seeded_hash(seed, F.col("journal"), F.col("year"), F.col("pair_no")), *fill]
-    chosen = top_k(paired, n // 4, fill)
+        place = seeded_hash(seed, F.col("journal"), F.col("year"), F.col("pair_no"))
+        fill, group_no = F.struct(place.alias("h"), "journal", "year", "pair_no"), F.substring(place, 1, 4)
+    chosen = first_k(paired, n // 4, fill, group_no)
     key = F.concat_ws("-", _key("paper_id"), _key("next_id"))
     return _pairs(chosen, "journal_year", key, F.col("body"), F.col("next_body"))
 
@@ -76,9 +82,10 @@ def paper_terms(papers: DataFrame, terms: list[str]) -> DataFrame:
     if not terms:
         return papers.limit(0).select("paper_id", F.array().cast("array<string>").alias("terms"))
     known = F.array(*[F.lit(t) for t in terms])
-    found = F.filter(known, lambda t: F.contains(F.col("_title"), t))
-    titled = papers.select("paper_id", F.lower("title").alias("_title"))
-    return titled.select("paper_id", found.alias("terms")).filter(F.size("terms") > 0)
+    lower = F.lower("title")
+    any_term = F.exists(F.array(lower), lambda title: F.exists(known, lambda t: F.contains(title, t)))
+    found = text.bind(lower, lambda title: F.filter(known, lambda t: F.contains(title, t)))
+    return papers.filter(any_term).select("paper_id", found.alias("terms"))
 
 
 def _fill_template(template: str, words: Column) -> Column:
@@ -108,8 +115,8 @@ def query_text(draw: Column, terms: Column, seed: int) -> Column:
 def query_document(papers: DataFrame, termed: DataFrame, n: int = schema.PAIR_TOTAL, seed: int = 42) -> DataFrame:
     """n // 4 made-up queries, each for a paper drawn with replacement from (paper_id, terms).
 
-    Draws name positions in hash order; only the hash blocks they fall into are numbered. The draws
-    are broadcast to the papers: their number is the argument.
+    Draws name positions in hash order; only the hash blocks they fall into are numbered. The drawn
+    keys, at most n // 4, then pick the papers.
     """
     spark = papers.sparkSession
     blocks = hash_blocks(termed, seed, ["paper_id"])
@@ -117,12 +124,12 @@ def query_document(papers: DataFrame, termed: DataFrame, n: int = schema.PAIR_TO
     draws = spark.range(n // 4).select(
         F.col("id").alias("tag"), draw_position(seed, "query", F.col("id"), total).alias("pos")
     ).filter(F.col("pos").isNotNull())
-    drawn = rows_at(termed.select("paper_id"), draws, seed, ["paper_id"], blocks)
+    drawn = rows_at(termed.select("paper_id"), draws, seed, ["paper_id"], blocks, n // 4)
     asked = (
-        termed.join(F.broadcast(drawn), "paper_id")
+        termed.join(small(drawn, n // 4), "paper_id")
         .select("paper_id", "tag", query_text(F.col("tag"), F.col("terms"), seed).alias("query"))
     )
-    joined = papers.select("paper_id", "title", "abstract").join(F.broadcast(asked), "paper_id")
+    joined = papers.select("paper_id", "title", "abstract").join(small(asked, n // 4), "paper_id")
     body = _cut(text.embedding_text(F.col("title"), F.col("abstract")))
     return _pairs(joined, "query", _key("tag"), F.col("query"), body)
 
@@ -133,62 +140,49 @@ def negative(papers: DataFrame, n: int = schema.PAIR_TOTAL, seed: int = 42) -> D
     Old and new papers are drawn apart and meet on the draw number. What is missing gets one attempt
     each with two different random papers, kept if their journals differ.
     """
-    spark = papers.sparkSession
     wanted = n // 10
-    narrow = papers.select("paper_id", "journal", "year")
-    old, new = narrow.filter(F.col("year") < 2000), narrow.filter(F.col("year") > 2015)
-    sides = {"old": old, "new": new, "any": narrow}
-    blocks = {k: hash_blocks(v, seed, ["paper_id"]) for k, v in sides.items()}
-    # one row of counts, read three times below
-    totals = {k: F.coalesce(b.agg(F.sum("n")).scalar(), F.lit(0)) for k, b in blocks.items()}
-    crossed = F.least(F.lit(wanted), totals["old"], totals["new"])
-    draws = spark.range(wanted).withColumnRenamed("id", "tag")
-
-    def drawn(side: str, rows: DataFrame, pos: Column) -> DataFrame:
-        at = rows_at(sides[side], rows.select("tag", pos.alias("pos")), seed, ["paper_id"], blocks[side])
-        return at.select("tag", F.col("paper_id"))
-
-    first = draws.filter(F.col("tag") < crossed)
-    pos_old = draw_position(seed, "old", F.col("tag"), totals["old"])
-    pos_new = draw_position(seed, "new", F.col("tag"), totals["new"])
-    old_new = drawn("old", first, pos_old).select("tag", F.col("paper_id").alias("id_a")).join(
-        drawn("new", first, pos_new).select("tag", F.col("paper_id").alias("id_b")), "tag"
+    tag, old, new = F.col("tag"), F.col("year") < 2000, F.col("year") > 2015
+    pools = F.array_compact(F.array(F.lit("any"), F.when(old, "old"), F.when(new, "new")))
+    members = papers.select(F.explode(pools).alias("pool"), "paper_id")
+    blocks = hash_blocks(members, seed, ["paper_id"], ["pool"])
+
+    def size(pool: str) -> Column:
+        return F.coalesce(F.sum(F.when(F.col("pool") == pool, F.col("n"))), F.lit(0)).alias(pool)
+
+    sizes = blocks.agg(F.struct(size("old"), size("new"), size("any"))).scalar()
+    draws = papers.sparkSession.range(wanted).select(F.col("id").alias("tag"), sizes.alias("size"))
+    crossed = tag < F.least(F.col("size.old"), F.col("size.new"))
+    n_any = F.col("size.any")
+    first = draw_position(seed, "any_a", tag, n_any)
+    second = F.pmod(first + draw_position(seed, "any_b", tag, F.greatest(n_any - 1, F.lit(1))) + 1, n_any)
+
+    def end(side: str, pool: Column, pos: Column) -> Column:
+        return F.struct(F.lit(side).alias("side"), pool.alias("pool"), pos.alias("pos"))
+
+    def cross(pool: str, otherwise: Column) -> Column:
+        return F.when(crossed, draw_position(seed, pool, tag, F.col(f"size.{pool}"))).otherwise(otherwise)
+
+    ends = F.array(
+        end("a", F.when(crossed, "old").otherwise("any"), cross("old", first)),
+        end("b", F.when(crossed, "new").otherwise("any"), cross("new", second)),
     )
-
-    rest = draws.filter((F.col("tag") >= crossed) & (totals["any"] >= 2))
-    pos_a = draw_position(seed, "any_a", F.col("tag"), totals["any"])
-    step = draw_position(seed, "any_b", F.col("tag"), totals["any"] - 1) + 1
-    pos_b = F.pmod(pos_a + step, totals["any"])
-    both = rest.select("tag", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), pos_a.alias("pos")), F.struct(F.lit(1).alias("side"), pos_b.alias("pos"))
-    )).alias("x")).select((F.col("tag") * 2 + F.col("x.side")).alias("tag"), F.col("x.pos").alias("pos"))
-    found = rows_at(narrow, both, seed, ["paper_id"], blocks["any"])
-    any_any = found.groupBy(F.floor(F.col("tag") / 2).alias("tag")).agg(
-        F.max(F.when(F.col("tag") % 2 == 0, F.col("paper_id"))).alias("id_a"),
-        F.max(F.when(F.col("tag") % 2 == 1, F.col("paper_id"))).alias("id_b"),
+    asked = draws.filter(n_any >= 2).select(tag, F.explode(ends).alias("e")).select(
+        (tag * 2 + F.when(F.col("e.side") == "b", 1).otherwise(0)).alias("tag"), "e.pool", "e.pos"
     )
-    picked = old_new.withColumn("must_differ", F.lit(False)).unionByName(any_any.withColumn("must_differ", F.lit(True)))
-
-    ends = picked.select(
-        "tag", "must_differ",
-        F.explode(F.array(
-            F.struct(F.lit("a").alias("side"), F.col("id_a").alias("id")),
-            F.struct(F.lit("b").alias("side"), F.col("id_b").alias("id")),
-        )).alias("x"),
-    ).select("tag", "must_differ", "x.side", F.col("x.id").alias("paper_id"))
+    drawn = rows_at(members, asked, seed, ["paper_id"], blocks, 2 * wanted, ["pool"])
     body = _cut(text.embedding_text(F.col("title"), F.col("abstract")))
-    texts = papers.select("paper_id", "journal", body.alias("body")).join(F.broadcast(ends), "paper_id")
-    side = F.struct("journal", "body")
-    met = texts.groupBy("tag", "must_differ").agg(
-        F.max(F.when(F.col("side") == "a", side)).alias("a"), F.max(F.when(F.col("side") == "b", side)).alias("b")
+    texts = papers.select("paper_id", "journal", body.alias("body")).join(small(drawn, 2 * wanted), "paper_id")
+    here = F.struct("journal", "body", "pool")
+    met = texts.groupBy(F.floor(tag / 2).alias("tag")).agg(
+        F.max(F.when(tag % 2 == 0, here)).alias("a"), F.max(F.when(tag % 2 == 1, here)).alias("b")
     )
     unlike = F.coalesce(F.col("a.journal") != F.col("b.journal"), F.lit(True))
-    kept = met.filter(~F.col("must_differ") | unlike)
+    kept = met.filter((F.col("a.pool") == "old") | unlike)
     return _pairs(kept, "negative", _key("tag"), F.col("a.body"), F.col("b.body"))
 
 
 def assemble(parts: list[DataFrame], n: int = schema.PAIR_TOTAL, seed: int = 42) -> DataFrame:
-    """All kinds together, at most n of them, chosen and later shuffled by seeded hash."""
+    """All kinds together, at most n of them, chosen by seeded hash."""
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)

@@ -18,6 +18,13 @@ from litspark.functions.text import hash_number, seeded_hash
 
 BLOCK_BITS = 20  # a block of unique whole numbers holds at most 2^20 rows
 HASH_DIGITS = 5  # 16^5 hash blocks
+BROADCAST_ROWS = 1_000_000  # narrow tables known to hold at most this many rows are broadcast
+PRUNED_K = 1000  # Spark cuts rank filters on the map side up to this rank
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """Broadcast a table whose row bound is known and small; leave the join to Spark beyond."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def ord_block(df: DataFrame, order: str = "ord") -> Column:
@@ -69,22 +76,22 @@ def locate(blocks: DataFrame, targets: DataFrame, by: Sequence[str] = ()) -> Dat
 
 def values_at(
     df: DataFrame, targets: DataFrame, block: Column, order: Column, by: Sequence[str] = (),
-    blocks: DataFrame | None = None,
+    blocks: DataFrame | None = None, n_targets: int = 1,
 ) -> DataFrame:
     """(by…, tag, value): the order value at each wanted position.
 
-    The located targets are broadcast: one row per target, and targets are few by contract (a rank
-    per period, the wanted number of draws).
+    ``n_targets`` is the caller's bound on the number of targets. Few targets are broadcast, so only
+    the rows of their blocks leave the scan.
     """
     blocks = count_blocks(df, block, by) if blocks is None else blocks
     located = locate(blocks, targets, by)
     narrow = df.select(*by, block.alias("block"), order.alias("value"))
-    needed = narrow.join(F.broadcast(located.select(*by, "block").distinct()), [*by, "block"], "left_semi")
+    needed = narrow.join(small(located.select(*by, "block").distinct(), n_targets), [*by, "block"], "left_semi")
     inside = Window.partitionBy(*by, "block").orderBy("value")
     return (
         needed.withColumn("place", F.row_number().over(inside) - 1)
         .withColumn("place", F.col("place").cast("bigint"))
-        .join(F.broadcast(located), [*by, "block", "place"])
+        .join(small(located, n_targets), [*by, "block", "place"])
         .select(*by, "tag", "value")
     )
 
@@ -111,8 +118,11 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()
 
     Two steps: each of ``fan`` groups of map tasks keeps its k best rows, then k are chosen from
     those. The last task sees at most ``fan * k`` rows, not k rows of every map task. The ranking
-    filter also runs before the first shuffle, so a hot key leaves each map task as k rows.
+    filter also runs before the first shuffle, so a hot key leaves each map task as k rows. Spark
+    does that up to rank 1000; ``first_k`` is for more.
     """
+    if k > PRUNED_K:
+        raise ValueError(f"top_k is for k up to {PRUNED_K}, use first_k")
     part = Window.partitionBy(*by, "_fan").orderBy(*order)
     best = (
         df.withColumn("_fan", F.pmod(F.spark_partition_id(), F.lit(fan)))
@@ -126,29 +136,29 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()
     return best.withColumn("_rn", F.row_number().over(whole)).filter(F.col("_rn") <= k).drop("_rn")
 
 
-def _hash_order(df: DataFrame, key: Sequence[str], seed: int) -> tuple[Column, Column]:
-    code = seeded_hash(seed, *[F.col(c) for c in key])
-    return hash_number(code, HASH_DIGITS), F.struct(code.alias("h"), *[F.col(c) for c in key])
-
-
-def sample_k(df: DataFrame, k: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """Exactly min(k, n) rows: those whose seeded hash of the key comes first.
+def first_k(df: DataFrame, k: int, order: Column, block: Column) -> DataFrame:
+    """Exactly min(k, n) rows: those with the smallest order values, which must be unique.
 
-    The hash of the k-th row is found from counts per hash block, then one filter keeps the sample.
-    The kept rows stay where they are; nothing is gathered.
+    ``block`` groups neighbouring order values. The k-th value is found from counts per block, then
+    one filter keeps the rows. They stay where they are, nothing is gathered or shuffled.
     """
     if k <= 0:
         return df.limit(0)
-    block, order = _hash_order(df, key, seed)
     blocks = count_blocks(df, block)
     target = blocks.agg((F.least(F.lit(k), F.sum("n")) - 1).alias("pos")).select("pos", F.lit(0).alias("tag"))
     last = values_at(df, target, block, order, blocks=blocks).select(F.max("value").alias("value")).scalar()
     return df.filter(order <= last)
 
 
-def shuffled(df: DataFrame, seed: int, key: Sequence[str]) -> DataFrame:
-    """Rows in seeded random order (a distributed sort)."""
-    return df.orderBy(seeded_hash(seed, *[F.col(c) for c in key]), *key)
+def _hash_order(key: Sequence[str], seed: int) -> tuple[Column, Column]:
+    code = seeded_hash(seed, *[F.col(c) for c in key])
+    return hash_number(code, HASH_DIGITS), F.struct(code.alias("h"), *[F.col(c) for c in key])
+
+
+def sample_k(df: DataFrame, k: int, seed: int, key: Sequence[str]) -> DataFrame:
+    """Exactly min(k, n) rows: those whose seeded hash of the key comes first."""
+    block, order = _hash_order(key, seed)
+    return first_k(df, k, order, block)
 
 
 def draw_position(seed: int, what: str, draw: Column, n: Column) -> Column:
@@ -156,14 +166,17 @@ def draw_position(seed: int, what: str, draw: Column, n: Column) -> Column:
     return F.pmod(hash_number(seeded_hash(seed, F.lit(what), draw)), n)
 
 
-def rows_at(df: DataFrame, positions: DataFrame, seed: int, key: Sequence[str], blocks: DataFrame) -> DataFrame:
-    """(tag, key…): the keys standing at the given positions of the seeded hash order."""
-    block, order = _hash_order(df, key, seed)
-    found = values_at(df, positions, block, order, blocks=blocks)
-    return found.select("tag", *[F.col(f"value.{c}").alias(c) for c in key])
+def rows_at(
+    df: DataFrame, positions: DataFrame, seed: int, key: Sequence[str], blocks: DataFrame, n_positions: int,
+    by: Sequence[str] = (),
+) -> DataFrame:
+    """(by…, tag, key…): the keys standing at the given positions of the seeded hash order."""
+    block, order = _hash_order(key, seed)
+    found = values_at(df, positions, block, order, by, blocks, n_positions)
+    return found.select(*by, "tag", *[F.col(f"value.{c}").alias(c) for c in key])
 
 
-def hash_blocks(df: DataFrame, seed: int, key: Sequence[str]) -> DataFrame:
+def hash_blocks(df: DataFrame, seed: int, key: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Counts per hash block, to be shared by several lookups."""
-    block, _ = _hash_order(df, key, seed)
-    return count_blocks(df, block)
+    block, _ = _hash_order(key, seed)
+    return count_blocks(df, block, by)

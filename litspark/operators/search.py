@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from litspark import schema
 from litspark.functions import keywords, periods, text
-from litspark.operators.ranks import sample_k, top_k
+from litspark.operators.ranks import BROADCAST_ROWS, sample_k, small, top_k
 
 QUERIES_PER_PASS = 2000  # queries held in one expression; more are answered in further passes
 
@@ -41,9 +41,13 @@ def expand_journals(selected: list[str], groups: dict[str, list[str]] | None = N
 
 
 def in_journal_groups(papers: DataFrame, groups: DataFrame, selected: list[str]) -> DataFrame:
-    """Papers of the selected groups; the group dimension is a list of codes, so it is broadcast."""
+    """Papers of the selected groups.
+
+    The selected codes are counted up to a limit first: a list of codes is broadcast, so a journal
+    with a third of all papers is not brought together; anything larger is left to the planner.
+    """
     wanted = groups.filter(F.col("grp").isin(selected)).select("journal").distinct()
-    return papers.join(F.broadcast(wanted), "journal", "left_semi")
+    return papers.join(small(wanted, wanted.limit(BROADCAST_ROWS + 1).count()), "journal", "left_semi")
 
 
 def prefilter(
@@ -65,7 +69,9 @@ def info_upper(search_author: bool = False) -> Column:
 
 
 def keyword_filter(papers: DataFrame, query: str, search_author: bool = False) -> DataFrame:
-    return papers.filter(keywords.keyword_predicate(query, info_upper(search_author)))
+    """Papers that match; the upper-cased text is made once, not once per term."""
+    info = info_upper(search_author)
+    return papers.filter(F.exists(F.array(info), lambda i: keywords.keyword_predicate(query, i)))
 
 
 def result_order(sort: str) -> list[Column]:
@@ -105,16 +111,15 @@ def keyword_search_batch(
             keywords.query_groups_col(F.col("query")), lambda g: F.transform(g, lambda t: F.upper(t))
         ).alias("groups"),
     )
-    text_of = papers.withColumn("_info", info_upper(search_author))
     found = None
     for i in range(passes):
         share = parsed.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
         asked = share.agg(F.collect_list(F.struct("query_id", "groups"))).scalar()
-        hits = (
-            text_of.withColumn("_asked", asked)
-            .withColumn("_q", F.explode(F.filter("_asked", lambda q: keywords.groups_match(q["groups"], F.col("_info")))))
-            .select(F.col("_q.query_id").alias("query_id"), *papers.columns)
+        matching = text.bind(
+            info_upper(search_author), lambda i: F.filter("_asked", lambda q: keywords.groups_match(q["groups"], i))
         )
+        ids = F.transform(matching, lambda q: q["query_id"])
+        hits = papers.withColumn("_asked", asked).select(F.explode(ids).alias("query_id"), *papers.columns)
         found = hits if found is None else found.unionByName(hits)
     return numbered(top_k(found, limit, result_order(sort), by=["query_id"]), result_order(sort), ["query_id"])
 

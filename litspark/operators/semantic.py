@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -20,24 +20,30 @@ def right_width(embeddings: DataFrame, dim: int, column: str = "embedding") -> D
     return embeddings.filter(F.size(F.col(column)) == dim)
 
 
-def score(column: Column, query: Sequence[float]) -> Column:
-    """Dot product with one query vector, one matrix product per Arrow batch."""
+def dot_scores(
+    embeddings: DataFrame, query: Sequence[float], key: str = "paper_id", min_similarity: float | None = None
+) -> DataFrame:
+    """(key, similarity) against one query vector, one matrix product per Arrow batch.
+
+    Rows below the threshold are dropped before anything goes back to the JVM.
+    """
     wanted = [float(x) for x in query]
+    sized = right_width(embeddings, len(wanted)).select(key, "embedding")
+    out = T.StructType([embeddings.schema[key], T.StructField("similarity", T.DoubleType())])
+    digits = SCORE_DIGITS
 
-    @F.arrow_udf(T.DoubleType())
-    def dot_batch(vectors):
+    def score(batches):
         import numpy as np
         import pyarrow as pa
 
-        flat = np.asarray(vectors.flatten(), dtype=np.float64)
-        return pa.array(np.round(flat.reshape(len(vectors), len(wanted)) @ np.asarray(wanted), 9))
-
-    return dot_batch(column)
-
+        vector = np.asarray(wanted)
+        for batch in batches:
+            flat = np.asarray(batch.column(1).flatten(), dtype=np.float64)
+            scores = np.round(flat.reshape(batch.num_rows, len(vector)) @ vector, digits)
+            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=[key, "similarity"])
+            yield made if min_similarity is None else made.filter(pa.array(scores >= min_similarity))
 
-def dot_scores(embeddings: DataFrame, query: Sequence[float], key: str = "paper_id") -> DataFrame:
-    sized = right_width(embeddings, len(query))
-    return sized.select(key, score(F.col("embedding"), query).alias("similarity"))
+    return sized.mapInArrow(score, out)
 
 
 def semantic_search(
@@ -63,7 +69,7 @@ def similar_papers(
     """All papers of a similarity search, in no order."""
     if year_from is not None and year_to is not None and "period" in embeddings.columns:
         embeddings = embeddings.filter(F.col("period").isin(periods.periods_between(year_from, year_to)))
-    close = dot_scores(embeddings, query).filter(F.col("similarity") >= min_similarity)
+    close = dot_scores(embeddings, query, min_similarity=min_similarity)
     wanted = prefilter(papers, journals, year_from, year_to).filter(text.has_real_abstract(F.col("abstract")))
     return wanted.drop("abstract").join(close, "paper_id")
 
@@ -94,6 +100,7 @@ def nearest(
 def _nearest_pass(sized, probes, k, key, key_type, min_similarity):
     ids = [int(p[0]) for p in probes]
     matrix = [[float(x) for x in p[1]] for p in probes]
+    digits = SCORE_DIGITS
     out = T.StructType([
         T.StructField("query_id", T.LongType()), T.StructField(key, key_type), T.StructField("similarity", T.DoubleType()),
     ])
@@ -109,7 +116,7 @@ def _nearest_pass(sized, probes, k, key, key_type, min_similarity):
                 continue
             keys = np.asarray(batch.column(0).to_pylist(), dtype=object if batch.column(0).type == pa.string() else None)
             flat = np.asarray(batch.column(1).flatten(), dtype=np.float64)
-            scores = np.round(flat.reshape(batch.num_rows, queries.shape[1]) @ queries.T, 9)
+            scores = np.round(flat.reshape(batch.num_rows, queries.shape[1]) @ queries.T, digits)
             for q in range(len(ids)):
                 s, names = scores[:, q], keys
                 if min_similarity is not None:

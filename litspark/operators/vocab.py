@@ -7,32 +7,28 @@ from pyspark.sql import functions as F
 
 from litspark import schema
 from litspark.functions import text
-from litspark.operators.ranks import sample_k, top_k
+from litspark.operators.ranks import first_k, sample_k, small
+from litspark.sources.staging import stage
 
 SCORE_DIGITS = 6  # scores are rounded here, so terms that always occur together tie
 
 
 def terms(body: Column) -> Column:
-    """Words without stop words, and pairs of neighbours among those left."""
-    left = F.filter(text.words(body), lambda w: ~w.isin(schema.STOP_WORDS))
-    return left
+    """Words without stop words."""
+    return F.filter(text.words(body), lambda w: ~w.isin(schema.STOP_WORDS))
 
 
-def _with_pairs(words: Column) -> Column:
-    n = F.size(words)
-    pairs = F.zip_with(
-        F.slice(words, F.lit(1), F.greatest(n - 1, F.lit(0))),
-        F.slice(words, F.lit(2), F.greatest(n - 1, F.lit(0))),
-        lambda a, b: F.concat(a, F.lit(" "), b),
-    )
-    return F.concat(words, pairs)
+def with_neighbours(words: Column) -> Column:
+    """The words, and every two that stand next to each other."""
+    return text.bind(words, lambda w: F.concat(w, F.transform(
+        F.slice(w, F.lit(2), F.size(w)), lambda second, i: F.concat(F.element_at(w, i + 1), F.lit(" "), second)
+    )))
 
 
 def term_counts(texts: DataFrame, key: str = "paper_id", body: str = "text") -> DataFrame:
     """(key, term, tf). Texts are spread by key once; counts per document stay in their partition."""
     spread = texts.select(key, F.col(body).alias("_text")).repartition(F.col(key))
-    words = spread.select(key, terms(F.col("_text")).alias("words"))
-    exploded = words.select(key, F.explode(_with_pairs(F.col("words"))).alias("term"))
+    exploded = spread.select(key, F.explode(with_neighbours(terms(F.col("_text")))).alias("term"))
     return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -43,19 +39,17 @@ def document_frequency(counts: DataFrame) -> DataFrame:
 
 def keep_terms(frequencies: DataFrame, documents: Column, n_terms: int, min_df: int, max_df: float) -> DataFrame:
     """The n_terms most frequent terms that are neither too rare nor too common."""
-    usable = frequencies.withColumn("n_docs", documents).filter(
+    usable = stage(frequencies.withColumn("n_docs", documents).filter(
         (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs"))
-    )
-    return top_k(usable, n_terms, [F.col("ctf").desc(), F.col("term")])
+    ))
+    rarity = -F.col("ctf")
+    return first_k(usable, n_terms, F.struct(rarity.alias("r"), F.col("term")), rarity)
 
 
-def tfidf_scores(counts: DataFrame, kept: DataFrame, key: str = "paper_id") -> DataFrame:
-    """(term, score): sum over documents of the unit-length tf-idf weights.
-
-    The kept terms are broadcast: their number is the n_terms argument.
-    """
+def tfidf_scores(counts: DataFrame, kept: DataFrame, n_terms: int, key: str = "paper_id") -> DataFrame:
+    """(term, score): sum over documents of the unit-length tf-idf weights."""
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    weighted = counts.join(F.broadcast(kept), "term").select(key, "term", (F.col("tf") * idf).alias("weight"))
+    weighted = counts.join(small(kept, n_terms), "term").select(key, "term", (F.col("tf") * idf).alias("weight"))
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
     unit = weighted.select("term", (F.col("weight") / length).alias("weight"))
     return unit.groupBy("term").agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
@@ -67,14 +61,15 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """(term, score) of a corpus in (key, text); the highest score comes first when ordered by score, term.
 
-    ``sample=None`` counts every text.
+    ``sample=None`` counts every text. Term counts and usable terms are staged: choosing the terms
+    and weighting them would otherwise each split all texts again.
     """
     if sample is not None:
         texts = sample_k(texts.select(key, "text"), sample, seed, [key])
-    counts = term_counts(texts, key)
+    counts = stage(term_counts(texts, key))
     documents = texts.agg(F.count(F.lit(1))).scalar()
     kept = keep_terms(document_frequency(counts), documents, n_terms, min_df, max_df)
-    return tfidf_scores(counts, kept, key)
+    return tfidf_scores(counts, kept, n_terms, key)
 
 
 def ranked(vocabulary: DataFrame, n: int | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from litspark.functions import vectors
 from litspark.operators import encode, maintain
 from litspark.sources import embeddings as table
 from litspark.sources import manifest as mf
+from litspark.sources.staging import stage
 
 Encoder = Callable[[DataFrame], DataFrame]
 
@@ -60,7 +61,8 @@ def update(
     """
     spark = papers.sparkSession
     stored = table.read_embeddings(spark, path, model_name, dim)
-    new = maintain.delta_by_key(papers, stored)
+    # staged: the table it is compared with is about to grow
+    new = stage(maintain.delta_by_key(papers, stored))
     touched = [r.period for r in new.select("period").distinct().collect()]
     if not touched:
         return mf.read_manifest(spark, manifest_path)

@@ -314,7 +314,7 @@ def changed_files(spark, sf):
 
 @query
 def manifest_build(spark, sf):
-    return _rounded(fx.manifest(spark, sf), "file_size_mb").withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
+    return _rounded(fx.build_manifest(spark, sf), "file_size_mb").withColumn("created", F.date_format("created", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query

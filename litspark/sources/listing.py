@@ -25,7 +25,7 @@ def changed_files(spark: SparkSession, old_dir: str, new_dir: str) -> DataFrame:
     same_size = sizes_new.join(sizes_old, ["name", "size"], "left_semi").select("name")
 
     def hashed(files: DataFrame) -> DataFrame:
-        return files.select("name", F.sha2("content", 256).alias("sha")).join(F.broadcast(same_size), "name", "left_semi")
+        return files.select("name", F.sha2("content", 256).alias("sha")).join(same_size, "name", "left_semi")
 
     return other_size.unionByName(changed_entries(hashed(old), hashed(new)))
 

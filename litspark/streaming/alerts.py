@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.functions import keywords
+from litspark.functions import keywords, text
 from litspark.operators.search import QUERIES_PER_PASS, info_upper
 
 
@@ -17,8 +17,7 @@ def saved_search_stream(papers: DataFrame, queries: list[tuple[int, str]], searc
     """
     if len(queries) > QUERIES_PER_PASS:
         raise ValueError(f"at most {QUERIES_PER_PASS} saved queries per stream")
-    info = papers.withColumn("_info", info_upper(search_author))
-    hit = F.array_compact(F.array(*[
-        F.when(keywords.keyword_predicate(q, F.col("_info")), F.lit(i).cast("bigint")) for i, q in queries
-    ]))
-    return info.select(F.explode(hit).alias("query_id"), *papers.columns)
+    hit = text.bind(info_upper(search_author), lambda info: F.array_compact(F.array(*[
+        F.when(keywords.keyword_predicate(q, info), F.lit(i).cast("bigint")) for i, q in queries
+    ])))
+    return papers.select(F.explode(hit).alias("query_id"), *papers.columns)
