@@ -6,11 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-ENTRY_DDL = (
-    "num_papers bigint, file_size_mb double, year_range string, index_range string, source_csv string, "
-    "creation_date string, papers_added bigint"
-)
-ENTRY_TYPE = T.StructType.fromDDL(ENTRY_DDL)
+ENTRY_TYPE = T.StructType([
+    T.StructField("num_papers", T.LongType()),
+    T.StructField("file_size_mb", T.DoubleType()),
+    T.StructField("year_range", T.StringType()),
+    T.StructField("index_range", T.StringType()),
+    T.StructField("source_csv", T.StringType()),
+    T.StructField("creation_date", T.StringType()),
+    T.StructField("papers_added", T.LongType()),
+])
 MANIFEST_TYPE = T.StructType([
     T.StructField("model_name", T.StringType()),
     T.StructField("embedding_dim", T.IntegerType()),
