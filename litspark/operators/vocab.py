@@ -25,11 +25,19 @@ def with_neighbours(words: Column) -> Column:
     )))
 
 
-def term_counts(texts: DataFrame, key: str = "paper_id", body: str = "text") -> DataFrame:
-    """(key, term, tf). Texts are spread by key once; counts per document stay in their partition."""
+def occurrences(texts: DataFrame, key: str = "paper_id", body: str = "text") -> DataFrame:
+    """(key, term), one row per occurrence.
+
+    Texts are spread by key once, before they are split; all later work per document stays in its
+    partition.
+    """
     spread = texts.select(key, F.col(body).alias("_text")).repartition(F.col(key))
-    exploded = spread.select(key, F.explode(with_neighbours(terms(F.col("_text")))).alias("term"))
-    return exploded.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return spread.select(key, F.explode(with_neighbours(terms(F.col("_text")))).alias("term"))
+
+
+def term_counts(found: DataFrame, key: str = "paper_id") -> DataFrame:
+    """(key, term, tf)"""
+    return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def document_frequency(counts: DataFrame) -> DataFrame:
@@ -46,10 +54,15 @@ def keep_terms(frequencies: DataFrame, documents: Column, n_terms: int, min_df:
     return first_k(usable, n_terms, F.struct(rarity.alias("r"), F.col("term")), rarity)
 
 
-def tfidf_scores(counts: DataFrame, kept: DataFrame, n_terms: int, key: str = "paper_id") -> DataFrame:
-    """(term, score): sum over documents of the unit-length tf-idf weights."""
+def tfidf_scores(found: DataFrame, kept: DataFrame, n_terms: int, key: str = "paper_id") -> DataFrame:
+    """(term, score): sum over documents of the unit-length tf-idf weights of the kept terms.
+
+    Other terms are dropped before anything is counted.
+    """
+    kept = small(kept, n_terms)
+    counts = term_counts(found.join(kept.select("term"), "term", "left_semi"), key)
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    weighted = counts.join(small(kept, n_terms), "term").select(key, "term", (F.col("tf") * idf).alias("weight"))
+    weighted = counts.join(kept, "term").select(key, "term", (F.col("tf") * idf).alias("weight"))
     length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
     unit = weighted.select("term", (F.col("weight") / length).alias("weight"))
     return unit.groupBy("term").agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
@@ -61,15 +74,16 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """(term, score) of a corpus in (key, text); the highest score comes first when ordered by score, term.
 
-    ``sample=None`` counts every text. Term counts and usable terms are staged: choosing the terms
-    and weighting them would otherwise each split all texts again.
+    ``sample=None`` counts every text. The usable terms are staged, being read several times to find
+    the most frequent ones. Texts are split twice, which is cheaper than storing all their terms.
     """
+    documents = texts.agg(F.count(F.lit(1))).scalar()
     if sample is not None:
         texts = sample_k(texts.select(key, "text"), sample, seed, [key])
-    counts = stage(term_counts(texts, key))
-    documents = texts.agg(F.count(F.lit(1))).scalar()
-    kept = keep_terms(document_frequency(counts), documents, n_terms, min_df, max_df)
-    return tfidf_scores(counts, kept, n_terms, key)
+        documents = F.least(documents, F.lit(sample))
+    found = occurrences(texts, key)
+    kept = keep_terms(document_frequency(term_counts(found, key)), documents, n_terms, min_df, max_df)
+    return tfidf_scores(found, kept, n_terms, key)
 
 
 def ranked(vocabulary: DataFrame, n: int | None = None) -> DataFrame:
