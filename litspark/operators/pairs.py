@@ -186,7 +186,7 @@ def assemble(parts: list[DataFrame], n: int = schema.PAIR_TOTAL, seed: int = 42)
     union = parts[0]
     for p in parts[1:]:
         union = union.unionByName(p)
-    return sample_k(union, n, seed, ["pair_key"])
+    return sample_k(union, n, seed, ["pair_key"]) if union.count() > n else union
 
 
 def small_fixed(papers: DataFrame, journals: int = 5, per_journal: int = 10, abstracts: int = 100) -> DataFrame:

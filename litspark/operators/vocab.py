@@ -74,15 +74,15 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """(term, score) of a corpus in (key, text); the highest score comes first when ordered by score, term.
 
-    ``sample=None`` counts every text. The usable terms are staged, being read several times to find
+    ``sample=None`` takes every text, as does a corpus no larger than the sample. The usable terms are staged, being read several times to find
     the most frequent ones. Texts are split twice, which is cheaper than storing all their terms.
     """
-    documents = texts.agg(F.count(F.lit(1))).scalar()
-    if sample is not None:
+    documents = texts.count()
+    if sample is not None and documents > sample:
         texts = sample_k(texts.select(key, "text"), sample, seed, [key])
-        documents = F.least(documents, F.lit(sample))
+        documents = sample
     found = occurrences(texts, key)
-    kept = keep_terms(document_frequency(term_counts(found, key)), documents, n_terms, min_df, max_df)
+    kept = keep_terms(document_frequency(term_counts(found, key)), F.lit(documents), n_terms, min_df, max_df)
     return tfidf_scores(found, kept, n_terms, key)
 
 
