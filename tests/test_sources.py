@@ -5,7 +5,7 @@ import warnings
 import pytest
 from pyspark.sql import functions as F
 
-from litspark import schema
+from litspark import schema, session
 from litspark.functions.vectors import half_round
 from litspark.operators import encode, maintain
 from litspark.plans import curate, embed
@@ -122,6 +122,14 @@ def test_stage_keeps_rows_and_partitions(spark):
     assert sorted(map(tuple, back.select("i", "period").collect())) == [(1, "2000s"), (2, "b2000")]
 
 
+def test_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(session, "_named_dir", lambda _: "/named/")
+    assert session.shared_dir(spark) == "/named"
+    monkeypatch.setattr(session, "_named_dir", lambda _: None)
+    assert session.shared_dir(spark) == session.shared_dir(spark)
+    assert staging.stage(spark.range(3)).count() == 3
+
+
 def toy_encoder(df):
     return encode.hashing_encode(df, 16)
 
