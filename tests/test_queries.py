@@ -5,6 +5,8 @@ import pytest
 
 import __spark_entry__ as entry
 from litspark import fixtures as fx
+from litspark.oracle import ORACLE
+from litspark.queries import QUERIES
 from tools.check_oracle import TABLES, compare
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +21,8 @@ def con():
 
 
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLE)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def plan_of(df) -> str:
@@ -30,14 +33,14 @@ def plan_of(df) -> str:
 RANGE_JOINS = {"period_range_join"}
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, con, name):
-    df = entry.queries()[name](spark, SF)
+    df = QUERIES[name](spark, SF)
     plan = plan_of(df)
     assert "CartesianProduct" not in plan
     if name not in RANGE_JOINS:
         assert "BroadcastNestedLoopJoin" not in plan
-    said, _ = compare(spark, con, name, lambda *_: df, entry.oracle_sql()[name], SF)
+    said, _ = compare(spark, con, name, lambda *_: df, ORACLE[name], SF)
     assert said.startswith("ok"), said
 
 
