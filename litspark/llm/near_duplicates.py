@@ -8,11 +8,16 @@ set's size. Coordinates of two sets agree with the sets' similarity J, concentra
 hashes. Documents that agree in all rows of a band are candidates: at J = 0.75 a pair is missed with
 a chance of (1 - 0.75 ** ROWS) ** BANDS, about 4e-6.
 
-How groups of copies stay linear: equal sets are one class, the smallest document standing for it. In
-each bucket all classes are verified against the smallest one (a star, not all pairs), and linked
-classes are contracted to components. Only buckets that still hold two components need more: small
-ones are compared across components in full, large ones are first split by each of their other bands,
-which separates classes that met by a common passage. So no link is lost to a cap.
+How groups of copies stay linear: equal sets are one class, the smallest document standing for it. Bands
+are taken a few at a time. In each bucket all classes are verified against the smallest one (a star, not
+all pairs) unless earlier bands have linked both, and linked classes are contracted to components. Only
+buckets that still hold two components need more. Where the pairs across components are few for each
+member they are all listed and verified. In other buckets the sets travel with the members, and the join
+itself verifies, so that only links come out; buckets of more than ``WIDE`` members are first split by
+each of their other bands, which separates classes that met by a common passage. So no link is lost to a
+cap. A pair goes to verification only if the
+lowest bits of both sketches agree often enough: at J = 0.75 of the ``BINS`` bits 7 in 8 agree, and fewer
+than ``LEAST_BITS`` do with a chance below 1e-6.
 """
 
 from __future__ import annotations
@@ -32,12 +37,17 @@ ROWS = 6
 BANDS = 64
 #: Percent of shared shingles that links.
 PERCENT = 75
-#: Pairs across components that a bucket may take before it is split by its other bands.
-DIRECT_PAIRS = 2048
-
-_BINS = ROWS * BANDS
+#: Bands taken up to each turn.
+TURNS = (3, 12, BANDS)
+#: Pairs across components for each member that a bucket may list.
+DIRECT_PAIRS = 16
+#: Members of a bucket whose join verifies as it is.
+WIDE = 4096
+
+BINS = ROWS * BANDS
+LEAST_BITS = 300
 _ROW, _BAND = constants(11, ROWS) | U64(1), constants(12, BANDS)
-_ROUND = constants(13, 2 * _BINS)
+_ROUND = constants(13, 2 * BINS)
 _DIGEST = constants(14, 2)
 
 
@@ -57,22 +67,22 @@ def shingle_sets(column: pa.Array):
 
 def sketch(members: np.ndarray) -> np.ndarray:
     """The coordinates of a set that is not empty."""
-    out = np.full(_BINS, np.iinfo(U64).max, dtype=U64)
+    out = np.full(BINS, np.iinfo(U64).max, dtype=U64)
     n, done = len(members), 0
-    while done < _BINS:
-        empty = _BINS if not done else int((out == np.iinfo(U64).max).sum())
+    while done < BINS:
+        empty = BINS if not done else int((out == np.iinfo(U64).max).sum())
         if not empty:
             return out
-        rounds = min(_BINS - done, max(1, int(np.ceil(_BINS * (np.log(empty) + 1) / n))))
+        rounds = min(BINS - done, max(1, int(np.ceil(BINS * (np.log(empty) + 1) / n))))
         for at in range(done, done + rounds, step := max(1, (1 << 16) // n)):
             r = np.arange(at, min(at + step, done + rounds))
             h = mix(members[None, :] ^ _ROUND[r][:, None])
-            place = ((h >> U64(32)) * U64(_BINS)) >> U64(32)
+            place = ((h >> U64(32)) * U64(BINS)) >> U64(32)
             value = (h & U64(0xFFFFFFFF)) | (r.astype(U64) << U64(32))[:, None]
             np.minimum.at(out, place.ravel().astype(np.int64), value.ravel())
         done += rounds
     for j in np.flatnonzero(out == np.iinfo(U64).max):
-        out[j] = (mix(members ^ _ROUND[_BINS + j]).min() >> U64(32)) | U64((_BINS + int(j)) << 32)
+        out[j] = (mix(members ^ _ROUND[BINS + j]).min() >> U64(32)) | U64((BINS + int(j)) << 32)
     return out
 
 
@@ -81,18 +91,26 @@ def band_keys(coordinates: np.ndarray) -> np.ndarray:
     return mix((coordinates.reshape(BANDS, ROWS) * _ROW).sum(axis=1, dtype=U64) ^ _BAND).view(np.int64)
 
 
+def low_bits(coordinates: np.ndarray) -> np.ndarray:
+    """The lowest bit of each coordinate, 64 in a value."""
+    return np.packbits((coordinates & U64(1)).astype(np.uint8)).view(np.int64)
+
+
 def _sketches():
     def work(column):
-        digests, sizes, bands = [], [], []
+        digests, sizes, bands, bits = [], [], [], []
         for members in shingle_sets(column):
             sizes.append(len(members))
             if len(members):
                 digests.append(np.array([mix(members ^ c).sum(dtype=U64) for c in _DIGEST]).tobytes())
-                bands.append(band_keys(sketch(members)))
+                made = sketch(members)
+                bands.append(band_keys(made))
+                bits.append(low_bits(made))
             else:
                 digests.append(None)
                 bands.append([])
-        return pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64()))
+                bits.append([])
+        return pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *(pa.array(x, pa.list_(pa.int64())) for x in (bands, bits))
 
     return work
 
@@ -109,14 +127,21 @@ def _sets():
 
 _SKETCH = T.StructType([
     T.StructField("digest", T.BinaryType()), T.StructField("n_shingles", T.LongType()),
-    T.StructField("bands", T.ArrayType(T.LongType())),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("bits", T.ArrayType(T.LongType())),
 ])
 _SET = T.StructType([T.StructField("members", T.ArrayType(T.LongType()))])
 
 
-def _alike(n, m):
-    """Sizes that leave room for the wanted share of common shingles."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+def _alike(n, m, x, y):
+    """Sizes that leave room for the wanted share of common shingles, and sketches that speak for it."""
+    differ = sum(F.bit_count(F.get(x, F.lit(k)).bitwiseXOR(F.get(y, F.lit(k)))) for k in range(BINS // 64))
+    return (100 * F.least(n, m) >= PERCENT * F.greatest(n, m)) & (differ <= BINS - LEAST_BITS)
+
+
+def _linked(x: str, y: str):
+    """Whether two sets share enough."""
+    common = F.size(F.array_intersect(x, y)).cast("long")
+    return 100 * common >= PERCENT * (F.size(x) + F.size(y) - common)
 
 
 class _Verifier:
@@ -125,8 +150,8 @@ class _Verifier:
     def __init__(self, docs: DataFrame):
         self.docs, self.sets, self.seen = docs, None, None
 
-    def _load(self, pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
+    def load(self, nodes: DataFrame) -> DataFrame:
+        """The sets of distinct nodes, and of all before."""
         if self.sets is not None:
             nodes = nodes.join(self.sets.select("id"), "id", "left_anti")
         nodes = stage(nodes)
@@ -139,42 +164,45 @@ class _Verifier:
         """Of distinct pairs that were not verified before, the linked ones."""
         pairs = stage(pairs.distinct() if self.seen is None else pairs.distinct().join(self.seen, ["a", "b"], "left_anti"))
         self.seen = pairs if self.seen is None else self.seen.unionByName(pairs)
-        sets = self._load(pairs)
+        sets = self.load(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct())
         left = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("x")), "a")
         both = left.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        both = both.select("a", "b", (F.size("x") + F.size("y")).cast("long").alias("total"), F.size(F.array_intersect("x", "y")).cast("long").alias("common"))
-        return both.where(100 * F.col("common") >= PERCENT * (F.col("total") - F.col("common"))).select("a", "b")
+        return both.where(_linked("x", "y")).select("a", "b")
 
 
-def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members with the component of their class, the class itself before any link."""
+    if labels is None:
+        return members.withColumn("label", F.col("node"))
     return members.drop("label").join(small(labels), "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def _stars(members: DataFrame) -> DataFrame:
-    """Pairs of each bucket's members with its smallest one, where sizes allow a link."""
-    first = members.groupBy("key").agg(F.min(F.struct("node", "n")).alias("first"))
+    """Pairs of each bucket's members with its smallest one, of another component and where sizes allow a link."""
+    first = members.groupBy("key").agg(F.min(F.struct("node", "n", "label", "bits")).alias("first"), F.min("label").alias("lo"), F.max("label").alias("hi"))
     return (
-        members.join(first, "key")
-        .where((F.col("node") != F.col("first.node")) & _alike(F.col("n"), F.col("first.n")))
+        members.join(first.where("lo != hi").select("key", "first"), "key")
+        .where((F.col("label") != F.col("first.label")) & _alike(F.col("n"), F.col("first.n"), F.col("bits"), F.col("first.bits")))
         .select(F.col("node").alias("a"), F.col("first.node").alias("b"))
     )
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Buckets that hold more than one component, with the pairs across them."""
+    """Buckets that hold more than one component, and whether the pairs across them are few."""
     per = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
     per = per.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("k"))
-    return per.where("k > 1").select("key", ((F.col("s") * F.col("s") - F.col("q")) / 2).cast("long").alias("cross"))
+    return per.where("k > 1").select("key", "s", (F.col("s") * F.col("s") - F.col("q") <= 2 * DIRECT_PAIRS * F.col("s")).alias("direct"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs of a bucket's members in different components."""
-    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"))
-    return (
-        members.join(other, "key")
-        .where((F.col("node") > F.col("b")) & (F.col("label") != F.col("other")) & _alike(F.col("n"), F.col("m")))
-        .select(F.col("node").alias("a"), "b")
-    )
+def _across(members: DataFrame, sets: DataFrame | None = None) -> DataFrame:
+    """Pairs of a bucket's members in different components; with sets, only the linked ones."""
+    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("bits").alias("theirs"))
+    meet = (F.col("node") > F.col("b")) & (F.col("label") != F.col("other")) & _alike(F.col("n"), F.col("m"), F.col("bits"), F.col("theirs"))
+    if sets is not None:
+        members = members.join(sets.select(F.col("id").alias("node"), F.col("members").alias("x")), "node")
+        other = other.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
+        meet = meet & _linked("x", "y")
+    return members.join(other, "key").where(meet).select(F.col("node").alias("a"), "b")
 
 
 def _in_buckets(members: DataFrame) -> DataFrame:
@@ -193,31 +221,38 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     docs = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
     rows = stage(map_text(docs, _sketches, _SKETCH, ["id"]))
     useful = rows.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
-    classes = stage(useful.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands")))
+    classes = stage(useful.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
     copies = useful.join(classes.select("digest", "node"), "digest").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
 
-    members = stage(_in_buckets(classes.select("node", "n", F.explode("bands").alias("key"))))
+    bands = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
+    members = stage(_in_buckets(bands).join(classes.select("node", "bits"), "node"))
     verify = _Verifier(docs)
-    links = stage(verify.links(_stars(members)))
-    labels = components(links)
-    for level in range(2):
-        here = stage(_labelled(members, labels))
-        rest = stage(_open(here))
-        if not rest.head(1):
-            break
-        here = here.join(rest, "key")
-        direct = here.where(F.col("cross") <= DIRECT_PAIRS) if not level else here
-        found = stage(verify.links(_across(direct)))
-        links = links.unionByName(found)
-        if level or not rest.where(F.col("cross") > DIRECT_PAIRS).head(1):
-            break
-        # Classes of large buckets meet again where a second band agrees too.
-        bands = classes.select("node", F.explode("bands").alias("band"))
-        large = here.where(F.col("cross") > DIRECT_PAIRS).select("key", "node", "n")
-        members = large.join(bands, "node").where("band != key").select(F.xxhash64("key", "band").alias("key"), "node", "n")
-        members = stage(_in_buckets(members))
-        links = stage(links.unionByName(verify.links(_stars(members))))
+    links, labels = None, None
+    for lo, hi in zip((0, *TURNS), TURNS, strict=False):
+        turn = _labelled(members.where(F.col("band").between(lo, hi - 1)), labels)
+        found = stage(verify.links(_stars(turn)))
+        links = found if links is None else links.unionByName(found)
         labels = components(links)
+    here = stage(_labelled(members, labels))
+    rest = stage(_open(here))
+    if rest.head(1):
+        here = stage(here.join(rest, "key"))
+        links = links.unionByName(stage(verify.links(_across(here.where("direct")))))
+        large = here.where("not direct").select("key", "node", "n", "bits", "label", "s")
+        if large.head(1):
+            sets = verify.load(large.select(F.col("node").alias("id")).distinct())
+            links = links.unionByName(stage(_across(large.where(F.col("s") <= WIDE), sets).distinct()))
+            wide = large.where(F.col("s") > WIDE).drop("label")
+            if wide.head(1):
+                # Classes of wide buckets meet again where a second band agrees too.
+                other = bands.select("node", F.col("key").alias("other"))
+                again = wide.join(other, "node").where("other != key").select(F.xxhash64("key", "other").alias("key"), "node", "n", "bits")
+                labels = components(links)
+                again = stage(_labelled(_in_buckets(again), labels))
+                links = links.unionByName(stage(verify.links(_stars(again))))
+                again = stage(_labelled(again, components(links)))
+                again = again.join(_open(again).select("key"), "key")
+                links = links.unionByName(stage(_across(again, sets).distinct()))
 
     final = components(links.unionByName(copies)).select(F.col("node").alias("id"), "label")
     out = rows.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
