@@ -25,6 +25,7 @@ _BUCKETS = 1 << 13
 _SHAPES = 1 << 9
 _TERMS = _BUCKETS + _SHAPES
 _BLOCK = 1024
+_PART = 1 << 16
 _SALT = constants(31, 2)
 
 _UPPER = np.zeros(256, bool)
@@ -72,55 +73,45 @@ def weights(text: np.ndarray, term: np.ndarray, count: np.ndarray, rarity: np.nd
     return (value / np.maximum(length, 1e-12)[half]).astype(np.float32) if len(half) else value.astype(np.float32)
 
 
+def gather(n: int, group: np.ndarray, pick: np.ndarray, value: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Sums of rows x[pick] * value by sorted group, a bounded part of the rows at a time."""
+    out = np.zeros((n, x.shape[1]), dtype=x.dtype)
+    for at in range(0, len(group), _PART):
+        g = group[at : at + _PART]
+        first = np.flatnonzero(np.diff(g, prepend=-1))
+        out[g[first]] += np.add.reduceat(x[pick[at : at + _PART]] * value[at : at + _PART, None], first, axis=0)
+    return out
+
+
 def project(n: int, text: np.ndarray, term: np.ndarray, value: np.ndarray, axes: np.ndarray) -> np.ndarray:
     """Vectors of length 1 of n texts on the axes; zero for a text without terms."""
-    out = np.zeros((n, axes.shape[1]), dtype=np.float32)
-    at = 0
-    while at < len(text):
-        to = int(np.searchsorted(text, text[min(at + (1 << 17), len(text)) - 1], "right"))
-        first = np.flatnonzero(np.diff(text[at:to], prepend=-1))
-        out[text[at:to][first]] = np.add.reduceat(axes[term[at:to]] * value[at:to, None], first, axis=0)
-        at = to
+    out = gather(n, text, term, value, axes)
     return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
 
 
 def latent_axes(text: np.ndarray, term: np.ndarray, value: np.ndarray, n: int, k: int) -> np.ndarray:
     """The first k right singular vectors of a sparse matrix, by randomised subspace iteration."""
-    by_term = np.argsort(term, kind="stable")
-    kinds, starts = np.unique(term[by_term], return_index=True)
-
-    def down(x):  # terms -> texts
-        out = np.zeros((n, x.shape[1]))
-        first = np.flatnonzero(np.diff(text, prepend=-1))
-        out[text[first]] = np.add.reduceat(x[term] * value[:, None], first, axis=0)
-        return out
-
-    def up(x):  # texts -> terms
-        out = np.zeros((_TERMS, x.shape[1]))
-        out[kinds] = np.add.reduceat(x[text[by_term]] * value[by_term, None], starts, axis=0)
-        return out
-
-    k = min(k, n, len(kinds))
-    base = np.random.default_rng(7).standard_normal((_TERMS, min(k + 8, n)))
+    order = np.argsort(term, kind="stable")
+    by_term = term[order], text[order], value[order]
+    k = min(k, n, len(np.unique(term)))
+    base = np.random.default_rng(7).standard_normal((_TERMS, min(k + 8, n))).astype(np.float32)
     for _ in range(4):
-        base, _ = np.linalg.qr(up(down(base)))
-    left = down(base)
-    _, _, turn = np.linalg.svd(left, full_matrices=False)
+        base, _ = np.linalg.qr(gather(_TERMS, *by_term, gather(n, text, term, value, base)))
+    _, _, turn = np.linalg.svd(gather(n, text, term, value, base), full_matrices=False)
     return (base @ turn.T)[:, :k].astype(np.float32)
 
 
 class Voters:
     """The axes and the labelled vectors."""
 
-    def __init__(self, rows: list[tuple[int, list[int], list[int]]], axes: int):
-        self.labels = np.array([r[0] for r in rows], dtype=np.float32)
-        text = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
-        term = np.concatenate([np.asarray(r[1], np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-        count = np.concatenate([np.asarray(r[2], np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-        self.rarity = np.log((1 + len(rows)) / (1 + np.bincount(term, minlength=_TERMS))) + 1
+    def __init__(self, labels: np.ndarray, sizes: np.ndarray, term: np.ndarray, count: np.ndarray, axes: int):
+        """Labels, numbers of terms, and the terms with their counts, text after text."""
+        n, self.labels = len(labels), labels.astype(np.float32)
+        text = np.repeat(np.arange(n), sizes)
+        self.rarity = np.log((1 + n) / (1 + np.bincount(term, minlength=_TERMS))) + 1
         value = weights(text, term, count, self.rarity)
-        self.axes = latent_axes(text, term, value, len(rows), axes) if len(text) else np.zeros((_TERMS, 1), np.float32)
-        self.vectors = project(len(rows), text, term, value, self.axes)
+        self.axes = latent_axes(text, term, value, n, axes) if len(text) else np.zeros((_TERMS, 1), np.float32)
+        self.vectors = project(n, text, term, value, self.axes)
 
     def scores(self, column: pa.Array) -> np.ndarray:
         text, term, count = terms(column)
@@ -166,9 +157,10 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column, per_label: int, axes: int) -> Voters:
     sample = labelled_sample(docs, labels, "quality", id_col, text_col, learn, per_label)
-    rows = map_text(sample, _terms, _TERMS_OF, ["id", "label"]).collect()
-    rows = {r.id: r for r in sorted(rows, key=lambda r: (r.id, r.terms, r.counts))}
-    return Voters([(r.label, r.terms, r.counts) for _, r in sorted(rows.items())], axes)
+    rows = map_text(sample, _terms, _TERMS_OF, ["id", "label"]).dropDuplicates(["id"]).toArrow().combine_chunks().sort_by("id")
+    terms_of, counts_of = (rows.column(c).combine_chunks() for c in ("terms", "counts"))
+    sizes = np.diff(terms_of.offsets.to_numpy())
+    return Voters(rows.column("label").to_numpy(), sizes, terms_of.flatten().to_numpy(), counts_of.flatten().to_numpy(), axes)
 
 
 def _voting(voters):
