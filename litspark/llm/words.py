@@ -1,6 +1,6 @@
 """Words of Arrow text batches, their 64-bit hashes and hashes of word runs, in numpy.
 
-A batch is cut into slices of a few megabytes, so what a task holds does not follow the batch size.
+A batch is cut into slices of a megabyte, so what a task holds does not follow the batch size.
 One text is never split: its words take about 24 bytes each while it is handled.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 U64 = np.uint64
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 _BLOCK = 1 << 18
 
 
@@ -162,7 +162,8 @@ def map_text(docs: DataFrame, make, fields: T.StructType, keep: list[str], text:
     keep = [c for c in keep if c.lower() not in fresh]
     names = [f.name for f in fields]
     schema = T.StructType([docs.schema[c] for c in keep] + list(fields))
-    read = docs.select(*[docs[c] for c in keep], docs[text].alias(inner := free_name(docs, "text_")))
+    inner = text if text in keep else free_name(docs, "text_")
+    read = docs.select(*[docs[c] for c in keep], *([] if text in keep else [docs[text].alias(inner)]))
 
     def run(batches):
         work = make()
