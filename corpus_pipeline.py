@@ -57,9 +57,9 @@ def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def contamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the benchmark does not contaminate."""
-    row = docs.select(F.struct(*docs.columns).alias("row"), "text")
-    judged = contaminated_spans(row, table(spark, sf_dir, "benchmark"), ["row"])
-    return judged.where(~is_contaminated(F.col("n_words"), hit_words())).select("row.*")
+    names = [f"c{k}" for k in range(len(docs.columns))]  # so that no column meets an output's name
+    judged = contaminated_spans(docs.toDF(*names), table(spark, sf_dir, "benchmark"), names, names[docs.columns.index("text")])
+    return judged.where(~is_contaminated(F.col("n_words"), hit_words())).select(names).toDF(*docs.columns)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
