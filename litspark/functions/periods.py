@@ -30,12 +30,12 @@ def period_rank(period: Column) -> Column:
     return F.array_position(F.array(*[F.lit(n) for n in schema.PERIOD_NAMES]), period).cast("int")
 
 
-def periods_between(year_from: int, year_to: int) -> list[str]:
-    """Names of the periods a year range touches: the partitions a scan must read."""
+def periods_between(year_from: int | None, year_to: int | None) -> list[str]:
+    """Names of the periods a year range, open where a bound is None, touches: the partitions a scan must read."""
     return [
         name
         for name, lo, hi in schema.PERIODS
-        if (hi is None or year_from < hi) and (lo is None or year_to >= lo)
+        if (hi is None or year_from is None or year_from < hi) and (lo is None or year_to is None or year_to >= lo)
     ]
 
 

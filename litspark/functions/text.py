@@ -24,8 +24,8 @@ def na_normalise(c: Column) -> Column:
 
 
 def year_from_text(c: Column) -> Column:
-    """Whole-number year text, ``2002`` or ``2002.0``; anything else gives null."""
-    number = c.try_cast("double")
+    """Whole-number year text, ``2002``, ``2002.0`` or ``2.002e3``; anything else gives null."""
+    number = F.when(c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), c.try_cast("double"))
     return F.when(number == F.floor(number), number.try_cast("smallint"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from litspark.functions.text import bind
+
 def _zero() -> Column:
     return F.lit(0.0).cast("double")
 
@@ -22,8 +24,10 @@ def norm(v: Column) -> Column:
 
 def l2_normalise(v: Column) -> Column:
     """Unit length; a zero vector stays as it is."""
-    length = norm(v)
-    return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(x.cast("double")))
+    # bound, or the length would be worked out again for every element
+    return bind(F.struct(v.alias("v"), norm(v).alias("n")), lambda b: F.transform(
+        b["v"], lambda x: F.when(b["n"] > 0, x.cast("double") / b["n"]).otherwise(x.cast("double"))
+    ))
 
 
 def is_unit(length: Column) -> Column:

@@ -15,9 +15,9 @@ from litspark.sources.staging import stage
 COLUMNS = ["kind", "pair_key", "text_a", "text_b", "label"]
 
 
-def _cut(c: Column) -> Column:
-    # the pair texts of the training set are this long by definition
-    return F.substring(c, 1, schema.PAIR_TEXT_CHARS)
+def cut_texts(df: DataFrame, text_chars: int) -> DataFrame:
+    """Pairs with both texts cut to a length, for models that read no more."""
+    return df.withColumns({c: F.substring(c, 1, text_chars) for c in ("text_a", "text_b")})
 
 
 def _pairs(df: DataFrame, kind: str, key: Column, a: Column, b: Column) -> DataFrame:
@@ -35,7 +35,7 @@ def title_abstract(papers: DataFrame, n: int = schema.PAIR_TOTAL, seed: int = 42
     """Title and abstract of up to 40 % n papers whose abstract has more than 50 characters."""
     valid = papers.filter(F.length("abstract") > 50)
     chosen = sample_k(valid, n * 4 // 10, seed, ["paper_id"])
-    return _pairs(chosen, "title_abstract", _key("paper_id"), F.col("title"), _cut(F.col("abstract")))
+    return _pairs(chosen, "title_abstract", _key("paper_id"), F.col("title"), F.col("abstract"))
 
 
 def journal_year(
@@ -50,7 +50,7 @@ def journal_year(
     group = ["journal", "year"]
     order = [seeded_hash(seed, F.col("paper_id")), F.col("paper_id")]
     rows = papers.filter(F.col("journal").isNotNull()).select(
-        *group, "paper_id", _cut(text.embedding_text(F.col("title"), F.col("abstract"))).alias("body")
+        *group, "paper_id", text.embedding_text(F.col("title"), F.col("abstract")).alias("body")
     )
     few = top_k(rows, 2 * per_group, order, by=group)
     along = Window.partitionBy(*group).orderBy(*order)
@@ -130,7 +130,7 @@ def query_document(papers: DataFrame, termed: DataFrame, n: int = schema.PAIR_TO
         .select("paper_id", "tag", query_text(F.col("tag"), F.col("terms"), seed).alias("query"))
     )
     joined = papers.select("paper_id", "title", "abstract").join(small(asked, n // 4), "paper_id")
-    body = _cut(text.embedding_text(F.col("title"), F.col("abstract")))
+    body = text.embedding_text(F.col("title"), F.col("abstract"))
     return _pairs(joined, "query", _key("tag"), F.col("query"), body)
 
 
@@ -170,7 +170,7 @@ def negative(papers: DataFrame, n: int = schema.PAIR_TOTAL, seed: int = 42) -> D
         (tag * 2 + F.when(F.col("e.side") == "b", 1).otherwise(0)).alias("tag"), "e.pool", "e.pos"
     )
     drawn = rows_at(members, asked, seed, ["paper_id"], blocks, 2 * wanted, ["pool"])
-    body = _cut(text.embedding_text(F.col("title"), F.col("abstract")))
+    body = text.embedding_text(F.col("title"), F.col("abstract"))
     texts = papers.select("paper_id", "journal", body.alias("body")).join(small(drawn, 2 * wanted), "paper_id")
     here = F.struct("journal", "body", "pool")
     met = texts.groupBy(F.floor(tag / 2).alias("tag")).agg(
@@ -193,7 +193,7 @@ def small_fixed(papers: DataFrame, journals: int = 5, per_journal: int = 10, abs
     """A small pair set without draws: leading title-abstract pairs and neighbouring titles of top journals."""
     leading = top_k(papers.filter(F.col("abstract").isNotNull()), abstracts, [F.col("ord")])
     by_title = leading.select(
-        F.lit("title_abstract").alias("kind"), F.col("title").alias("text_a"), _cut(F.col("abstract")).alias("text_b"),
+        F.lit("title_abstract").alias("kind"), F.col("title").alias("text_a"), F.col("abstract").alias("text_b"),
         F.lit(1.0).alias("label"),
     )
     busiest = top_journals(papers, journals).select("journal")

@@ -119,10 +119,11 @@ def top_k(df: DataFrame, k: int, order: Sequence[Column], by: Sequence[str] = ()
     Two steps: each of ``fan`` groups of map tasks keeps its k best rows, then k are chosen from
     those. The last task sees at most ``fan * k`` rows, not k rows of every map task. The ranking
     filter also runs before the first shuffle, so a hot key leaves each map task as k rows. Spark
-    does that up to rank 1000; ``first_k`` is for more.
+    does that up to rank 1000. Beyond, and without keys, an ordered limit keeps a heap of k rows per task;
+    with keys the rows of a key are cut by ``fan`` tasks after the first shuffle.
     """
-    if k > PRUNED_K:
-        raise ValueError(f"top_k is for k up to {PRUNED_K}, use first_k")
+    if k > PRUNED_K and not by:
+        return df.orderBy(*order).limit(k)
     part = Window.partitionBy(*by, "_fan").orderBy(*order)
     best = (
         df.withColumn("_fan", F.pmod(F.spark_partition_id(), F.lit(fan)))

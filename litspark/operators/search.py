@@ -53,13 +53,15 @@ def in_journal_groups(papers: DataFrame, groups: DataFrame, selected: list[str])
 def prefilter(
     papers: DataFrame, journals: list[str] | None = None, year_from: int | None = None, year_to: int | None = None
 ) -> DataFrame:
-    """Journal and year filter; on a table partitioned by period it also prunes partitions."""
+    """Journal and year filter, either bound may be None; on a table partitioned by period it also prunes partitions."""
     if journals is not None:
         papers = papers.filter(F.col("journal").isin(journals))
-    if year_from is not None and year_to is not None:
-        papers = papers.filter(F.col("year").between(year_from, year_to))
-        if "period" in papers.columns:
-            papers = papers.filter(F.col("period").isin(periods.periods_between(year_from, year_to)))
+    if year_from is not None:
+        papers = papers.filter(F.col("year") >= year_from)
+    if year_to is not None:
+        papers = papers.filter(F.col("year") <= year_to)
+    if "period" in papers.columns and (year_from is not None or year_to is not None):
+        papers = papers.filter(F.col("period").isin(periods.periods_between(year_from, year_to)))
     return papers
 
 

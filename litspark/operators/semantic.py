@@ -39,8 +39,8 @@ def dot_scores(
         vector = np.asarray(wanted)
         for batch in batches:
             flat = np.asarray(batch.column(1).flatten(), dtype=np.float64)
-            scores = np.round(flat.reshape(batch.num_rows, len(vector)) @ vector, digits)
-            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores)], names=[key, "similarity"])
+            scores = flat.reshape(batch.num_rows, len(vector)) @ vector
+            made = pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.round(scores, digits))], names=[key, "similarity"])
             yield made if min_similarity is None else made.filter(pa.array(scores >= min_similarity))
 
     return sized.mapInArrow(score, out)
@@ -67,7 +67,7 @@ def similar_papers(
     year_from: int | None = None, year_to: int | None = None, min_similarity: float = 0.0,
 ) -> DataFrame:
     """All papers of a similarity search, in no order."""
-    if year_from is not None and year_to is not None and "period" in embeddings.columns:
+    if (year_from is not None or year_to is not None) and "period" in embeddings.columns:
         embeddings = embeddings.filter(F.col("period").isin(periods.periods_between(year_from, year_to)))
     close = dot_scores(embeddings, query, min_similarity=min_similarity)
     wanted = prefilter(papers, journals, year_from, year_to).filter(text.has_real_abstract(F.col("abstract")))

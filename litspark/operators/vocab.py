@@ -69,12 +69,12 @@ def tfidf_scores(found: DataFrame, kept: DataFrame, n_terms: int, key: str = "pa
 
 
 def tfidf_vocabulary(
-    texts: DataFrame, n_terms: int = 3000, sample: int | None = 30000, seed: int = 42, min_df: int = 3,
+    texts: DataFrame, n_terms: int = 3000, sample: int | None = None, seed: int = 42, min_df: int = 3,
     max_df: float = 0.3, key: str = "paper_id",
 ) -> DataFrame:
     """(term, score) of a corpus in (key, text); the highest score comes first when ordered by score, term.
 
-    ``sample=None`` takes every text, as does a corpus no larger than the sample. The usable terms are staged, being read several times to find
+    Every text is taken unless a smaller ``sample`` is asked for. The usable terms are staged, being read several times to find
     the most frequent ones. Texts are split twice, which is cheaper than storing all their terms.
     """
     documents = texts.count()

@@ -145,7 +145,7 @@ def _draw(what: str, draw: str, n: str) -> str:
 
 
 VOCAB = f"""{PAPERS},
-sampled as (select paper_id, text from papers order by h, paper_id limit 30000),
+sampled as (select paper_id, text from papers),
 kept_words as (select paper_id, list_filter(regexp_extract_all(lower(text), '{schema.TOKEN_PATTERN}'),
   lambda w: w not in ({_list(schema.STOP_WORDS)})) as ws from sampled),
 all_terms as (select paper_id, unnest(list_concat(ws,
@@ -165,7 +165,7 @@ termed as (select * from (select paper_id, h, list_filter(terms, lambda t: conta
   from papers, top_terms) where len(terms) > 0)"""
 
 N = schema.PAIR_TOTAL
-CUT = f"substr(%s, 1, {schema.PAIR_TEXT_CHARS})"
+CUT = "%s"
 
 TITLE_ABSTRACT = f"""title_abstract as (select 'title_abstract' as kind, 'title_abstract/' || paper_id as pair_key,
   title as text_a, {CUT % 'abstract'} as text_b, 1.0::double as label
@@ -396,7 +396,7 @@ oracle("split_boundary", PAPERS, """select rn as idx, paper_id, title, year from
 
 # ---- vocabulary and pairs
 
-oracle("vocab_df", VOCAB.replace("order by h, paper_id limit 30000", ""), "select * from dfs")
+oracle("vocab_df", VOCAB, "select * from dfs")
 oracle("vocab_tfidf", VOCAB, "select term, score, cast(rank as integer) as rank from ranked")
 oracle("paper_terms", TERMED, "select paper_id, array_to_string(terms, '|') as terms from termed")
 oracle("pairs_title_abstract", f"{PAPERS}, {TITLE_ABSTRACT}", "select * from title_abstract")

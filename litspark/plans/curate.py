@@ -25,6 +25,12 @@ def curate(records: DataFrame) -> DataFrame:
     return with_period(clean.null_broken_links(clean.with_paper_id(unique)))
 
 
+def rejects(spark: SparkSession, data_dir: str) -> DataFrame:
+    """Records that curation leaves out for what they lack: a whole-number year or a title, with the reason."""
+    typed, bad = read_papers(spark, data_dir)
+    return bad.unionByName(clean.rejected(typed).withColumn("year", F.col("year").cast("string")).select(bad.columns))
+
+
 def load_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
     """The curated papers under a folder, kept as a snapshot until its files change."""
     return snapshot(spark, "papers", data_dir, lambda: curate(read_papers(spark, data_dir)[0]), ["period"])

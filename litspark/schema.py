@@ -49,7 +49,6 @@ TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
 # Labels of the training pairs and their shares of the wanted total.
 PAIR_LABELS = {"title_abstract": 1.0, "journal_year": 0.7, "query": 0.9, "negative": 0.1}
 PAIR_TOTAL = 80000
-PAIR_TEXT_CHARS = 512
 
 # Query templates and the words that fill a template when terms are short.
 QUERY_TEMPLATES = [

@@ -23,10 +23,13 @@ def list_sources(spark: SparkSession, data_dir: str) -> DataFrame:
 
 
 def scan_period(spark: SparkSession, path: str, period: str) -> DataFrame:
-    """Raw text records of one period, columns bound by header name, with their place in the files."""
+    """Raw text records of one period, columns bound by header name, with their place in the files.
+
+    Part files of one folder must have one header; the read fails where a file has another.
+    """
     raw = (
         spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("mode", "PERMISSIVE").csv(path)
+        .option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
     )
     missing = [c for c in schema.PAPER_COLUMNS if c not in raw.columns]
     if missing:

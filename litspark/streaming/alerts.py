@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,11 +14,14 @@ from litspark.operators.search import QUERIES_PER_PASS, info_upper
 def saved_search_stream(papers: DataFrame, queries: list[tuple[int, str]], search_author: bool = False) -> DataFrame:
     """(query_id, paper columns…) for every arriving paper and saved query it matches.
 
-    The saved queries are an argument and stand in the expression as literals; the stream keeps no
-    state. A list too long for one expression must be run as several streams.
+    The saved queries are an argument and the stream keeps no state. Some stand in the expression as
+    literals; more than QUERIES_PER_PASS travel as one array value that every paper is held against.
     """
     if len(queries) > QUERIES_PER_PASS:
-        raise ValueError(f"at most {QUERIES_PER_PASS} saved queries per stream")
+        parsed = json.dumps([{"i": i, "groups": [[t.upper() for t in g] for g in keywords.query_groups(q)]} for i, q in queries])
+        asked = F.from_json(F.lit(parsed), "array<struct<i: bigint, groups: array<array<string>>>>")
+        matching = text.bind(info_upper(search_author), lambda info: F.filter(asked, lambda q: keywords.groups_match(q["groups"], info)))
+        return papers.select(F.explode(F.transform(matching, lambda q: q["i"])).alias("query_id"), *papers.columns)
     hit = text.bind(info_upper(search_author), lambda info: F.array_compact(F.array(*[
         F.when(keywords.keyword_predicate(q, info), F.lit(i).cast("bigint")) for i, q in queries
     ])))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,10 +18,10 @@ RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in schema.PAPE
 
 
 def drops(spark: SparkSession, data_dir: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of raw records. A stream needs a fixed schema, so drops must keep the column order."""
+    """Stream of raw records. A stream needs a fixed schema; a drop with another header fails the batch."""
     return (
         spark.readStream.schema(RAW_SCHEMA).option("header", True).option("multiLine", True).option("quote", '"')
-        .option("escape", '"').option("maxFilesPerTrigger", files_per_batch).csv(data_dir)
+        .option("escape", '"').option("enforceSchema", False).option("maxFilesPerTrigger", files_per_batch).csv(data_dir)
         .select(*schema.PAPER_COLUMNS, F.col("_metadata.file_path").alias("file"),
                 F.col("_metadata.file_block_start").alias("block"))
     )
@@ -34,15 +36,21 @@ def clean_batch(batch: DataFrame) -> DataFrame:
     return with_period(clean.null_broken_links(clean.with_paper_id(unique)))
 
 
-def add_unseen(spark: SparkSession, batch: DataFrame, batch_id: int, table: str, encoder=None) -> None:
-    """Write the batch's unseen papers as partition batch_id of the table.
+def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that Spark gave a checkpoint when it was made; restarts keep it."""
+    return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
+
+
+def add_unseen(spark: SparkSession, batch: DataFrame, batch_id: int, table: str, encoder=None, run_id: str = "none") -> None:
+    """Write the batch's unseen papers as partition (run_id, batch_id) of the table.
 
     What is seen is the table itself, less this batch: run again after a failure the same partition
-    is written again, so a batch counts once.
+    is written again, so a batch counts once. Batches count from 0 in every checkpoint, so the run's id
+    tells them apart.
     """
     new = clean_batch(batch)
     try:
-        seen = spark.read.parquet(table).filter(F.col("batch_id") != batch_id)
+        seen = spark.read.parquet(table).filter((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))
     except Exception as e:  # the first batch finds no table
         if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
             raise
@@ -53,15 +61,15 @@ def add_unseen(spark: SparkSession, batch: DataFrame, batch_id: int, table: str,
         new = stage(new)
         texts = with_text(new).select("paper_id", "text")
         new = new.join(encoder(texts), "paper_id")
-    out = new.drop("ord").withColumn("batch_id", F.lit(batch_id))
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "period").parquet(table)
+    out = new.drop("ord").withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id)})
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id", "period").parquet(table)
 
 
 def ingest_available(spark: SparkSession, data_dir: str, table: str, checkpoint: str, encoder=None, files_per_batch: int = 1000):
     """Take in all drops that have arrived, then stop. Returns the finished query."""
     query = (
         drops(spark, data_dir, files_per_batch).writeStream
-        .foreachBatch(lambda df, i: add_unseen(df.sparkSession, df, i, table, encoder))
+        .foreachBatch(lambda df, i: add_unseen(df.sparkSession, df, i, table, encoder, checkpoint_id(df.sparkSession, checkpoint)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -28,7 +28,9 @@ def collect(df):
 def test_title_abstract(papers):
     made = collect(pairs.title_abstract(papers, 100))
     assert len(made) == 40 and len({r.pair_key for r in made}) == 40
-    assert all(r.label == 1.0 and len(r.text_b) <= 512 for r in made)
+    assert all(r.label == 1.0 for r in made)
+    cut = pairs.cut_texts(pairs.title_abstract(papers, 100), 12)
+    assert {len(r.text_b) for r in collect(cut)} == {12}
     assert len(collect(pairs.title_abstract(papers, 100000))) == 192
 
 

@@ -60,8 +60,10 @@ def test_top_k_with_a_hot_key(spark):
     assert {r.id for r in got.collect()} == want
     best = ranks.top_k(df, 25, order, fan=4).collect()
     assert [r.id for r in best] == [r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))[:25]]
-    with pytest.raises(ValueError):
-        ranks.top_k(df, 1001, order)
+    most = ranks.top_k(df, 1001, order).collect()
+    assert [r.id for r in most] == [r[0] for r in sorted(rows, key=lambda r: (-r[2], r[0]))[:1001]]
+    each = ranks.top_k(df, 1001, order, by=["k"])
+    assert each.count() == sum(min(1001, sum(r[1] == k for r in rows)) for k in {r[1] for r in rows})
 
 
 def test_draws_name_rows_in_hash_order(spark):

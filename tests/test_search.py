@@ -6,7 +6,6 @@ from litspark import schema
 from litspark.operators import audit, encode, search, semantic
 from litspark.plans import search as plan
 
-
 ROWS = [
     (0, "Minimum wage", "x" * 60, "u", "aer", 2001),
     (1, "Tax and wages", "minimum " * 10, None, "jpe", 2002),
@@ -177,3 +176,15 @@ def test_counts_and_norms(spark, papers):
     assert tuple(got) == (5, 2, 4, 1, False)
     norms = audit.norm_stats(v, 3).first()
     assert (norms.vectors, norms.min_norm, norms.max_norm, norms.not_unit, norms.wrong_width) == (2, 1.0, 2.0, 1, 2)
+
+
+def test_open_year_bounds(papers_of):
+    papers = papers_of([(i, f"t{i}", "a", "u", "aer", 1990 + i) for i in range(30)])
+    assert search.prefilter(papers, year_from=2010).count() == 10
+    assert search.prefilter(papers, year_to=1999).count() == 10
+
+
+def test_no_journal_selected_finds_nothing(papers_of):
+    papers = papers_of([(0, "t", "a", "u", "aer", 1990)])
+    assert plan.keyword(papers, "t", journals=[]).count() == 0
+    assert plan.keyword(papers, "t").count() == 1

@@ -59,6 +59,18 @@ def test_scan(spark, drop):
     assert [(r.title, r.year) for r in bad.collect()] == [("Bad", "20x4")]
 
 
+def test_part_files_of_unlike_headers_fail(spark, tmp_path):
+    folder = str(tmp_path / "d")
+    write_csv(folder, "2000s", [["t", "a", "x", "u", "aer", "2001"]], HEAD, "papers_2000s.csv/part-0.csv")
+    write_csv(folder, "2000s", [["2012", "t", "a", "x", "u", "aer"]], [HEAD[-1], *HEAD[:-1]], "papers_2000s.csv/part-1.csv")
+    with pytest.raises(Exception, match="header|Header"):
+        papers.read_raw_papers(spark, folder).collect()
+
+
+def test_rejects(spark, drop):
+    assert [(r.title, r.year, r.reason) for r in curate.rejects(spark, drop).collect()] == [("Bad", "20x4", "year")]
+
+
 def test_no_source_at_all(spark, tmp_path):
     write_csv(str(tmp_path / "d"), "x", [["t"] * 6], name="other.csv")
     with pytest.raises(ValueError):

@@ -35,6 +35,21 @@ def test_stream_equals_batch(spark, tmp_path):
     assert keys(spark.read.parquet(table)) == keys(batch)
 
 
+def test_a_second_checkpoint_keeps_what_is_stored(spark, tmp_path):
+    table = str(tmp_path / "table")
+    for k in range(2):
+        write_csv(str(tmp_path / f"in{k}"), "", [[f"T{k}", "a", "x", f"http://u/{k}", "aer", "1999"]], name="papers_b2000.csv")
+        ingest.ingest_available(spark, str(tmp_path / f"in{k}"), table, str(tmp_path / f"state{k}"))
+    assert sorted(r.title for r in spark.read.parquet(table).collect()) == ["T0", "T1"]
+
+
+def test_more_saved_searches_than_an_expression_holds(spark, papers_of):
+    papers = papers_of([(0, "Minimum wage", "a", "u", "aer", 2001), (1, "Tax", None, "u", "aer", 2002)])
+    queries = [(i, f"none{i}") for i in range(2000)] + [(2000, "wage"), (2001, "tax|levy")]
+    got = sorted((r.query_id, r.paper_id) for r in alerts.saved_search_stream(papers, queries).collect())
+    assert got == [(2000, 0), (2001, 1)]
+
+
 def test_a_batch_run_twice_counts_once(spark, tmp_path):
     table = str(tmp_path / "table")
     batch = spark.createDataFrame(

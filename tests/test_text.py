@@ -26,8 +26,8 @@ def test_missing_tokens(spark):
 
 
 def test_year_text(spark):
-    values = ["2002", "2002.0", "2002.5", "abc", None, "99999"]
-    assert apply(spark, values, text.year_from_text) == [2002, 2002, None, None, None, None]
+    values = ["2002", "2002.0", "2002.5", "abc", None, "99999", "2002d", "2002f", "NaN", "2.002e3"]
+    assert apply(spark, values, text.year_from_text) == [2002, 2002, None, None, None, None, None, None, None, 2002]
 
 
 def test_titles(spark):
