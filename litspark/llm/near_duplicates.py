@@ -38,7 +38,7 @@ BANDS = 64
 #: Percent of shared shingles that links.
 PERCENT = 75
 #: Bands taken up to each turn.
-TURNS = (3, 12, BANDS)
+TURNS = (4, BANDS)
 #: Pairs across components for each member that a bucket may list.
 DIRECT_PAIRS = 16
 #: Members of a bucket whose join verifies as it is.
@@ -231,8 +231,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for lo, hi in zip((0, *TURNS), TURNS, strict=False):
         turn = _labelled(members.where(F.col("band").between(lo, hi - 1)), labels)
         found = stage(verify.links(_stars(turn)))
-        links = found if links is None else links.unionByName(found)
-        labels = components(links)
+        labels = components(found if links is None else links.unionByName(found))
+        links = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))  # what is known, as stars
     here = stage(_labelled(members, labels))
     rest = stage(_open(here))
     if rest.head(1):

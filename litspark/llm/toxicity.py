@@ -123,14 +123,22 @@ class Model:
         n, m = max(len(y), 1), len(self.features)
         w, b = np.zeros(m), 0.0
         speed_w, speed_b = np.zeros(m), 0.0
-        for step in range(400):
+        # The penalty's steepest curvature, by power iteration, bounds the steps.
+        x, steep = np.random.default_rng(3).standard_normal(m), 0.0
+        x /= max(np.linalg.norm(x), 1e-12)
+        for _ in range(30 if pairs else 0):
+            x = np.bincount(q, d * np.bincount(p, d * x[q], minlength=pairs)[p], minlength=m) * 2 * SWAP / n
+            steep = float(np.linalg.norm(x))
+            x /= max(steep, 1e-12)
+        most, steps = min(4.0, 1.0 / max(steep, 1e-9)), 400 if steep < 0.25 else 3000
+        for step in range(steps):
             z = np.bincount(i, w[j], minlength=len(y)) + b
             off = 1 / (1 + np.exp(-z)) - y
             slope = np.bincount(j, off[i], minlength=m) / n + RIDGE * w
             if pairs:
                 moved = np.bincount(p, d * w[q], minlength=pairs)
                 slope += 2 * SWAP * np.bincount(q, d * moved[p], minlength=m) / n
-            rate = 4.0 if step < 300 else 1.0
+            rate = most if step < 0.75 * steps else most / 4
             speed_w, speed_b = 0.9 * speed_w - rate * slope, 0.9 * speed_b - rate * off.mean() if len(y) else 0.0
             w, b = np.maximum(w + speed_w, 0.0), b + speed_b
             speed_w[w == 0] = 0
