@@ -24,6 +24,16 @@ def stage(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that nothing reads any more; files elsewhere are left alone."""
+    for df in tables:
+        spark = df.sparkSession
+        own = f"/litspark/{spark.sparkContext.applicationId}/"
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles() if own in f}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 _snapshots: dict[tuple, DataFrame] = {}
 
 

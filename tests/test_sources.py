@@ -134,6 +134,14 @@ def test_stage_keeps_rows_and_partitions(spark):
     assert sorted(map(tuple, back.select("i", "period").collect())) == [(1, "2000s"), (2, "b2000")]
 
 
+def test_discard_deletes_staged_tables_only(spark, tmp_path):
+    spark.range(3).write.parquet(str(tmp_path / "other"))
+    other, staged = spark.read.parquet(str(tmp_path / "other")), staging.stage(spark.range(3))
+    folder = staged.inputFiles()[0].removeprefix("file://").rpartition("/")[0]
+    staging.discard(other, staged)
+    assert other.count() == 3 and not os.path.exists(folder)
+
+
 def test_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(session, "_named_dir", lambda _: "/named/")
     assert session.shared_dir(spark) == "/named"
