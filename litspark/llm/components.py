@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from litspark.sources.staging import stage
+from litspark.sources.staging import discard, stage
 
 #: Rows of two 64-bit columns that may be broadcast: some 50 MB in a hash table.
 SMALL_ROWS = 500_000
+#: Files of a table of at most so many rows.
+SMALL_FILES = 8
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = SMALL_ROWS) -> DataFrame:
@@ -16,32 +18,45 @@ def small(df: DataFrame, rows: int | None = None, limit: int = SMALL_ROWS) -> Da
     return F.broadcast(df) if (df.count() if rows is None else rows) <= limit else df
 
 
+def _narrow(df: DataFrame) -> DataFrame:
+    """Edges (a, b), each once, the larger node first."""
+    return df.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Nodes of edges (a, b) with ``label``, the smallest node that each reaches.
 
     Each round points every node at its smallest neighbour, follows the pointers twice and contracts
     the edges; what is left shrinks by half or more a round. All tables stay distributed and each
-    round is written to the shared folder, so lineage does not grow.
+    round is written to the shared folder, so lineage does not grow; what a round no longer needs is
+    deleted. Rounds over few edges write few files.
     """
-    left = stage(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    left = stage(_narrow(edges))
     labels = None
-    while left.head(1):
+    while n := left.count():
+
+        def put(df: DataFrame, few: bool = 2 * n <= SMALL_ROWS) -> DataFrame:
+            return stage(df.coalesce(SMALL_FILES) if few else df)
+
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = stage(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
+        up = put(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
         for _ in range(2):
             over = up.where(F.col("node") != F.col("up")).select(F.col("node").alias("up"), F.col("up").alias("top"))
-            up = up.join(small(over), "up", "left").select("node", F.coalesce("top", "up").alias("up"))
-            up = stage(up)
-        moved = small(up)
+            last, up = up, put(up.join(small(over), "up", "left").select("node", F.coalesce("top", "up").alias("up")))
+            discard(last)
+        moved, before = small(up), [left]
         if labels is None:
             labels = up.select("node", F.col("up").alias("label"))
         else:
+            before += [labels, up]
             to = moved.select(F.col("node").alias("label"), "up")
             labels = stage(labels.join(to, "label", "left").select("node", F.coalesce("up", "label").alias("label")))
         for side in ("a", "b"):
             to = moved.select(F.col("node").alias(side), "up")
             left = left.join(to, side).drop(side).withColumnRenamed("up", side)
-        left = stage(left.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+        left = put(_narrow(left))
+        discard(*before)
+    discard(left)
     if labels is None:
-        return edges.select(F.col("a").alias("node"), F.col("a").alias("label")).where(F.lit(False))
+        return edges.sparkSession.createDataFrame([], edges.select("a", "b").schema).toDF("node", "label")
     return labels

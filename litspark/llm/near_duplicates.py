@@ -30,7 +30,7 @@ from pyspark.sql import types as T
 
 from litspark.llm.components import components, small
 from litspark.llm.words import NOT_BLANK, U64, constants, map_text, mix, run_hashes, split_words
-from litspark.sources.staging import stage
+from litspark.sources.staging import discard, stage
 
 SHINGLE = 5
 ROWS = 6
@@ -157,6 +157,7 @@ class _Verifier:
         nodes = stage(nodes)
         wanted = self.docs.join(small(nodes), "id", "left_semi")
         fresh = stage(map_text(wanted, _sets, _SET, ["id"]).where(F.size("members") > 0).dropDuplicates(["id"]))
+        discard(nodes)
         self.sets = fresh if self.sets is None else self.sets.unionByName(fresh)
         return self.sets
 
@@ -231,7 +232,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     for lo, hi in zip((0, *TURNS), TURNS, strict=False):
         turn = _labelled(members.where(F.col("band").between(lo, hi - 1)), labels)
         found = stage(verify.links(_stars(turn)))
-        labels = components(found if links is None else links.unionByName(found))
+        known, labels = labels, components(found if links is None else links.unionByName(found))
+        discard(found, *([] if known is None else [known]))
         links = labels.where("node != label").select(F.col("node").alias("a"), F.col("label").alias("b"))  # what is known, as stars
     here = stage(_labelled(members, labels))
     rest = stage(_open(here))
