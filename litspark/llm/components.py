@@ -11,6 +11,8 @@ from litspark.sources.staging import discard, stage
 SMALL_ROWS = 500_000
 #: Files of a table of at most so many rows.
 SMALL_FILES = 8
+#: Pointers followed in a round.
+HOPS = 3
 
 
 def small(df: DataFrame, rows: int | None = None, limit: int = SMALL_ROWS) -> DataFrame:
@@ -26,10 +28,11 @@ def _narrow(df: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """Nodes of edges (a, b) with ``label``, the smallest node that each reaches.
 
-    Each round points every node at its smallest neighbour, follows the pointers twice and contracts
-    the edges; what is left shrinks by half or more a round. All tables stay distributed and each
-    round is written to the shared folder, so lineage does not grow; what a round no longer needs is
-    deleted. Rounds over few edges write few files.
+    Each round points every node at its smallest neighbour, follows the pointers ``HOPS`` times and
+    contracts the edges; what is left shrinks by half or more a round. n edges have at most 2 * n nodes,
+    which says without another count whether the pointers may be broadcast. All tables stay distributed
+    and each round is written to the shared folder, so lineage does not grow; what a round no longer
+    needs is deleted. Rounds over few edges write few files.
     """
     left = stage(_narrow(edges))
     labels = None
@@ -39,12 +42,13 @@ def components(edges: DataFrame) -> DataFrame:
             return stage(df.coalesce(SMALL_FILES) if few else df)
 
         both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        up = put(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
-        for _ in range(2):
-            over = up.where(F.col("node") != F.col("up")).select(F.col("node").alias("up"), F.col("up").alias("top"))
-            last, up = up, put(up.join(small(over), "up", "left").select("node", F.coalesce("top", "up").alias("up")))
-            discard(last)
-        moved, before = small(up), [left]
+        first = put(both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("node"), F.least("a", "b").alias("up")))
+        over = small(first.where(F.col("node") != F.col("up")).select(F.col("node").alias("up"), F.col("up").alias("top")), 2 * n)
+        up = first
+        for _ in range(HOPS):
+            up = up.join(over, "up", "left").select("node", F.coalesce("top", "up").alias("up"))
+        up = put(up)
+        moved, before = small(up, 2 * n), [left, first]
         if labels is None:
             labels = up.select("node", F.col("up").alias("label"))
         else:
