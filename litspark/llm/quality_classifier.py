@@ -9,6 +9,8 @@ multiplied with all of them, block by block, and its nearest neighbours vote wit
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -155,12 +157,29 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id")
 
 
+def _fitted(axes: int):
+    """The classifier of all rows of a partition, pickled."""
+
+    def work(batches):
+        parts = list(batches)
+        if not parts:
+            return
+        rows = pa.Table.from_batches(parts).combine_chunks().sort_by("id")
+        terms_of, counts_of = (rows.column(c).combine_chunks() for c in ("terms", "counts"))
+        sizes = np.diff(terms_of.offsets.to_numpy())
+        made = Voters(rows.column("label").to_numpy(), sizes, terms_of.flatten().to_numpy(), counts_of.flatten().to_numpy(), axes)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(made)], pa.binary())], names=["model"])
+
+    return work
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column, per_label: int, axes: int) -> Voters:
+    """The classifier of the bounded sample, fitted in a task; only the axes and vectors reach the driver."""
     sample = labelled_sample(docs, labels, "quality", id_col, text_col, learn, per_label)
-    rows = map_text(sample, _terms, _TERMS_OF, ["id", "label"]).dropDuplicates(["id"]).toArrow().combine_chunks().sort_by("id")
-    terms_of, counts_of = (rows.column(c).combine_chunks() for c in ("terms", "counts"))
-    sizes = np.diff(terms_of.offsets.to_numpy())
-    return Voters(rows.column("label").to_numpy(), sizes, terms_of.flatten().to_numpy(), counts_of.flatten().to_numpy(), axes)
+    rows = map_text(sample, _terms, _TERMS_OF, ["id", "label"]).dropDuplicates(["id"])
+    made = rows.repartition(1).mapInArrow(_fitted(axes), "model binary").head()
+    none = np.empty(0, np.int64)
+    return pickle.loads(made.model) if made else Voters(none, none, none, none, axes)
 
 
 def _voting(voters):
