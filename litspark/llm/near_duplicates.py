@@ -12,8 +12,9 @@ How groups of copies stay linear: equal sets are one class, the smallest documen
 are taken a few at a time. In each bucket all classes are verified against the smallest one (a star, not
 all pairs) unless earlier bands have linked both, and linked classes are contracted to components. Only
 buckets that still hold two components need more. Where the pairs across components are few for each
-member they are all listed and verified. In other buckets the sets travel with the members, and the join
-itself verifies, so that only links come out; buckets of more than ``WIDE`` members are first split by
+member they are all listed and verified. In other buckets the sets travel with the members, so that only
+links come out: a bucket of at most ``WIDE`` members and ``HELD`` shingles is verified block by block in one
+task, in any other the join itself verifies; buckets of more than ``WIDE`` members are first split by
 each of their other bands, which separates classes that met by a common passage. So no link is lost to a
 cap. A pair goes to verification only if the
 lowest bits of both sketches agree often enough: at J = 0.75 of the ``BINS`` bits 7 in 8 agree, and fewer
@@ -43,6 +44,9 @@ TURNS = (4, BANDS)
 DIRECT_PAIRS = 16
 #: Members of a bucket whose join verifies as it is.
 WIDE = 4096
+#: Shingles of a bucket of at most WIDE members that one task may hold: 64 MB.
+HELD = 1 << 23
+_BLOCK = 256
 
 BINS = ROWS * BANDS
 LEAST_BITS = 300
@@ -189,23 +193,71 @@ def _stars(members: DataFrame) -> DataFrame:
 
 
 def _open(members: DataFrame) -> DataFrame:
-    """Buckets that hold more than one component, and whether the pairs across them are few."""
-    per = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"))
-    per = per.groupBy("key").agg(F.sum("c").alias("s"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("k"))
-    return per.where("k > 1").select("key", "s", (F.col("s") * F.col("s") - F.col("q") <= 2 * DIRECT_PAIRS * F.col("s")).alias("direct"))
+    """Buckets that hold more than one component, their members and shingles, and whether the pairs across them are few."""
+    per = members.groupBy("key", "label").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    per = per.groupBy("key").agg(F.sum("c").alias("s"), F.sum("w").alias("w"), F.sum(F.col("c") * F.col("c")).alias("q"), F.count(F.lit(1)).alias("k"))
+    return per.where("k > 1").select("key", "s", "w", (F.col("s") * F.col("s") - F.col("q") <= 2 * DIRECT_PAIRS * F.col("s")).alias("direct"))
 
 
-def _across(members: DataFrame, sets: DataFrame | None = None) -> DataFrame:
-    """Pairs of a bucket's members in different components; with sets, only the linked ones."""
-    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("bits").alias("theirs"))
+def _across(members: DataFrame, linked: bool = False) -> DataFrame:
+    """Pairs of a bucket's members in different components; of members with their sets only the linked ones."""
+    other = members.select("key", F.col("node").alias("b"), F.col("n").alias("m"), F.col("label").alias("other"), F.col("bits").alias("theirs"), *[F.col("members").alias("y")] * linked)
     meet = (F.col("node") > F.col("b")) & (F.col("label") != F.col("other")) & _alike(F.col("n"), F.col("m"), F.col("bits"), F.col("theirs"))
-    if sets is not None:
-        members = members.join(sets.select(F.col("id").alias("node"), F.col("members").alias("x")), "node")
-        other = other.join(sets.select(F.col("id").alias("b"), F.col("members").alias("y")), "b")
-        meet = meet & _linked("x", "y")
+    if linked:
+        meet = meet & _linked("members", "y")
     return members.join(other, "key").where(meet).select(F.col("node").alias("a"), "b")
 
 
+def bucket_links(node: np.ndarray, label: np.ndarray, bits: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join the components of a bucket's members; values hold their sets, each sorted."""
+    size, bits = np.diff(offsets), bits.view(U64)  # bitwise_count takes the absolute value of signed numbers
+    _, root = np.unique(label, return_inverse=True)
+    links = []
+    for at in range(0, len(node), _BLOCK):
+        to = min(at + _BLOCK, len(node))
+        differ = np.zeros((to - at, len(node)), np.int16)
+        for k in range(bits.shape[1]):
+            differ += np.bitwise_count(bits[at:to, None, k] ^ bits[None, :, k])
+        n, m = size[at:to, None], size[None, :]
+        may = (differ <= BINS - LEAST_BITS) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+        for i in range(at, to):
+            others = np.flatnonzero(may[i - at, :i])
+            others = others[root[others] != root[i]]
+            if not len(others):
+                continue
+            mine = values[offsets[i] : offsets[i + 1]]
+            ends = np.cumsum(size[others])
+            theirs = values[np.arange(ends[-1]) + np.repeat(offsets[others] - (ends - size[others]), size[others])]
+            place = np.minimum(np.searchsorted(mine, theirs), len(mine) - 1)
+            common = np.add.reduceat((mine[place] == theirs).astype(np.int64), ends - size[others])
+            for j in others[100 * common >= PERCENT * (len(mine) + size[others] - common)]:
+                if root[i] != root[j]:
+                    links.append((int(node[i]), int(node[j])))
+                    root[root == root[j]] = root[i]
+    return links
+
+
+def _held(table: pa.Table) -> pa.Table:
+    """The links of one bucket."""
+    table = table.combine_chunks()
+    bits, sets = (table.column(c).combine_chunks() for c in ("bits", "members"))
+    found = bucket_links(
+        table.column("node").to_numpy(), table.column("label").to_numpy(), bits.flatten().to_numpy().reshape(-1, BINS // 64),
+        sets.offsets.to_numpy().astype(np.int64) - sets.offsets[0].as_py(), sets.flatten().to_numpy().view(U64),
+    )
+    return pa.table({"a": pa.array([a for a, _ in found], pa.int64()), "b": pa.array([b for _, b in found], pa.int64())})
+
+
+def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of each bucket; ``s`` and ``w`` are its members and shingles."""
+    held = (F.col("s") <= WIDE) & (F.col("w") <= HELD)
+    full = members.join(sets.withColumnRenamed("id", "node"), "node")
+    links = full.where(held).select("key", "node", "label", "bits", "members").groupBy("key").applyInArrow(_held, "a long, b long")
+    if members.where(~held).head(1):
+        links = links.unionByName(_across(full.where(~held), True))
+    return stage(links.distinct())
+
+
 def _in_buckets(members: DataFrame) -> DataFrame:
     """Members of buckets that hold two classes or more."""
     full = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
@@ -240,11 +292,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if rest.head(1):
         here = stage(here.join(rest, "key"))
         links = links.unionByName(stage(verify.links(_across(here.where("direct")))))
-        large = here.where("not direct").select("key", "node", "n", "bits", "label", "s")
+        large = here.where("not direct").select("key", "node", "n", "bits", "label", "s", "w")
         if large.head(1):
             sets = verify.load(large.select(F.col("node").alias("id")).distinct())
-            links = links.unionByName(stage(_across(large.where(F.col("s") <= WIDE), sets).distinct()))
-            wide = large.where(F.col("s") > WIDE).drop("label")
+            links = links.unionByName(_verified(large.where(F.col("s") <= WIDE), sets))
+            wide = large.where(F.col("s") > WIDE).drop("label", "s", "w")
             if wide.head(1):
                 # Classes of wide buckets meet again where a second band agrees too.
                 other = bands.select("node", F.col("key").alias("other"))
@@ -253,8 +305,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 again = stage(_labelled(_in_buckets(again), labels))
                 links = links.unionByName(stage(verify.links(_stars(again))))
                 again = stage(_labelled(again, components(links)))
-                again = again.join(_open(again).select("key"), "key")
-                links = links.unionByName(stage(_across(again, sets).distinct()))
+                again = stage(again.join(_open(again), "key"))
+                links = links.unionByName(_verified(again, sets))
 
     final = components(links.unionByName(copies)).select(F.col("node").alias("id"), "label")
     out = rows.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("label", "id"))

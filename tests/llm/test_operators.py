@@ -153,6 +153,35 @@ def test_crowded_buckets_give_the_same_components(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()} == label
 
 
+def test_bucket_links_join_what_all_pairs_join():
+    draw = np.random.default_rng(1)
+    base = [draw.integers(0, 2**64, 100, dtype=np.uint64) for _ in range(8)]
+    sets = []
+    for i in range(300):
+        members = base[i % 8].copy()
+        k = int(draw.integers(0, 30))
+        members[draw.choice(100, k, replace=False)] = draw.integers(0, 2**64, k, dtype=np.uint64)
+        sets.append(np.unique(members))
+
+    def parts(links):
+        label = list(range(len(sets)))
+        for a, b in links:
+            label = [label[a] if x == label[b] else x for x in label]
+        return sorted(sorted(i for i, x in enumerate(label) if x == y) for y in set(label))
+
+    def linked(x, y):
+        common = len(np.intersect1d(x, y))
+        return 100 * common >= 75 * (len(x) + len(y) - common)
+
+    bits = np.array([near_duplicates.low_bits(near_duplicates.sketch(x)) for x in sets])
+    offsets, node = np.cumsum([0, *map(len, sets)]), np.arange(len(sets))
+    found = near_duplicates.bucket_links(node, node, bits, offsets, np.concatenate(sets))
+    want = parts((i, j) for i in range(len(sets)) for j in range(i) if linked(sets[i], sets[j]))
+    assert 8 < len(want) < len(sets)
+    assert parts(found) == want
+    assert not near_duplicates.bucket_links(node, np.zeros_like(node), bits, offsets, np.concatenate(sets))
+
+
 def test_tokens_equal_the_library(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     tokenizer = token_counts.load(path)
