@@ -1,7 +1,10 @@
 """Licence signatures: hand-written patterns, in order, on text with A-Z lower-cased.
 
-A rule is (label, rank, keyword, pattern). The keyword is a literal part of every match. Blanks in a
-pattern stand for any run of blanks and comment marks. Lower ranks win.
+A rule is (label, rank, keyword, pattern). The keyword says when the pattern is tried: alternatives stand
+between bars, and the text must hold all words of one, in any place. A match holds them all, whatever its
+blanks, so no match goes untried. Two sentences that several licences share (``SHARED``) also need the
+licence's name somewhere in the text. Blanks in a pattern stand for any run of blanks and comment marks.
+Lower ranks win.
 """
 
 from __future__ import annotations
@@ -10,6 +13,9 @@ from __future__ import annotations
 TAG, GRANT, VERSION, TITLE, LINK, MENTION = range(6)
 WORTH = {TAG: 1.0, GRANT: 1.0, VERSION: 0.9, TITLE: 0.8, LINK: 0.8, MENTION: 0.6}
 
+#: Words of keywords that need not be in the sentence: MPL, CDDL and ECL notices, and all GNU ones, have the same.
+SHARED = {"you may not use this file": "apache", "either version": "gnu"}
+
 #: label, SPDX stem, keyword, title, versions (empty: none are written), link
 _FAMILIES = [
     ("agpl", "agpl", "affero", r"(?:gnu )?affero (?:general )?public licen[sc]e", ["1.0", "3.0", "3"], r"gnu\.org/licenses/agpl"),
@@ -42,7 +48,7 @@ _FAMILIES = [
     ("zlib", "zlib", "zlib", r"zlib(?:/libpng)? licen[sc]e", [], r"opensource\.org/licenses?/zlib"),
     ("libpng", "libpng", "libpng", r"libpng licen[sc]e", ["2.0", "2"], r"libpng\.org/pub/png/src/libpng-license"),
     ("unlicense", "unlicense", "unlicen", r"the unlicen[sc]e", [], r"unlicense\.org"),
-    ("wtfpl", "wtfpl", "what the fuck", r"do what the fuck you want to public licen[sc]e", [], r"wtfpl\.net"),
+    ("wtfpl", "wtfpl", "fuck", r"do what the fuck you want to public licen[sc]e", [], r"wtfpl\.net"),
     ("python", "python", "python", r"python(?: software foundation)? licen[sc]e", ["2.0", "2"], r"python\.org/.{0,20}license"),
     ("php", "php", "php", r"php licen[sc]e", ["3.0", "3.01"], r"php\.net/license"),
     ("ruby", "ruby", "ruby", r"ruby licen[sc]e", [], r"ruby-lang\.org/.{0,20}license"),
@@ -54,9 +60,9 @@ _FAMILIES = [
     ("apsl", "apsl", "apple", r"apple public source licen[sc]e", ["1.0", "1.1", "1.2", "2.0"], r"opensource\.apple\.com/license/apsl"),
     ("ecl", "ecl", "educational", r"educational community licen[sc]e", ["1.0", "2.0"], r"opensource\.org/licenses?/ecl"),
     ("upl", "upl", "universal", r"universal permissive licen[sc]e", ["1.0"], r"opensource\.org/licenses?/upl"),
-    ("ncsa", "ncsa", "illinois", r"(?:university of illinois/)?(?:ncsa|illinois) open source licen[sc]e", [], r"opensource\.org/licenses?/ncsa"),
+    ("ncsa", "ncsa", "ncsa|illinois", r"(?:university of illinois/)?(?:ncsa|illinois) open source licen[sc]e", [], r"opensource\.org/licenses?/ncsa"),
     ("ipl", "ipl", "ibm", r"ibm public licen[sc]e", ["1.0"], r"opensource\.org/licenses?/ipl"),
-    ("qpl", "qpl", "q public", r"q public licen[sc]e", ["1.0"], r"opensource\.org/licenses?/qpl"),
+    ("qpl", "qpl", "public licen", r"q public licen[sc]e", ["1.0"], r"opensource\.org/licenses?/qpl"),
     ("sleepycat", "sleepycat", "sleepycat", r"sleepycat licen[sc]e", [], r"opensource\.org/licenses?/sleepycat"),
     ("vim", "vim", "vim", r"vim licen[sc]e", [], r"vimdoc\.sourceforge\.net/.{0,40}license"),
     ("x11", "x11", "x11", r"x11 licen[sc]e", [], r"xfree86\.org/.{0,40}license"),
@@ -90,37 +96,37 @@ _CREATIVE = [
 
 #: label, keyword, sentence of the licence text or of its usual notice
 _GRANTS = [
-    ("mit", "permission is hereby", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    ("mit", "as is", r"the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"),
-    ("isc", "permission to use", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
+    ("mit", "permission hereby documentation", r"permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", "merchantability", r"the software is provided \"as is\", without warranty of any kind, express or implied, including but not limited to the warranties of merchantability"),
+    ("isc", "permission distribute purpose", r"permission to use, copy, modify, and(?:/or)? distribute this software for any purpose with or without fee is hereby granted"),
     ("bsd", "redistribution", r"redistribution and use in source and binary forms, with or without modification, are permitted provided that"),
-    ("bsd-3-clause", "endorse or promote", r"neither the names? of .{1,200}? may be used to endorse or promote products derived from"),
+    ("bsd-3-clause", "endorse promote", r"neither the names? of [\s\S]{1,200}? may be used to endorse or promote products derived from"),
     ("bsd-4-clause", "advertising materials", r"all advertising materials mentioning features or use of this software must display"),
     ("apache", "apache", r"licensed under the apache licen[sc]e, version 2\.0"),
-    ("apache", "apache", r"you may not use this file except in compliance with the licen[sc]e"),
-    ("apache", "conditions for use", r"terms and conditions for use, reproduction, and distribution"),
-    ("gpl", "redistribute it", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
-    ("lgpl", "redistribute it", r"you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
-    ("agpl", "redistribute it", r"you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e"),
-    ("gpl", "gnu", r"either version [123] of the licen[sc]e, or \(at your option\) any later version"),
-    ("gfdl", "permission is granted", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[sc]e"),
-    ("mpl", "source code form", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
+    ("apache", "apache compliance", r"you may not use this file except in compliance with the licen[sc]e"),
+    ("apache", "conditions reproduction", r"terms and conditions for use, reproduction, and distribution"),
+    ("gpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu general public licen[sc]e"),
+    ("lgpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu (?:lesser|library) general public licen[sc]e"),
+    ("agpl", "redistribute", r"you can redistribute it and/or modify it under the terms of the gnu affero general public licen[sc]e"),
+    ("gpl", "gnu option", r"either version [123] of the licen[sc]e, or \(at your option\) any later version"),
+    ("gfdl", "permission gnu", r"permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation licen[sc]e"),
+    ("mpl", "mozilla", r"this source code form is subject to the terms of the mozilla public licen[sc]e"),
     ("zlib", "as-is", r"this software is provided 'as-is', without any express or implied warranty"),
     ("zlib", "misrepresented", r"the origin of this software must not be misrepresented"),
-    ("bsl", "boost", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
+    ("bsl", "permission hereby organization", r"permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software"),
     ("unlicense", "unencumbered", r"this is free and unencumbered software released into the public domain"),
     ("public-domain", "public domain", r"(?:released|dedicated|placed) (?:in|into|to) the public domain"),
-    ("cc0", "copyright and related", r"waive[sd]? all (?:of (?:his|her|their) )?(?:copyright and related|rights to the work)"),
-    ("wtfpl", "everyone is permitted", r"everyone is permitted to copy and distribute verbatim or modified copies"),
+    ("cc0", "waive", r"waive[sd]? all (?:of (?:his|her|their) )?(?:copyright and related|rights to the work)"),
+    ("wtfpl", "everyone permitted", r"everyone is permitted to copy and distribute verbatim or modified copies"),
     ("epl", "accompanying", r"the accompanying program is provided under the terms of this (?:eclipse|common) public licen[sc]e"),
     ("ofl", "font software", r"permission is hereby granted, free of charge, to any person obtaining a copy of the font software"),
     ("artistic", "package", r"the intent of this document is to state the conditions under which a package may be copied"),
-    ("postgresql", "permission to use", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee"),
-    ("elastic", "hosted or managed", r"you may not provide the software to third parties as a hosted or managed service"),
-    ("busl", "additional use grant", r"additional use grant"),
+    ("postgresql", "permission distribute documentation", r"permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee"),
+    ("elastic", "hosted managed", r"you may not provide the software to third parties as a hosted or managed service"),
+    ("busl", "additional grant", r"additional use grant"),
     ("all-rights-reserved", "rights reserved", r"all rights reserved"),
-    ("proprietary", "confidential", r"(?:proprietary and confidential|confidential and proprietary)"),
-    ("proprietary", "prohibited", r"unauthori[sz]ed (?:copying|use|distribution) .{1,80}? is (?:strictly )?prohibited"),
+    ("proprietary", "confidential proprietary", r"(?:proprietary and confidential|confidential and proprietary)"),
+    ("proprietary", "prohibited", r"unauthori[sz]ed (?:copying|use|distribution) [\s\S]{1,80}? is (?:strictly )?prohibited"),
 ]
 
 

@@ -1,6 +1,7 @@
 """Licence scan: ordered signature rules behind a keyword prefilter.
 
-One Aho-Corasick pass finds which keywords a text holds; only their rules' patterns run. A detection
+One Aho-Corasick pass finds which words of keywords a text holds; only patterns whose keyword is complete
+run. Words are looked for one by one, so a keyword that wraps over lines counts. A detection
 that lies inside another of the same or a better rank is dropped, so a title inside a full notice, or a
 short name inside a versioned one, does not count twice. The four base phrases are found on words, by
 word hashes, and are not suppressed.
@@ -35,23 +36,30 @@ FOUND = T.StructType([
 
 @cache
 def _compiled():
-    """Keyword to its rules in order, and the automaton of the keywords."""
-    by_keyword: dict = {}
+    """Rules with their compiled patterns, in order; the word a rule waits for to all words it needs; the automaton of all words."""
+    patterns, by_word, automaton = [], {}, ahocorasick.Automaton()
     for order, (label, rank, keyword, pattern) in enumerate(rules()):
         gaps = re.compile(pattern.replace("[- ]", "(?:-| )").replace(" ?", r"[\s#*/]*").replace(" ", r"[\s#*/]+"))
-        by_keyword.setdefault(keyword, []).append((order, label, rank, gaps))
-    automaton = ahocorasick.Automaton()
-    for keyword in by_keyword:
-        automaton.add_word(keyword, keyword)
+        patterns.append((label, rank, gaps))
+        for words in map(str.split, keyword.split("|")):
+            by_word.setdefault(words[0], []).append((order, frozenset(words)))
+            for word in words:
+                automaton.add_word(word, word)
     automaton.make_automaton()
-    return by_keyword, automaton
+    return patterns, by_word, automaton
+
+
+def tried(text: str) -> set[int]:
+    """The places in the list of rules of those whose keyword the text holds."""
+    _, by_word, automaton = _compiled()
+    words = {word for _, word in automaton.iter(text)}
+    return {order for w in words for order, needs in by_word.get(w, ()) if needs <= words}
 
 
 def detect(text: str) -> list[tuple[str, int, int, int]]:
     """(label, rank, first, last) of the detections that stay, by place; text with A-Z lower-cased, places in code points."""
-    by_keyword, automaton = _compiled()
-    words = {keyword for _, keyword in automaton.iter(text)}
-    found = [(m.start(), -m.end(), rank, order, label) for w in words for order, label, rank, pattern in by_keyword[w] for m in pattern.finditer(text)]
+    patterns = _compiled()[0]
+    found = [(m.start(), -m.end(), rank, order, label) for order in tried(text) for label, rank, pattern in [patterns[order]] for m in pattern.finditer(text)]
     kept, reach = [], {}
     for first, end, rank, _, label in sorted(found):
         # Any detection before this one starts no later; it covers this one if it reaches as far.

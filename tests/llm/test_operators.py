@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from litspark.llm import contamination as con
-from litspark.llm import licenses, mixing, near_duplicates, quality_classifier, quality_rules, substrings, token_counts, toxicity, warc_zip
+from litspark.llm import license_rules, licenses, mixing, near_duplicates, quality_classifier, quality_rules, substrings, token_counts, toxicity, warc_zip
 from litspark.llm.oracle import ORACLE
 from litspark.llm.queries import QUERIES, table
 from tools.check_oracle import TABLES, compare
@@ -206,6 +206,55 @@ def test_license_rules():
     assert found("mit einem hund") == []
 
 
+def samples(pattern):
+    """Texts that a pattern matches: every alternative, option and class member once."""
+
+    def made(nodes):
+        parts = [part(*x) for x in nodes]
+        first = [p[0] for p in parts]
+        return ["".join(first)] + ["".join([*first[:k], x, *first[k + 1 :]]) for k, p in enumerate(parts) for x in p[1:]]
+
+    def part(kind, value):
+        match str(kind):
+            case "LITERAL":
+                return [chr(value)]
+            case "IN":
+                return [chr(v) for k, v in value if str(k) == "LITERAL"] or ["a b"]
+            case "BRANCH":
+                return [x for way in value[1] for x in made(way)]
+            case "SUBPATTERN":
+                return made(value[-1])
+            case "MAX_REPEAT" | "MIN_REPEAT":
+                return [""] * (value[0] == 0) + [x for x in made(value[2]) if "NOT_LITERAL" not in str(value[2])] or [""]
+            case "ANY":
+                return ["x"]
+            case _:
+                return [""]
+
+    return made(re._parser.parse(pattern))
+
+
+def test_license_rules_are_tried_whatever_the_blanks():
+    compiled = licenses._compiled()[0]
+    for order, (label, rank, _, pattern) in enumerate(license_rules.rules()):
+        n = 0
+        for text in samples(pattern):
+            name = next((w for start, w in license_rules.SHARED.items() if pattern.startswith(start)), "")
+            for gap in (" ", "  ", "\n * ", "\n# "):
+                t = text.replace(" ", gap) + gap + name
+                if compiled[order][2].search(t):
+                    n += 1
+                    assert order in licenses.tried(t), (label, t)
+                    assert any(r <= rank for _, r, _, _ in licenses.detect(t)), (label, t)
+        assert n >= 4, pattern
+    found = lambda t: {x[0] for x in licenses.detect(t)}
+    assert found("all rights\n * reserved") == {"all-rights-reserved"}
+    assert found("ncsa open source license") == {"ncsa"}
+    assert found("to waive all rights to the work") == {"cc0"}
+    assert "bsl" in found("permission is\n# hereby granted, free of charge, to any person or organization obtaining a copy of the software")
+    assert "bsd-3-clause" in found("neither the name of the\n * holder nor its parts may be used to\n * endorse or promote products derived from")
+
+
 def test_license_base(spark):
     got = {r.doc_id: r for r in QUERIES["op2_licenses"](spark, SF).collect()}
     for r in table(spark, SF, "documents").collect():
