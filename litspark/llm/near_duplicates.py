@@ -15,8 +15,9 @@ buckets that still hold two components need more. Where the pairs across compone
 member they are all listed and verified. In other buckets the sets travel with the members, so that only
 links come out: a bucket of at most ``WIDE`` members and ``HELD`` shingles is verified block by block in one
 task, in any other the join itself verifies; buckets of more than ``WIDE`` members are first split by
-each of their other bands, which separates classes that met by a common passage. So no link is lost to a
-cap. A pair goes to verification only if the
+each of their other bands, which separates classes that met by a common passage. Wide buckets that hold two
+components even then are dealt in blocks, and every pair of blocks is verified: first on sizes and sketches,
+then with the sets of the members that have a partner there. So no link is lost to a cap. A pair goes to verification only if the
 lowest bits of both sketches agree often enough: at J = 0.75 of the ``BINS`` bits 7 in 8 agree, and fewer
 than ``LEAST_BITS`` do with a chance below 1e-6.
 """
@@ -208,6 +209,15 @@ def _across(members: DataFrame, linked: bool = False) -> DataFrame:
     return members.join(other, "key").where(meet).select(F.col("node").alias("a"), "b")
 
 
+def _may(size: np.ndarray, bits: np.ndarray, at: int, to: int) -> np.ndarray:
+    """Which of all members the members ``at : to`` may link with, by sizes and sketches."""
+    differ = np.zeros((to - at, len(size)), np.int16)
+    for k in range(bits.shape[1]):
+        differ += np.bitwise_count(bits[at:to, None, k] ^ bits[None, :, k])
+    n, m = size[at:to, None], size[None, :]
+    return (differ <= BINS - LEAST_BITS) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+
+
 def bucket_links(node: np.ndarray, label: np.ndarray, bits: np.ndarray, offsets: np.ndarray, values: np.ndarray) -> list[tuple[int, int]]:
     """Links that join the components of a bucket's members; values hold their sets, each sorted."""
     size, bits = np.diff(offsets), bits.view(U64)  # bitwise_count takes the absolute value of signed numbers
@@ -215,11 +225,7 @@ def bucket_links(node: np.ndarray, label: np.ndarray, bits: np.ndarray, offsets:
     links = []
     for at in range(0, len(node), _BLOCK):
         to = min(at + _BLOCK, len(node))
-        differ = np.zeros((to - at, len(node)), np.int16)
-        for k in range(bits.shape[1]):
-            differ += np.bitwise_count(bits[at:to, None, k] ^ bits[None, :, k])
-        n, m = size[at:to, None], size[None, :]
-        may = (differ <= BINS - LEAST_BITS) & (100 * np.minimum(n, m) >= PERCENT * np.maximum(n, m))
+        may = _may(size, bits, at, to)
         for i in range(at, to):
             others = np.flatnonzero(may[i - at, :i])
             others = others[root[others] != root[i]]
@@ -258,6 +264,32 @@ def _verified(members: DataFrame, sets: DataFrame) -> DataFrame:
     return stage(links.distinct())
 
 
+def _paired(table: pa.Table) -> pa.Table:
+    """Members of a pair of blocks that may link with one of another component there."""
+    size = table.column("n").to_numpy()
+    bits = table.column("bits").combine_chunks().flatten().to_numpy().reshape(-1, BINS // 64).view(U64)
+    _, root = np.unique(table.column("label").to_numpy(), return_inverse=True)
+    good = np.zeros(len(size), bool)
+    for at in range(0, len(size), _BLOCK):
+        to = min(at + _BLOCK, len(size))
+        good[at:to] = (_may(size, bits, at, to) & (root[at:to, None] != root[None, :])).any(axis=1)
+    return table.filter(pa.array(good))
+
+
+def _by_blocks(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links between the components of buckets of any size: two blocks of one bucket meet in a task."""
+    blocks = F.ceil(2 * F.greatest(F.col("s") / F.lit(WIDE), F.col("w") / F.lit(HELD))).cast("int")
+    dealt = members.withColumn("blocks", F.greatest(blocks, F.lit(1))).withColumn("mine", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # A block meets itself beside each other one; alone only where it is the bucket's whole.
+    dealt = dealt.where((F.col("mine") != F.col("other")) | (F.col("blocks") == 1))
+    key = F.xxhash64("key", F.least("mine", "other"), F.greatest("mine", "other")).alias("key")
+    met = dealt.select(key, "node", "n", "label", "bits")
+    met = stage(met.groupBy("key").applyInArrow(_paired, met.schema))
+    full = met.join(sets.withColumnRenamed("id", "node"), "node").select("key", "node", "label", "bits", "members")
+    return stage(full.groupBy("key").applyInArrow(_held, "a long, b long").distinct())
+
+
 def _in_buckets(members: DataFrame) -> DataFrame:
     """Members of buckets that hold two classes or more."""
     full = members.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo != hi").select("key")
@@ -307,6 +339,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 again = stage(_labelled(again, components(links)))
                 again = stage(again.join(_open(again), "key"))
                 links = links.unionByName(_verified(again, sets))
+                # What met in no second band, or met there with others only, is compared in the wide bucket itself.
+                last = stage(_labelled(wide, components(links)))
+                last = stage(last.join(_open(last).select("key", "s", "w"), "key"))
+                if last.head(1):
+                    links = links.unionByName(_by_blocks(last, sets))
 
     final = components(links.unionByName(copies)).select(F.col("node").alias("id"), "label")
     out = rows.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("label", "id"))

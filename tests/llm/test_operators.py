@@ -153,6 +153,20 @@ def test_crowded_buckets_give_the_same_components(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()} == label
 
 
+def test_a_pair_whose_only_bucket_is_wide_is_linked(spark, monkeypatch):
+    words = [f"p{i}" for i in range(64)]
+    tail = lambda k: " ".join(words + [f"x{k}a{j}" for j in range(10)])
+    first = " ".join(words[:33] + [f"z33a{j}" for j in range(14)] + words[47:])  # agrees with both in the band, links with none
+    texts = [first, tail(210), tail(459)]
+    keys = [near_duplicates.band_keys(near_duplicates.sketch(x)) for x in near_duplicates.shingle_sets(pa.array(texts))]
+    assert (keys[1] == keys[2]).sum() == 1 and ((keys[0] == keys[1]) & (keys[1] == keys[2])).sum() == 1
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(near_duplicates, "DIRECT_PAIRS", 0)
+    for wide in (4096, 2, 1):
+        monkeypatch.setattr(near_duplicates, "WIDE", wide)
+        assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 1}, wide
+
+
 def test_bucket_links_join_what_all_pairs_join():
     draw = np.random.default_rng(1)
     base = [draw.integers(0, 2**64, 100, dtype=np.uint64) for _ in range(8)]
