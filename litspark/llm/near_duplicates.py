@@ -101,13 +101,18 @@ def low_bits(coordinates: np.ndarray) -> np.ndarray:
     return np.packbits((coordinates & U64(1)).astype(np.uint8)).view(np.int64)
 
 
+def digest(members: np.ndarray) -> bytes:
+    """128 bits that equal sets share."""
+    return np.array([mix(members ^ c).sum(dtype=U64) for c in _DIGEST]).tobytes()
+
+
 def _sketches():
     def work(column):
         digests, sizes, bands, bits = [], [], [], []
         for members in shingle_sets(column):
             sizes.append(len(members))
             if len(members):
-                digests.append(np.array([mix(members ^ c).sum(dtype=U64) for c in _DIGEST]).tobytes())
+                digests.append(digest(members))
                 made = sketch(members)
                 bands.append(band_keys(made))
                 bits.append(low_bits(made))
@@ -120,12 +125,20 @@ def _sketches():
     return work
 
 
+def _lists(found: list[np.ndarray]) -> pa.Array:
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    values = np.concatenate(found) if found else np.empty(0, dtype=U64)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64)))
+
+
 def _sets():
+    return lambda column: (_lists(list(shingle_sets(column))),)
+
+
+def _digested_sets():
     def work(column):
         found = list(shingle_sets(column))
-        ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
-        values = np.concatenate(found) if found else np.empty(0, dtype=U64)
-        return (pa.ListArray.from_arrays(pa.array(ends), pa.array(values.view(np.int64))),)
+        return _lists(found), pa.array([digest(x) if len(x) else None for x in found], pa.binary())
 
     return work
 
@@ -152,16 +165,25 @@ def _linked(x: str, y: str):
 class _Verifier:
     """Verifies candidate pairs (a, b) on full sets; keeps the sets of nodes met before."""
 
-    def __init__(self, docs: DataFrame):
-        self.docs, self.sets, self.seen = docs, None, None
+    def __init__(self, docs: DataFrame, named: DataFrame | None = None):
+        """``named`` has node, id and digest of the classes that don't go by a document's id."""
+        self.docs, self.named, self.sets, self.seen = docs, named, None, None
 
     def load(self, nodes: DataFrame) -> DataFrame:
         """The sets of distinct nodes, and of all before."""
         if self.sets is not None:
             nodes = nodes.join(self.sets.select("id"), "id", "left_anti")
         nodes = stage(nodes)
-        wanted = self.docs.join(small(nodes), "id", "left_semi")
-        fresh = stage(map_text(wanted, _sets, _SET, ["id"]).where(F.size("members") > 0).dropDuplicates(["id"]))
+        plain = nodes if self.named is None else nodes.join(self.named.select(F.col("node").alias("id")), "id", "left_anti")
+        wanted = self.docs.join(small(plain, nodes.count()), "id", "left_semi")
+        fresh = map_text(wanted, _sets, _SET, ["id"]).where(F.size("members") > 0).dropDuplicates(["id"])
+        if self.named is not None:
+            asked = stage(self.named.join(nodes.select(F.col("id").alias("node")), "node", "left_semi"))
+            texts = self.docs.join(small(asked.select("id").distinct()), "id", "left_semi")
+            texts = map_text(texts, _digested_sets, T.StructType([*_SET, _SKETCH["digest"]]), ["id"])
+            one = texts.join(small(asked), ["id", "digest"]).select(F.col("node").alias("id"), "members").dropDuplicates(["id"])
+            fresh = fresh.unionByName(one)
+        fresh = stage(fresh)
         discard(nodes)
         self.sets = fresh if self.sets is None else self.sets.unionByName(fresh)
         return self.sets
@@ -307,11 +329,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stage(map_text(docs, _sketches, _SKETCH, ["id"]))
     useful = rows.where(F.col("id").isNotNull() & F.col("digest").isNotNull())
     classes = stage(useful.groupBy("digest").agg(F.min("id").alias("node"), F.any_value("n_shingles").alias("n"), F.any_value("bands").alias("bands"), F.any_value("bits").alias("bits")))
+    # A class goes by its smallest id, but where that id has several texts by 64 bits of its digest.
+    several = useful.groupBy("id").agg(F.min(F.xxhash64("digest")).alias("lo"), F.max(F.xxhash64("digest")).alias("hi"))
+    several = stage(several.where("lo != hi").select(F.col("id").alias("node")))
+    named = None
+    if several.head(1):
+        apart = stage(classes.join(small(several), "node", "left_semi").select(F.xxhash64("digest").alias("node"), F.col("node").alias("id"), "digest"))
+        if apart.head(1):
+            named, before = apart, classes
+            other = named.select("digest", F.col("node").alias("name"))
+            classes = stage(classes.join(small(other), "digest", "left").withColumn("node", F.coalesce("name", "node")).drop("name"))
+            discard(before)
     copies = useful.join(classes.select("digest", "node"), "digest").where("id != node").select(F.col("id").alias("a"), F.col("node").alias("b"))
 
     bands = classes.select("node", "n", F.posexplode("bands").alias("band", "key"))
     members = stage(_in_buckets(bands).join(classes.select("node", "bits"), "node"))
-    verify = _Verifier(docs)
+    verify = _Verifier(docs, named)
     links, labels = None, None
     for lo, hi in zip((0, *TURNS), TURNS, strict=False):
         turn = _labelled(members.where(F.col("band").between(lo, hi - 1)), labels)
@@ -346,5 +379,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                     links = links.unionByName(_by_blocks(last, sets))
 
     final = components(links.unionByName(copies)).select(F.col("node").alias("id"), "label")
+    if named is not None:  # names are no ids: their components take the smallest id
+        names = named.select(F.col("node").alias("id"))
+        ids = final.join(names, "id", "left_anti")
+        touched = final.join(names, "id", "left_semi").select("label").distinct()
+        least = stage(ids.join(touched, "label", "left_semi").groupBy("label").agg(F.min("id").alias("least")))
+        final = ids.join(small(least), "label", "left").select("id", F.coalesce("least", "label").alias("label"))
     out = rows.select("id", "n_shingles").join(final, "id", "left").withColumn("component_id", F.coalesce("label", "id"))
     return out.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -167,6 +167,19 @@ def test_a_pair_whose_only_bucket_is_wide_is_linked(spark, monkeypatch):
         assert {r.doc_id: r.component_id for r in near_duplicates.near_duplicates(docs).collect()} == {0: 0, 1: 1, 2: 1}, wide
 
 
+def test_every_text_of_a_repeated_id_keeps_its_links(spark):
+    draw = random.Random(3)
+    texts = [[f"t{k}w{draw.randrange(10**6)}" for _ in range(80)] for k in range(4)]
+    close = lambda w: " ".join([*w, "and", "more"])
+    a, b, c, d = texts
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (5, close(a)), (6, close(b)), (0, " ".join(c)), (3, " ".join(c)), (3, " ".join(d)), (7, close(d)), (8, close(c)), (9, "no one")]
+    want = {1: 1, 5: 1, 6: 1, 0: 0, 3: 0, 7: 0, 8: 0, 9: 9}
+    for order in (rows, rows[::-1]):
+        got = near_duplicates.near_duplicates(spark.createDataFrame(order, "doc_id bigint, text string").repartition(2)).collect()
+        assert len(got) == len(rows) and {r.doc_id: r.component_id for r in got} == want
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_bucket_links_join_what_all_pairs_join():
     draw = np.random.default_rng(1)
     base = [draw.integers(0, 2**64, 100, dtype=np.uint64) for _ in range(8)]
