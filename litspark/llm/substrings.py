@@ -62,18 +62,28 @@ def borders(words) -> np.ndarray:
     return np.union1d(words.lo[:-1][counts > 0], np.flatnonzero(chosen[place]) + 1)
 
 
-def _chunks():
+def _digests(words):
+    """A function that gives the digests of the words s to e, e not included."""
+    hashes = words.hashes()
+    n = len(hashes)
+    sums = np.zeros(n + 1, dtype=U64)
+    np.cumsum(hashes * _powers(_STEP, n + 1)[:n], out=sums[1:])
+    back = _powers(_BACK, n + 1)
+    return lambda s, e: mix((sums[e] - sums[s]) * back[s] + (e - s).astype(U64) * _LENGTH).view(np.int64)
+
+
+def _wholes():
     def work(column):
         words = split_words(column, NOT_BLANK, lower=True)
-        hashes, lo = words.hashes(), words.lo
-        n = len(hashes)
-        sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum(hashes * _powers(_STEP, n + 1)[:n], out=sums[1:])
-        back = _powers(_BACK, n + 1)
+        return (pa.array(_digests(words)(words.lo[:-1], words.lo[1:])),)
+
+    return work
 
-        def digest(s, e):
-            return mix((sums[e] - sums[s]) * back[s] + (e - s).astype(U64) * _LENGTH).view(np.int64)
 
+def _chunks():
+    def work(column):
+        words = split_words(column, NOT_BLANK, lower=True)
+        lo, digest = words.lo, _digests(words)
         all_borders = np.union1d(borders(words), lo)
         starts = all_borders[:-1]
         at = np.searchsorted(all_borders, starts + LEAST)
@@ -147,14 +157,12 @@ def _length(spans: str):
 
 
 def _cut(columns: list[str], text: str, hits: str):
-    """Removes the words of the spans whose digest is the text's; the blanks after them go too."""
+    """Removes the words of the spans; the blanks after them go too."""
 
     def cut(value: str, found: list) -> str:
-        column = pa.array([value])
-        words = split_words(column, NOT_BLANK, lower=True)
-        whole = _chunks()(column)[0][0].as_py()
+        words = split_words(pa.array([value]), NOT_BLANK, lower=True)
         raw, out, at = value.encode(), [], 0
-        for span in next((f["spans"] for f in found if f["whole"] == whole), []):
+        for span in found:
             out.append(raw[at : words.start[span["first"]]])
             after = span["last"] + 1
             at = words.start[after] if after < len(words.start) else len(raw)
@@ -174,9 +182,12 @@ def _cut(columns: list[str], text: str, hits: str):
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the chunks that a smaller document holds; all rows and columns stay."""
     found = repeated_chunks(docs, id_col, text_col).where(F.col("owner") < F.col("id")).distinct()
-    spans = stage(_spans(found).groupBy("id").agg(F.collect_list(F.struct("whole", "spans")).alias("hits")))
-    hits, key = free_name(docs, "hits_"), free_name(docs, "id_")
-    spans = spans.select(F.col("id").alias(key), F.col("hits").alias(hits))
-    total = spans.agg(F.sum(F.aggregate(hits, F.lit(0).cast("long"), lambda n, x: n + F.size(x["spans"])))).first()[0] or 0
-    joined = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).join(small(spans, total), key, "left").drop(key)
+    spans = stage(_spans(found).select("id", "whole", "spans"))
+    hits, key, whole = (free_name(docs, name) for name in ("hits_", "id_", "whole_"))
+    spans = spans.toDF(key, whole, hits)
+    total = spans.agg(F.sum(F.size(hits))).first()[0] or 0
+    # Spans meet the rows of their text, so rows that share an id, or have none, don't meet in one group.
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
+    rows = map_text(rows, _wholes, T.StructType([T.StructField(whole, T.LongType())]), rows.columns, text_col)
+    joined = rows.join(small(spans, total), [key, whole], "left").drop(key, whole)
     return joined.mapInArrow(_cut(docs.columns, text_col, hits), docs.schema)

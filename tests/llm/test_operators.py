@@ -384,6 +384,23 @@ def test_substrings_catch_every_long_passage(spark):
             assert len(grams[tuple(w[s.first : s.first + substrings.LEAST])]) > 1
 
 
+def test_rows_without_id_take_only_their_own_spans(spark, monkeypatch):
+    draw = random.Random(9)
+    passage = " ".join(f"s{draw.randrange(10**6)}" for _ in range(80))
+    rows = [(1, f"head {passage}")] + [(None, f"n{k} own {passage} end {k}") for k in range(150)] + [(2, f"m{k} {passage} last {k}") for k in range(150)]
+    met = []
+    monkeypatch.setattr(substrings, "small", lambda df, *rest: met.append(df) or df)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    got = sorted((str(r.doc_id), r.text) for r in substrings.remove_repeats(docs).collect())
+    assert len(got) == 301 and ("1", f"head {passage}") in got
+    cut = [(i, t) for i, t in got if i != "1"]
+    assert {t.split()[0] for _, t in cut} == {f"n{k}" for k in range(150)} | {f"m{k}" for k in range(150)}
+    assert all(t.split()[-2:] == [{"n": "end", "m": "last"}[t[0]], t.split()[0][1:]] for _, t in cut)
+    assert all(len(t.split()) < 60 for _, t in cut)
+    # one group a text, none of all texts that share an id
+    assert [df.count() for df in met] == [300]
+
+
 def test_borders_return_after_an_insertion():
     words = [f"t{i * 7919 % 1009}" for i in range(400)]
     made = lambda w: set(substrings._chunks()(pa.array([" ".join(w)]))[2][0].as_py())
