@@ -1,10 +1,12 @@
 """Substring dedup by content-defined chunks with a gear rolling hash.
 
 The gear hash of a text (word bytes, A-Z lower-cased, blanks skipped) shifts by one bit a byte, so its
-32 bits tell the last 32 bytes. A word end is a chunk border where its hash is the least of some
+32 bits tell the last 32 bytes; where the last ``REACH`` words are shorter, only their bits are taken. A word end is a chunk border where its hash is the least of some
 ``SPREAD`` consecutive word ends; borders then depend on nearby bytes only, are at most ``SPREAD`` words
 apart and return after an insertion. From each border a chunk reaches to the first border at least
-``LEAST`` words on. Two documents that share more than 50 words share whole chunks of them. Chunks meet
+``LEAST`` words on. Of a shared passage all word ends from the eighth on have equal hashes, so a border is
+found by the 15th, a chunk's end at most 27 words later, and 7 more words make it the same in both documents:
+two documents that share more than 50 words share whole chunks, however short the words. Chunks meet
 by their 64-bit digest; the smallest document that holds a chunk keeps it, others lose its words.
 """
 
@@ -23,6 +25,7 @@ from litspark.sources.staging import stage
 
 SPREAD = 8
 LEAST = 20
+REACH = 8
 _GEAR = (constants(21, 256) >> U64(32)).astype(np.uint32)
 _NEVER = np.uint32(0xFFFFFFFF)
 _NO_ID = (1 << 63) - 1
@@ -35,7 +38,7 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.Str
 
 
 def gear(words) -> np.ndarray:
-    """The gear hash at each word's end; words that end within a text's first 32 bytes are no border."""
+    """The gear hash at each word's end; words that end within a text's first 32 bytes and REACH words are no border."""
     size = words.end - words.start
     sums = _GEAR[words.data[NOT_BLANK[words.data]]]
     for k in range(5):
@@ -43,9 +46,11 @@ def gear(words) -> np.ndarray:
         shifted[1 << k :] += sums[: -(1 << k)] << np.uint32(1 << k)
         sums = shifted
     ends = np.cumsum(size)
-    before = np.concatenate([[0], ends])[words.lo[:-1]]
-    out = sums[ends - 1] if len(ends) else np.empty(0, np.uint32)
-    out[ends - np.repeat(before, words.counts()) < 32] = _NEVER
+    first = np.repeat(words.lo[:-1], words.counts())
+    from_word = np.maximum(np.arange(len(ends)) - (REACH - 1), first)
+    reach = np.minimum(ends - np.concatenate([[0], ends])[from_word], 32)
+    out = sums[ends - 1] << (32 - reach).astype(np.uint32) if len(ends) else np.empty(0, np.uint32)
+    out[(reach < 32) & (np.arange(len(ends)) - first < REACH - 1)] = _NEVER
     return out
 
 

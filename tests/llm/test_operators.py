@@ -401,6 +401,17 @@ def test_rows_without_id_take_only_their_own_spans(spark, monkeypatch):
     assert [df.count() for df in met] == [300]
 
 
+def test_short_words_share_chunks():
+    draw = random.Random(4)
+    for size in (1, 1, 1, 2, 9):
+        word = lambda n=size: "".join(draw.choice("0123456789abcdef") for _ in range(draw.randint(1, n)))
+        for _ in range(60):
+            passage = [word() for _ in range(51)]
+            texts = [" ".join([word() for _ in range(draw.randrange(60))] + passage + [word() for _ in range(draw.randrange(60))]) for _ in range(2)]
+            keys = substrings._chunks()(pa.array(texts))[2].to_pylist()
+            assert set(keys[0]) & set(keys[1]), texts
+
+
 def test_borders_return_after_an_insertion():
     words = [f"t{i * 7919 % 1009}" for i in range(400)]
     made = lambda w: set(substrings._chunks()(pa.array([" ".join(w)]))[2][0].as_py())
