@@ -27,10 +27,26 @@ def drops(spark: SparkSession, data_dir: str, files_per_batch: int = 1000) -> Da
     )
 
 
+def typed_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Typed records of one batch, and those whose year is not a whole number."""
+    numbered = batch.withColumn("ord", F.struct("file", "block", F.monotonically_increasing_id().alias("line")))
+    return clean.type_year(clean.normalise_missing(numbered.drop("file", "block"), schema.PAPER_COLUMNS))
+
+
+def rejected_batch(batch: DataFrame) -> DataFrame:
+    """Records of one batch left out for a bad year or a null title, with the reason; years stay text."""
+    typed, bad = typed_batch(batch)
+    return bad.unionByName(clean.rejected(typed).withColumn("year", F.col("year").cast("string")).select(bad.columns)).drop("ord")
+
+
+def rejects_path(table: str) -> str:
+    """Where the rejects of a table's batches are written."""
+    return f"{table.rstrip('/')}_rejects"
+
+
 def clean_batch(batch: DataFrame) -> DataFrame:
     """Curated, keyed papers of one batch."""
-    numbered = batch.withColumn("ord", F.struct("file", "block", F.monotonically_increasing_id().alias("line")))
-    typed, _ = clean.type_year(clean.normalise_missing(numbered.drop("file", "block"), schema.PAPER_COLUMNS))
+    typed, _ = typed_batch(batch)
     kept = clean.drop_book_reviews(clean.drop_missing_year(typed))
     unique = stage(clean.dedupe(clean.clean_titles(kept)))
     return with_period(clean.null_broken_links(clean.with_paper_id(unique)))
@@ -46,8 +62,10 @@ def add_unseen(spark: SparkSession, batch: DataFrame, batch_id: int, table: str,
 
     What is seen is the table itself, less this batch: run again after a failure the same partition
     is written again, so a batch counts once. Batches count from 0 in every checkpoint, so the run's id
-    tells them apart.
+    tells them apart. The batch's rejects go to ``rejects_path(table)``, by run_id and batch_id too.
     """
+    rejects = rejected_batch(batch).withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id)})
+    rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(rejects_path(table))
     new = clean_batch(batch)
     try:
         seen = spark.read.parquet(table).filter((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))

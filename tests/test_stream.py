@@ -62,6 +62,18 @@ def test_a_batch_run_twice_counts_once(spark, tmp_path):
     assert [r.batch_id for r in spark.read.parquet(table).collect()] == [0]
 
 
+def test_rejects_of_each_batch_are_written(spark, tmp_path):
+    table = str(tmp_path / "table")
+    rows = [("T", "a", "x", "http://u", "aer", "1999", "f", 0), ("Bad", "a", "x", "http://v", "aer", "20x4", "f", 0), (None, "a", "x", "http://w", "aer", "2001", "f", 0)]
+    batch = spark.createDataFrame(rows, "title string, authors string, abstract string, url string, journal string, year string, file string, block bigint")
+    for batch_id in (0, 0, 1):
+        ingest.add_unseen(spark, batch, batch_id, table, run_id="r")
+    got = spark.read.parquet(ingest.rejects_path(table)).collect()
+    assert sorted((r.run_id, r.batch_id, str(r.title), r.year, r.reason) for r in got) == [
+        ("r", k, t, y, why) for k in (0, 1) for t, y, why in (("Bad", "20x4", "year"), ("None", "2001", "title"))]
+    assert [r.title for r in spark.read.parquet(table).collect()] == ["T"]
+
+
 def test_saved_searches(spark, tmp_path, papers_of):
     arriving = papers_of([(0, "Minimum wage", "a", "u", "aer", 2001), (1, "Tax", None, "u", "aer", 2002)])
     path = str(tmp_path / "arriving")
