@@ -4,7 +4,7 @@ Each stage takes what the one before kept and returns the columns of documents;
 ``run`` writes every stage as Parquet to the shared folder and reads it again, so a lost executor costs a stage
 at most. The rows hold true for any table with doc_id, text and source; other columns pass through.
 
-* quality: documents that the classifier scores below 0.5 go. Where nothing is labelled all stay.
+* quality: documents that the classifier scores below 0.5 go. Where no labelled text can be learnt all stay.
 * near_duplicates: of each linked group the smallest doc_id stays; rows without doc_id stay.
 * substrings: passages that a smaller doc_id holds are cut out; a text that loses all its words goes.
 * contamination: documents that the benchmark contaminates go.
@@ -22,7 +22,7 @@ from litspark.llm.components import small
 from litspark.llm.contamination import contaminated_spans, hit_words, is_contaminated
 from litspark.llm.mixing import mix_sources
 from litspark.llm.near_duplicates import near_duplicates
-from litspark.llm.quality_classifier import quality_scores
+from litspark.llm.quality_classifier import held_out, quality_scores
 from litspark.llm.queries import table
 from litspark.llm.substrings import remove_repeats
 from litspark.llm.words import free_name
@@ -32,7 +32,9 @@ from litspark.sources.staging import stage
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier takes for good ones."""
     labels = table(spark, sf_dir, "labels")
-    if not labels.where(F.col("quality").isNotNull()).head(1):
+    known = labels.where(F.col("quality").cast("int").isin(0, 1) & ~held_out("doc_id", 3, 1)).select(F.col("doc_id").cast("long").alias("id"))
+    texts = docs.where(F.col("text").rlike("[^\\x20\\x09-\\x0D]")).select(F.col("doc_id").cast("long").alias("id"))
+    if not texts.join(known, "id", "left_semi").head(1):
         return docs
     score = free_name(docs, "score_")
     return quality_scores(docs, labels, docs.columns, score=score).where(F.col(score) >= 0.5).select(docs.columns)

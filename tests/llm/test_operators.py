@@ -5,6 +5,7 @@ import io
 import random
 import re
 import zipfile
+import zlib
 from itertools import pairwise
 
 import duckdb
@@ -121,6 +122,16 @@ def test_pipeline_decisions(spark):
     assert {r.doc_id for r in clean(spark, kept, SF).collect()} == {r.doc_id for r in kept.collect()} - bad
 
 
+def test_all_documents_stay_where_no_label_can_be_learnt(spark, tmp_path):
+    docs = spark.createDataFrame([(i, f"text of {i}", "en", "a", 9) for i in range(6)] + [(6, " ", "en", "a", 1)], SCHEMA)
+    out = next(i for i in range(6) if zlib.crc32(str(i).encode()) % 3 == 1)
+    blank, known = 6, [i for i in range(6) if zlib.crc32(str(i).encode()) % 3 != 1]
+    for k, (rows, least) in enumerate([([(out, 1)], 7), ([(900, 1), (None, 1)], 7), ([(blank, 1)], 7), ([(known[0], 7)], 7), ([(i, 0) for i in known], 0)]):
+        spark.createDataFrame([(*r, 0) for r in rows], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        kept = corpus_pipeline.quality(spark, docs, f"{tmp_path}/{k}").count()
+        assert kept == 7 if least else kept < 7, rows
+
+
 def test_sketch_fills_and_estimates():
     rng = np.random.default_rng(1)
     for n in (1, 2, 7, 100, 5000):
