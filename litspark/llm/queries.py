@@ -7,15 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from litspark.llm.alignment import token_alignment
 from litspark.llm.contamination import contamination
 from litspark.llm.licenses import license_scan
 from litspark.llm.mixing import mix_sources
 from litspark.llm.near_duplicates import near_duplicates
+from litspark.llm.packing import pack
 from litspark.llm.quality_classifier import quality_classifier
 from litspark.llm.quality_rules import quality_rules
 from litspark.llm.substrings import substring_repeats
 from litspark.llm.token_counts import token_counts
 from litspark.llm.toxicity import toxicity
+from litspark.llm.variants import corpus_variants
 from litspark.llm.warc_zip import pages_round_trip
 
 
@@ -64,10 +67,22 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_repeats(table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_warc, op2_licenses, op3_tokens, op4_near_duplicates, op5_mixing, op6_contamination, op7_quality_rules, op8_quality,
-        op9_toxicity, op10_substrings,
+        op9_toxicity, op10_substrings, op11_packing, op12_alignment, op13_variants,
     )
 }

@@ -45,6 +45,11 @@ def load(path: str):
     return tokenizer
 
 
+def known_characters() -> tuple[str, str]:
+    """Patterns: a character that the cut done here is not known to agree on, and the inside of a class of white space."""
+    return _STRANGE, _SPACE
+
+
 def byte_of_letter() -> dict[str, int]:
     """The letters that byte-level vocabularies write for bytes: printable Latin-1 as it is, the rest from U+0100 on."""
     plain = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
