@@ -1,71 +1,231 @@
-"""TF-IDF vocabulary."""
+"""TF-IDF vocabulary without moving texts or the tail of the vocabulary.
+
+Texts are split where they are read; a row is a document, so counts per document need no shuffle. To find the n most
+frequent usable terms, each task counts its rows in chunks of a bounded number of terms and sends only the leading terms of a
+chunk, together with the count that no unsent term of the chunk passes (its floor). The sum of what was sent is the
+least that a term can have; adding the floors of the chunks that did not send it gives the most. The n-th best least
+value is a threshold: a term whose most lies below it is out, without ever having travelled. Terms between the bounds are counted
+again, exactly. Where the floors do not suffice for that, chunks send more.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections import Counter
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark import schema
-from litspark.functions import text
-from litspark.operators.ranks import first_k, sample_k, small
-from litspark.sources.staging import stage
+from litspark.functions.batches import WordCutter, slices, word_characters
+from litspark.operators.ranks import sample_k
+from litspark.sources.staging import discard, stage
 
 SCORE_DIGITS = 6  # scores are rounded here, so terms that always occur together tie
+HELD = 500_000  # terms that a task counts before it sends them
+SENT_PER_TERM = 8  # leading terms that a chunk sends at first, for each wanted term
+RECOUNTED = 1_000_000  # terms that are held in each task to be counted again
+
+_COUNTS = "term string, ctf bigint, df bigint, floor bigint"
+
+
+class Occurrences:
+    """Terms of slices of lower-cased texts: words without stop words, and every two that stand next to each other."""
+
+    def __init__(self, characters: np.ndarray):
+        self.cut, self.stop = WordCutter(characters), frozenset(schema.STOP_WORDS)
+
+    def words(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Distinct words, the number of each that is no stop word, and its text."""
+        values, codes, text = self.cut(column)
+        kept = ~np.fromiter(map(self.stop.__contains__, values), bool, len(values))[codes]
+        return values, codes[kept], text[kept]
+
+    def counts(self, column: pa.Array) -> Iterator[tuple[str, int, int]]:
+        """(term, ctf, df) of a slice."""
+        values, codes, text = self.words(column)
+        if not len(codes):
+            return
+        yield from zip(*self._counted(codes, text, values.__getitem__), strict=True)
+        beside = text[1:] == text[:-1]
+        pairs, n = codes[:-1][beside] * len(values) + codes[1:][beside], len(values)
+        yield from zip(*self._counted(pairs, text[1:][beside], lambda p: f"{values[p // n]} {values[p % n]}"), strict=True)
+
+    @staticmethod
+    def _counted(codes: np.ndarray, text: np.ndarray, name) -> tuple[list[str], list[int], list[int]]:
+        order = np.argsort(codes, kind="stable")  # texts stay in order within a code
+        codes, text = codes[order], text[order]
+        first = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+        at = np.flatnonzero(first)
+        fresh = first.copy()
+        fresh[1:] |= text[1:] != text[:-1]
+        ctf = np.diff(np.append(at, len(codes)))
+        df = np.add.reduceat(fresh.astype(np.int64), at) if len(at) else ctf
+        return list(map(name, codes[at].tolist())), ctf.tolist(), df.tolist()
+
+
+class TermIndex:
+    """Finds given terms, of one or two words, in slices of texts."""
 
+    def __init__(self, terms: list[str]):
+        split = [t.split(" ") for t in terms]
+        self.word = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s))}
+        self.n = len(self.word)
+        self.single = np.full(self.n + 1, -1, np.int64)
+        pairs = []
+        for k, s in enumerate(split):
+            if len(s) == 1:
+                self.single[self.word[s[0]]] = k
+            else:
+                pairs.append((self.word[s[0]] * self.n + self.word[s[1]], k))
+        pairs.sort()
+        self.pair, self.of_pair = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
 
-def terms(body: Column) -> Column:
-    """Words without stop words."""
-    return F.filter(text.words(body), lambda w: ~w.isin(schema.STOP_WORDS))
+    def find(self, values: list[str], codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(term number, text) of every occurrence."""
+        if not len(codes):
+            return codes, text
+        known = np.fromiter((self.word.get(v, -1) for v in values), np.int64, len(values))[codes]
+        one = self.single[known]
+        two = np.full(len(codes), -1, np.int64)
+        if len(self.pair):
+            beside = np.flatnonzero((text[1:] == text[:-1]) & (known[1:] >= 0) & (known[:-1] >= 0))
+            pairs = known[beside] * self.n + known[beside + 1]
+            at = np.minimum(np.searchsorted(self.pair, pairs), len(self.pair) - 1)
+            hit = self.pair[at] == pairs
+            two[beside[hit]] = self.of_pair[at[hit]]
+        return np.concatenate([one[one >= 0], two[two >= 0]]), np.concatenate([text[one >= 0], text[two >= 0]])
 
 
-def with_neighbours(words: Column) -> Column:
-    """The words, and every two that stand next to each other."""
-    return text.bind(words, lambda w: F.concat(w, F.transform(
-        F.slice(w, F.lit(2), F.size(w)), lambda second, i: F.concat(F.element_at(w, i + 1), F.lit(" "), second)
-    )))
+def _lower(texts: DataFrame, body: str) -> DataFrame:
+    return texts.select(F.lower(body).alias("body"))
 
 
-def occurrences(texts: DataFrame, key: str = "paper_id", body: str = "text") -> DataFrame:
-    """(key, term), one row per occurrence.
+def _batch(columns: tuple, schema_names: tuple = ("term", "ctf", "df", "floor")) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(schema_names))
 
-    Texts are spread by key once, before they are split; all later work per document stays in its
-    partition.
+
+def _chunk_counts(texts: DataFrame, body: str, sent: int | None, held: int) -> DataFrame:
+    """(term, ctf, df, floor): per chunk of a task its ``sent`` leading terms, or all, and one row without a term.
+
+    ``floor`` is the count that no unsent term of the chunk passes.
     """
-    spread = texts.select(key, F.col(body).alias("_text")).repartition(F.col(key))
-    return spread.select(key, F.explode(with_neighbours(terms(F.col("_text")))).alias("term"))
+    characters = word_characters(texts.sparkSession)
+
+    def out(ctf: Counter, df: Counter) -> pa.RecordBatch:
+        terms, floor = list(ctf), 0
+        if sent is not None and len(terms) > sent:
+            sizes = np.fromiter(ctf.values(), np.int64, len(ctf))
+            floor = int(np.partition(sizes, len(sizes) - sent - 1)[len(sizes) - sent - 1])
+            terms = [t for t, n in ctf.items() if n > floor]  # those that tie with the first unsent one stay, too
+        rows = ([*terms, None], [*map(ctf.__getitem__, terms), 0], [*map(df.__getitem__, terms), 0], [floor] * (len(terms) + 1))
+        return _batch(rows)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, ctf, df = Occurrences(characters), Counter(), Counter()
+        for part in slices(batches, "body"):
+            for term, n, m in found.counts(part.column("body")):
+                ctf[term] += n
+                df[term] += m
+            if len(ctf) > held:
+                yield out(ctf, df)
+                ctf, df = Counter(), Counter()
+        if ctf:
+            yield out(ctf, df)
 
-def term_counts(found: DataFrame, key: str = "paper_id") -> DataFrame:
-    """(key, term, tf)"""
-    return found.groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    return _lower(texts, body).mapInArrow(run, _COUNTS)
 
 
-def document_frequency(counts: DataFrame) -> DataFrame:
-    """(term, df, ctf): documents that hold a term, and its occurrences in all of them."""
-    return counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("ctf"))
+def document_frequency(texts: DataFrame, body: str = "text") -> DataFrame:
+    """(term, df, ctf): documents that hold a term, and its occurrences in all of them. A row is a document.
+
+    All terms are the result, so all travel, counted beforehand in each task.
+    """
+    counts = _chunk_counts(texts, body, None, HELD).filter(F.col("term").isNotNull())
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+
 
+def recount(texts: DataFrame, terms: list[str], body: str = "text") -> DataFrame:
+    """(term, df, ctf) of given terms only, with at most one row per task and term on the way."""
+    spark = texts.sparkSession
+    characters, wanted = word_characters(spark), spark.sparkContext.broadcast(terms)
 
-def keep_terms(frequencies: DataFrame, documents: Column, n_terms: int, min_df: int, max_df: float) -> DataFrame:
-    """The n_terms most frequent terms that are neither too rare nor too common."""
-    usable = stage(frequencies.withColumn("n_docs", documents).filter(
-        (F.col("df") >= min_df) & (F.col("df") <= F.lit(max_df) * F.col("n_docs"))
-    ))
-    rarity = -F.col("ctf")
-    return first_k(usable, n_terms, F.struct(rarity.alias("r"), F.col("term")), rarity)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, index = Occurrences(characters), TermIndex(wanted.value)
+        ctf, df = np.zeros(len(wanted.value), np.int64), np.zeros(len(wanted.value), np.int64)
+        for part in slices(batches, "body"):
+            term, text = index.find(*found.words(part.column("body")))
+            ctf += np.bincount(term, minlength=len(ctf))
+            df += np.bincount(np.unique(term * part.num_rows + text) // part.num_rows, minlength=len(df))
+        at = np.flatnonzero(ctf)
+        yield _batch(([wanted.value[k] for k in at.tolist()], ctf[at], df[at], np.zeros(len(at), np.int64)))
 
+    return _lower(texts, body).mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
 
-def tfidf_scores(found: DataFrame, kept: DataFrame, n_terms: int, key: str = "paper_id") -> DataFrame:
-    """(term, score): sum over documents of the unit-length tf-idf weights of the kept terms.
 
-    Other terms are dropped before anything is counted.
+def frequent_terms(
+    texts: DataFrame, documents: int, n_terms: int, min_df: int, max_df: float, body: str = "text",
+    sent: int | None = None, held: int = HELD,
+) -> list[tuple[str, int]]:
+    """(term, df) of exactly the n_terms most frequent terms that are neither too rare nor too common; ties go by term."""
+    sent, most = sent or SENT_PER_TERM * n_terms, max_df * documents
+    ctf, df, floor = F.col("ctf"), F.col("df"), F.col("floor")
+    order = [ctf.desc(), F.col("term")]
+    while True:
+        chunks = stage(_chunk_counts(texts, body, sent, held))
+        total = chunks.filter(F.col("term").isNull()).agg(F.coalesce(F.sum("floor"), F.lit(0))).first()[0]
+        known = chunks.filter(F.col("term").isNotNull()).groupBy("term").agg(
+            F.sum("ctf").alias("ctf"), F.sum("df").alias("df"), (F.lit(total) - F.sum("floor")).alias("floor")
+        )  # floor: what a term may still gain
+        known = stage(known.filter((df + floor >= min_df) & (df <= most)))
+        discard(chunks)
+        sure = known.filter((df >= min_df) & (df + floor <= most))
+        leading = [r.ctf for r in sure.orderBy(*order).limit(n_terms).select("ctf").collect()]
+        threshold = leading[-1] if len(leading) == n_terms else 0
+        candidates = known.filter(ctf + floor >= threshold)
+        unsure = candidates.filter(floor > 0).select("term")
+        # unsent terms are out if they have too few documents or occurrences at the most
+        closed = total == 0 or total < min_df or total < threshold
+        if closed and (total == 0 or unsure.limit(RECOUNTED + 1).count() <= RECOUNTED):
+            break
+        sent *= 8
+    exact = candidates.filter(floor == 0).select("term", "df", "ctf")
+    if total:
+        again = [r.term for r in unsure.collect()]
+        if again:
+            exact = exact.unionByName(recount(texts, again, body).filter((df >= min_df) & (df <= most)))
+    return [(r.term, r.df) for r in exact.orderBy(*order).limit(n_terms).select("term", "df").collect()]
+
+
+def tfidf_scores(texts: DataFrame, kept: list[tuple[str, int]], documents: int, body: str = "text") -> DataFrame:
+    """(term, score): sum over documents of the unit-length tf-idf weights of the kept (term, df).
+
+    Each task adds up its rows and sends one row per kept term that it has seen.
     """
-    kept = small(kept, n_terms)
-    counts = term_counts(found.join(kept.select("term"), "term", "left_semi"), key)
-    idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
-    weighted = counts.join(kept, "term").select(key, "term", (F.col("tf") * idf).alias("weight"))
-    length = F.sqrt(F.sum(F.col("weight") * F.col("weight")).over(Window.partitionBy(key)))
-    unit = weighted.select("term", (F.col("weight") / length).alias("weight"))
-    return unit.groupBy("term").agg(F.round(F.sum("weight"), SCORE_DIGITS).alias("score"))
+    spark = texts.sparkSession
+    characters, terms = word_characters(spark), spark.sparkContext.broadcast([t for t, _ in kept])
+    idf = np.log((1 + documents) / (1 + np.array([d for _, d in kept], np.float64))) + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, index = Occurrences(characters), TermIndex(terms.value)
+        score = np.zeros(len(idf))
+        for part in slices(batches, "body"):
+            n = part.num_rows
+            term, text = index.find(*found.words(part.column("body")))
+            key, tf = np.unique(text * len(idf) + term, return_counts=True)
+            text, term = key // max(1, len(idf)), key % max(1, len(idf))
+            weight = tf * idf[term]
+            length = np.sqrt(np.bincount(text, weight * weight, n))
+            score += np.bincount(term, weight / length[text], len(idf))
+        at = np.flatnonzero(score)
+        names = [terms.value[k] for k in at.tolist()]
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(score[at])], names=["term", "score"])
+
+    sums = _lower(texts, body).mapInArrow(run, "term string, score double")
+    return sums.groupBy("term").agg(F.round(F.sum("score"), SCORE_DIGITS).alias("score"))
 
 
 def tfidf_vocabulary(
@@ -74,16 +234,14 @@ def tfidf_vocabulary(
 ) -> DataFrame:
     """(term, score) of a corpus in (key, text); the highest score comes first when ordered by score, term.
 
-    Every text is taken unless a smaller ``sample`` is asked for. The usable terms are staged, being read several times to find
-    the most frequent ones. Texts are split twice, which is cheaper than storing all their terms.
+    Every text is taken unless a smaller ``sample`` is asked for. A row is a document; null texts count as documents without
+    terms. ``n_terms`` bounds what the driver holds.
     """
     documents = texts.count()
     if sample is not None and documents > sample:
         texts = sample_k(texts.select(key, "text"), sample, seed, [key])
         documents = sample
-    found = occurrences(texts, key)
-    kept = keep_terms(document_frequency(term_counts(found, key)), F.lit(documents), n_terms, min_df, max_df)
-    return tfidf_scores(found, kept, n_terms, key)
+    return tfidf_scores(texts, frequent_terms(texts, documents, n_terms, min_df, max_df), documents)
 
 
 def ranked(vocabulary: DataFrame, n: int | None = None) -> DataFrame:

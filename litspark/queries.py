@@ -393,7 +393,7 @@ def split_boundary(spark, sf):
 
 @query
 def vocab_df(spark, sf):
-    return vocab.document_frequency(vocab.term_counts(vocab.occurrences(_texts(spark, sf))))
+    return vocab.document_frequency(_texts(spark, sf))
 
 
 @query

@@ -44,7 +44,8 @@ BLANKS = (
 )
 
 # A word: two or more letters, digits or underscores.
-TOKEN_PATTERN = r"[\p{L}\p{N}_]{2,}"
+WORD_CHARACTER = r"[\p{L}\p{N}_]"
+TOKEN_PATTERN = WORD_CHARACTER + "{2,}"
 
 # Labels of the training pairs and their shares of the wanted total.
 PAIR_LABELS = {"title_abstract": 1.0, "journal_year": 0.7, "query": 0.9, "negative": 0.1}

@@ -10,7 +10,7 @@ from litspark.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    return local_session("8", shuffle_partitions=3, memory="6g")
+    return local_session(os.environ.get("TEST_CPUS", "8"), shuffle_partitions=3, memory="6g")
 
 
 @pytest.fixture(scope="session")
