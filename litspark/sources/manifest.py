@@ -80,8 +80,8 @@ def manifest_document(entries: DataFrame, model_name: str, dim: int, note: str =
     return entries.agg(
         F.date_format(F.min("created"), iso).alias("creation_date"),
         F.date_format(F.max("created"), iso).alias("last_update"),
-        F.sum("num_papers").alias("total_papers"),
-        F.sum("file_size_mb").alias("total_size_mb"),
+        F.coalesce(F.sum("num_papers"), F.lit(0)).alias("total_papers"),
+        F.coalesce(F.sum("file_size_mb"), F.lit(0.0)).alias("total_size_mb"),
         sorted_entries.alias("entries"),
     ).select(
         F.lit(model_name).alias("model_name"), F.lit(dim).alias("embedding_dim"), "creation_date", "last_update",
