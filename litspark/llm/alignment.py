@@ -21,6 +21,7 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 
 from litspark.llm.components import small
 from litspark.llm.token_counts import byte_of_letter, load
-from litspark.llm.token_ids import Memo, distinct, gather, library_encoder
+from litspark.llm.token_ids import Memo, distinct, gather, kept
 from litspark.llm.words import free_name, slices, text_bytes
 from litspark.sources.staging import stage
 
@@ -109,44 +110,79 @@ def _cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(starts), len(data))
 
 
+#: Segments whose characters every splitter classes alike, that end in no white space: they may stand beside each other.
+_PLAIN = re.compile("[ ][\\t\\n\\r -~\u00c0-\u024f\u0400-\u045f\u4e00-\u9fa5\uac00-\ud7a3]*[!-~\u00c0-\u024f\u0400-\u045f\u4e00-\u9fa5\uac00-\ud7a3]")
+#: The split that byte-level vocabularies of this kind fix.
+_SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Segments that B encodes in one call; its time grows faster than a text.
+_TOGETHER = 200
+
+
 class Tokenizers:
-    """Both tokenizers with the bytes of their tokens; A writes bytes as letters, B pieces with a mark for blanks."""
+    """Both tokenizers with the bytes of their tokens; A writes bytes as letters, B pieces with a mark for blanks.
+
+    Segments of plain characters are encoded many in one text, which a cut between segments does not change; where
+    each ends is read off the tokens' bytes. Others are encoded alone.
+    """
 
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
-
-        a, self.b = load(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
-        a.encode_special_tokens = True
-        byte = byte_of_letter()
-        self.a_bytes = [b""] * (max(a.get_vocab().values()) + 1)
-        for token, at in a.get_vocab().items():
-            self.a_bytes[at] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode()
+        import tiktoken
+
+        self.a, self.b = load(a_path), sentencepiece.SentencePieceProcessor(model_file=b_path)
+        self.a.encode_special_tokens = True
+        byte, special = byte_of_letter(), {t.content for t in self.a.get_added_tokens_decoder().values()}
+        vocabulary = self.a.get_vocab()
+        self.a_bytes = [b""] * (max(vocabulary.values()) + 1)
+        for token, at in vocabulary.items():
+            self.a_bytes[at] = token.encode() if token in special else bytes(byte[c] for c in token)
+        ranks = {self.a_bytes[at]: at for token, at in vocabulary.items() if token not in special}
+        self.a_joined = tiktoken.Encoding("a", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
         pieces = [self.b.id_to_piece(k) for k in range(self.b.get_piece_size())]
         if any(re.search(f"[^{_BLANK}]{_BLANK}", p) for p in pieces):
             raise ValueError("pieces with a blank inside: texts can't be cut at blanks")
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(k) else p.replace(_BLANK, " ").encode() for k, p in enumerate(pieces)]
-        self.a_memo, self.b_memo = Memo(_faithful(library_encoder(a), self.a_bytes)), Memo(_faithful(self._encode_b, self.b_bytes))
         self.a_size, self.b_size = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         self.blank = [self.b.piece_to_id(_BLANK)]
-
-    def _encode_b(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        out = self.b.encode([s[1:] for s in segments], num_threads=1)  # B adds the first blank itself, but not to nothing
-        out = [ids or self.blank for ids in out]
-        sizes = np.fromiter(map(len, out), np.int64, len(out))
-        return np.fromiter((x for ids in out for x in ids), np.int32, int(sizes.sum())), sizes
-
-
-def _faithful(encode, made: list[bytes]):
-    """The encoder, without tokens for strings whose bytes the tokens do not give back."""
-
-    def checked(values: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        flat, sizes = encode(values)
-        to, ids = np.cumsum(sizes), flat.tolist()
-        spans = zip(values, (to - sizes).tolist(), to.tolist(), strict=True)
-        right = np.array([b"".join([made[t] for t in ids[x:y]]) == v.encode() for v, x, y in spans], bool)
-        return flat[np.repeat(right, sizes)], sizes * right
-
-    return checked
+        self.memo = Memo(self.encode)
+
+    def encode(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Per segment the number of A's tokens, A's tokens and B's; a segment that either does not give back has -1 alone."""
+        plain = np.fromiter((_PLAIN.fullmatch(s) is not None for s in segments), bool, len(segments))
+        parts: list = [None] * len(segments)
+        at = np.flatnonzero(plain).tolist()
+        left = np.flatnonzero(~plain).tolist()
+        for lo in range(0, len(at), _TOGETHER):
+            group = at[lo : lo + _TOGETHER]
+            made = self._together([segments[k] for k in group])
+            if made is None:
+                left += group
+                continue
+            for k, x in zip(group, made, strict=True):
+                parts[k] = x
+        for k in left:
+            parts[k] = self._alone(segments[k])
+        return np.fromiter(chain.from_iterable(parts), np.int32), np.fromiter(map(len, parts), np.int64, len(parts))
+
+    def _together(self, segments: list[str]) -> list[list[int]] | None:
+        text = "".join(segments)
+        raw = text.encode()
+        ends = np.cumsum([len(s) for s in segments]) if len(raw) == len(text) else np.cumsum([len(s.encode()) for s in segments])
+        sides = []
+        for ids, made, size in ((self.a_joined.encode_ordinary(text), self.a_bytes, self.a_size), (self.b.encode(text[1:]), self.b_bytes, self.b_size)):
+            to = np.searchsorted(token_ends := np.cumsum(size[ids]), ends)
+            if b"".join([made[t] for t in ids]) != raw or (token_ends[to] != ends).any():
+                return None
+            to = (to + 1).tolist()
+            sides.append([ids[x:y] for x, y in zip([0, *to[:-1]], to, strict=True)])
+        return [[len(x), *x, *y] for x, y in zip(*sides, strict=True)]
+
+    def _alone(self, segment: str) -> list[int]:
+        a = self.a.encode(segment, add_special_tokens=False).ids
+        b = self.b.encode(segment[1:]) or self.blank  # B adds the first blank itself, but not to nothing
+        raw = segment.encode()
+        same = all(b"".join([made[t] for t in ids]) == raw for ids, made in ((a, self.a_bytes), (b, self.b_bytes)))
+        return [len(a), *a, *b] if same else [-1]
 
 
 @dataclass
@@ -171,15 +207,17 @@ def align(tokenizers: Tokenizers, column: pa.Array) -> Aligned:
     starts = _cuts(data, offsets)
     lo = np.searchsorted(starts, offsets)
     values, codes = distinct(data, starts)
-    sides = [(*memo.ids(values), size) for memo, size in ((tokenizers.a_memo, tokenizers.a_size), (tokenizers.b_memo, tokenizers.b_size))]
-    lost = ((sides[0][1] == 0) | (sides[1][1] == 0))[codes]
+    flat, sizes = tokenizers.memo.ids(values)
+    first = np.cumsum(sizes) - sizes
+    n_a = flat[first].astype(np.int64)
+    lost = (n_a < 0)[codes]
     ok = (np.add.reduceat(lost.astype(np.int64), lo[:-1]) == 0) & (np.diff(offsets) > 1)  # each text has a segment; its blank alone is no text
     segments = codes[np.repeat(ok, np.diff(lo))]
-    count = np.where(ok, np.diff(lo), 0)
+    count = np.append(0, np.cumsum(np.where(ok, np.diff(lo), 0)))
     out = []
-    for flat, sizes, size in sides:
-        ids, taken = gather(flat, sizes, segments)
-        out += [ids, np.cumsum(size[ids]), np.append(0, np.cumsum(taken))[np.append(0, np.cumsum(count))]]
+    for start, taken, size in ((first + 1, n_a, tokenizers.a_size), (first + 1 + n_a, sizes - 1 - n_a, tokenizers.b_size)):
+        ids, taken = gather(flat, start, taken, segments)
+        out += [ids, np.cumsum(size[ids]), np.append(0, np.cumsum(taken))[count]]
     a, a_end, a_lo, b, b_end, b_lo = out
     length = np.where(ok, np.diff(offsets), 0)
     return Aligned(a, b, a_end, b_end, a_lo, b_lo, np.cumsum(length) - length, merge_path(a_end, b_end))
@@ -234,7 +272,7 @@ def token_overlaps(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc
     """
 
     def make():
-        tokenizers = Tokenizers(a_path, b_path)
+        tokenizers = kept(("alignment", a_path, b_path), lambda: Tokenizers(a_path, b_path))
 
         def work(ids, texts):
             x = align(tokenizers, texts)
@@ -260,8 +298,8 @@ def token_links(docs: DataFrame, a_path: str, b_path: str, id_col: str = "doc_id
     step = sentencepiece.SentencePieceProcessor(model_file=b_path).get_piece_size()
 
     def make():
-        tokenizers = Tokenizers(a_path, b_path)
-        texts_of = _Texts(max(len(tokenizers.a_bytes), len(tokenizers.b_bytes)))
+        tokenizers = kept(("alignment", a_path, b_path), lambda: Tokenizers(a_path, b_path))
+        texts_of = kept(("texts", a_path, b_path), lambda: _Texts(max(len(tokenizers.a_bytes), len(tokenizers.b_bytes))))
 
         def work(ids, texts):
             x = align(tokenizers, texts)

@@ -13,6 +13,7 @@ group of copies meets in one task.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 import zlib
 from bisect import bisect_left, insort
@@ -27,13 +28,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from litspark.llm.token_counts import known_characters, load
-from litspark.llm.token_ids import Memo, distinct, gather, library_encoder
+from litspark.llm.token_ids import Memo, distinct, gather, kept, library_encoder
 from litspark.llm.words import free_name, slices
 from litspark.sources.staging import stage
 
 CAPACITY = 4096
 #: Blocks of pieces that are numbered apart, besides one for each length, and the least rows of one.
-BLOCKS, BLOCK_ROWS = 200_000, 512
+BLOCKS, BLOCK_ROWS = 200_000, 128
 #: Bits of a rank within a length.
 RANK_BITS = 40
 
@@ -68,20 +69,23 @@ class PreTokens:
 
     def __init__(self, special: list[str]):
         strange, space = known_characters()
-        self.odd = regex.compile("|".join([strange, *map(regex.escape, special)]))
+        self.strange, self.special = re.compile(strange), special
         self.classes = _classes(space)
 
+    def odd(self, text: str) -> bool:
+        return bool(self.strange.search(text)) or any(s in text for s in self.special)
+
     def _parts(self, texts: list[str]) -> tuple[list[str], list[int], list[str], list[int]]:
         """Plain parts with the text of each, and strange parts with the number of plain parts before each."""
         plain, owner, strange, before = [], [], [], []
         for k, text in enumerate(texts):
-            if not self.odd.search(text):
+            if not self.odd(text):
                 plain.append(text)
                 owner.append(k)
                 continue
             run: list[str] = []
             for chunk in _CHUNK.findall(text):
-                if self.odd.search(chunk):
+                if self.odd(chunk):
                     plain.append(" ".join(run))
                     owner.append(k)
                     strange.append(chunk)
@@ -140,6 +144,11 @@ class PreTokens:
             start[where + size + 1] |= letter[where + size + 1]
 
 
+def _tools(path: str) -> tuple[PreTokens, Memo]:
+    tokenizer = load(path)
+    return PreTokens([t.content for t in tokenizer.get_added_tokens_decoder().values()]), Memo(library_encoder(tokenizer))
+
+
 def token_pieces(
     docs: DataFrame, path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", ids: bool = False
 ) -> DataFrame:
@@ -154,12 +163,11 @@ def token_pieces(
     fields = [docs.schema[id_col], *_PIECES] + [T.StructField("ids", T.ArrayType(T.IntegerType()))] * ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load(path)
-        pre = PreTokens([t.content for t in tokenizer.get_added_tokens_decoder().values()])
-        memo = Memo(library_encoder(tokenizer))
+        pre, memo = kept(("packing", path), lambda: _tools(path))
         for part in slices(batches, inner):
             values, codes, counts = pre.cut(part.column(inner).fill_null("").to_pylist())
-            flat, taken = gather(*memo.ids(values), codes)
+            flat, sizes = memo.ids(values)
+            flat, taken = gather(flat, np.cumsum(sizes) - sizes, sizes, codes)
             ends = np.append(0, np.cumsum(taken))[np.append(0, np.cumsum(counts))]
             flat = np.insert(flat, ends[1:], end_id).astype("<u4")
             ends += np.arange(len(ends))
@@ -256,28 +264,28 @@ def best_fit_slots(pieces: DataFrame, capacity: int = CAPACITY, length_col: str
     """
     spark = pieces.sparkSession
     taken = pieces.drop("sequence_id", "offset")
-    kept = taken.columns
+    names = taken.columns
     counted = {r[0]: r[1] for r in taken.groupBy(F.col(length_col).cast("long")).count().collect()}  # at most `capacity` rows
     plan = spark.sparkContext.broadcast(best_fit(counted, capacity))
     block_rows = max(block_rows, sum(counted.values()) // BLOCKS)
     block, rank, base, nth = (free_name(taken, f"{x}_") for x in ("block", "rank", "base", "nth"))
     split = [(n, -(-c // block_rows)) for n, c in counted.items()]
     split = spark.createDataFrame(split, T.StructType([T.StructField(length_col, T.LongType()), T.StructField(nth, T.LongType())]))
-    cut = taken.join(F.broadcast(split), length_col).withColumn(block, F.pmod(F.xxhash64(*kept), nth)).drop(nth)
+    cut = taken.join(F.broadcast(split), length_col).withColumn(block, F.pmod(F.xxhash64(*names), nth)).drop(nth)
     keys = [length_col, block]
     counts = cut.groupBy(keys).agg(F.count(F.lit(1)).alias(nth))
     before = Window.partitionBy(length_col).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
     bases = stage(counts.select(*keys, F.coalesce(F.sum(nth).over(before), F.lit(0)).cast("long").alias(base)))
-    rows = cut.withColumn(nth, F.row_number().over(Window.partitionBy(keys).orderBy(*[c for c in kept if c != length_col])) - 1)
+    rows = cut.withColumn(nth, F.row_number().over(Window.partitionBy(keys).orderBy(*[c for c in names if c != length_col])) - 1)
     rows = rows.join(F.broadcast(bases), keys)  # one row per block
-    rows = rows.select(*kept, (F.col(base) + F.col(nth)).alias(rank))
+    rows = rows.select(*names, (F.col(base) + F.col(nth)).alias(rank))
     schema = T.StructType([*taken.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = [batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in (length_col, rank)]
             made = plan.value.slots(*at)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *map(pa.array, made)], names=schema.names)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *map(pa.array, made)], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
