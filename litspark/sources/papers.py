@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from litspark import schema
 from litspark.operators.clean import normalise_missing, type_year
+from litspark.sources.csv_records import header_of, read_csv_records
 
 _NAME = r"papers_([0-9a-z]+)\.csv"
 
@@ -25,22 +26,16 @@ def list_sources(spark: SparkSession, data_dir: str) -> DataFrame:
 def scan_period(spark: SparkSession, path: str, period: str) -> DataFrame:
     """Raw text records of one period, columns bound by header name, with their place in the files.
 
-    Part files of one folder must have one header; the read fails where a file has another.
+    A file is read by as many tasks as its size asks for, line breaks in quoted cells or not. Part files of one
+    folder must have one header; the read fails where a file has another.
     """
-    raw = (
-        spark.read.option("header", True).option("multiLine", True).option("quote", '"').option("escape", '"')
-        .option("mode", "PERMISSIVE").option("enforceSchema", False).csv(path)
-    )
-    missing = [c for c in schema.PAPER_COLUMNS if c not in raw.columns]
+    missing = [c for c in schema.PAPER_COLUMNS if c not in header_of(spark, path)]
     if missing:
         raise ValueError(f"{path}: missing columns {missing}")
-    ordinal = F.struct(
-        F.lit(schema.PERIOD_NAMES.index(period)).alias("period"),
-        F.col("_metadata.file_path").alias("file"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.monotonically_increasing_id().alias("line"),
+    ordinal = F.struct(F.lit(schema.PERIOD_NAMES.index(period)).alias("period"), "file", "block", "line")
+    return read_csv_records(spark, path).select(
+        *[F.col("cells")[c].alias(c) for c in schema.PAPER_COLUMNS], ordinal.alias("ord"), F.lit(period).alias("source_period")
     )
-    return raw.select(*schema.PAPER_COLUMNS, ordinal.alias("ord"), F.lit(period).alias("source_period"))
 
 
 def read_raw_papers(spark: SparkSession, data_dir: str) -> DataFrame:
