@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litspark import schema
 from litspark.functions import text
+from litspark.functions.grams import GramIndex
 from litspark.functions.text import seeded_hash
 from litspark.operators.ranks import draw_position, first_k, hash_blocks, rows_at, sample_k, small, top_k
 from litspark.operators.search import top_journals
@@ -77,15 +82,25 @@ def journal_year(
 def paper_terms(papers: DataFrame, terms: list[str]) -> DataFrame:
     """(paper_id, terms array): the given terms found in each title, in the given order.
 
-    The terms are a bounded argument held in the expression; titles are read once, nothing is joined.
+    The terms, an argument, stand in an index by their rarest gram; a title looks up its own grams and verifies what they
+    name, so its cost does not follow the number of terms. Nothing is joined.
     """
-    if not terms:
-        return papers.limit(0).select("paper_id", F.array().cast("array<string>").alias("terms"))
-    known = F.array(*[F.lit(t) for t in terms])
-    lower = F.lower("title")
-    any_term = F.exists(F.array(lower), lambda title: F.exists(known, lambda t: F.contains(title, t)))
-    found = text.bind(lower, lambda title: F.filter(known, lambda t: F.contains(title, t)))
-    return papers.filter(any_term).select("paper_id", found.alias("terms"))
+    schema_out = T.StructType([papers.schema["paper_id"], T.StructField("terms", T.ArrayType(T.StringType()))])
+    wanted = papers.sparkSession.sparkContext.broadcast(list(dict.fromkeys(terms)))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = wanted.value
+        index = GramIndex([t for t in known if t])
+        number = [k for k, t in enumerate(known) if t]
+        always = [k for k, t in enumerate(known) if not t]
+        for batch in batches:
+            found = [sorted([number[k] for k in index.find(t)] + always) for t in batch.column("_title").to_pylist()]
+            at = [i for i, f in enumerate(found) if f]
+            names = pa.array([[known[k] for k in found[i]] for i in at], pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([batch.column("paper_id").take(pa.array(at, pa.int64())), names], names=schema_out.names)
+
+    titles = papers.filter(F.col("title").isNotNull()).select("paper_id", F.lower("title").alias("_title"))
+    return titles.mapInArrow(run, schema_out)
 
 
 def _fill_template(template: str, words: Column) -> Column:

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from litspark import schema
 from litspark.functions import keywords, periods, text
+from litspark.functions.grams import QueryIndex
 from litspark.operators.ranks import BROADCAST_ROWS, sample_k, small, top_k
 
-QUERIES_PER_PASS = 2000  # queries held in one expression; more are answered in further passes
+QUERIES_PER_PASS = 200_000  # queries that every task holds in its index; more are answered in further passes
 
 
 def journal_dimension(spark: SparkSession, full: bool = True) -> DataFrame:
@@ -97,33 +100,88 @@ def keyword_search(
     return top_k(hits, limit, result_order(sort))
 
 
+def request_list(queries: DataFrame) -> list[tuple]:
+    """(query_id, groups in upper case, journals, year_from, year_to) of a request table; absent filters are None.
+
+    Requests are an argument of the search and come back to the driver as such; one without a query is none.
+    """
+    groups = F.transform(keywords.query_groups_col(F.col("query")), lambda g: F.transform(g, lambda t: F.upper(t)))
+    kinds = {"journals": "array<string>", "year_from": "int", "year_to": "int"}
+    filters = [(F.col(c) if c in queries.columns else F.lit(None)).cast(kind).alias(c) for c, kind in kinds.items()]
+    return [tuple(r) for r in queries.filter(F.col("query").isNotNull()).select("query_id", groups.alias("groups"), *filters).collect()]
+
+
+def matching_rows(papers: DataFrame, requests: list[tuple], keep: list[str], search_author: bool = False) -> DataFrame:
+    """(q, kept columns): q, the number of a request, for every paper that it matches.
+
+    Requests stand in an index by their rarest required gram, so a paper is held against those that share a gram with it.
+    Requests that ask for no text are grouped by their filters and only the first of each group is listed. A map over the
+    papers, for tables and streams.
+    """
+    read = papers.select(*keep, F.col("journal").alias("_j"), F.col("year").alias("_y"), info_upper(search_author).alias("_i"))
+    schema_out = T.StructType([T.StructField("q", T.LongType()), *(papers.schema[c] for c in keep)])
+    asked = papers.sparkSession.sparkContext.broadcast(requests)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = asked.value
+        index = QueryIndex([r[1] for r in rows])
+        filters = [(None if r[2] is None else frozenset(r[2]), r[3], r[4]) for r in rows]
+        blank = sorted({filters[k]: k for k in reversed(index.blank)}.values())
+
+        def eligible(k: int, journal: str | None, year: int | None) -> bool:
+            journals, low, high = filters[k]
+            return (
+                (journals is None or journal in journals)
+                and (low is None or year is not None and year >= low)
+                and (high is None or year is not None and year <= high)
+            )
+
+        for batch in batches:
+            journals, years, infos = (batch.column(c).to_pylist() for c in ("_j", "_y", "_i"))
+            q, at = [], []
+            for i, (journal, year, info) in enumerate(zip(journals, years, infos, strict=True)):
+                met = index.find(info) if info is not None else ()
+                found = [k for k in (*met, *blank) if eligible(k, journal, year)]
+                q += found
+                at += [i] * len(found)
+            taken = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), *(batch.column(c).take(taken) for c in keep)], names=schema_out.names)
+
+    return read.mapInArrow(run, schema_out)
+
+
+def listed_requests(requests: list[tuple]) -> list[tuple]:
+    """(q, query_id): the request that stands for each in ``matching_rows``."""
+    first: dict[tuple, int] = {}
+    out = []
+    for k, (query_id, groups, journals, low, high) in enumerate(requests):
+        q = k
+        if all("" in g for g in groups):
+            q = first.setdefault((None if journals is None else frozenset(journals), low, high), k)
+        out.append((q, query_id))
+    return out
+
+
 def keyword_search_batch(
     papers: DataFrame, queries: DataFrame, limit: int = 100, sort: str = "recent", search_author: bool = False
 ) -> DataFrame:
-    """(query_id, rank, paper columns…): first papers of every query in (query_id, query).
+    """(query_id, paper columns…, rank): first papers of every request in (query_id, query), with its own filters.
 
-    The parsed queries travel as one array value, so each paper is read once, its text is upper-cased
-    once, and only matching (query, paper) rows leave the scan; nothing is joined. The number of
-    queries is checked: every further QUERIES_PER_PASS take another pass over the papers.
+    ``queries`` may hold journals (array), year_from and year_to; null or absent ones filter nothing, no journals find
+    nothing. One pass over the papers answers QUERIES_PER_PASS requests; only (request, key, order) rows leave it, and the
+    papers that are shown are fetched by their unique paper_id.
     """
-    passes = max(1, math.ceil(queries.count() / QUERIES_PER_PASS))
-    parsed = queries.select(
-        "query_id",
-        F.transform(
-            keywords.query_groups_col(F.col("query")), lambda g: F.transform(g, lambda t: F.upper(t))
-        ).alias("groups"),
-    )
+    requests = request_list(queries)
+    id_type = queries.schema["query_id"].dataType
+    spark, order = papers.sparkSession, result_order(sort)
     found = None
-    for i in range(passes):
-        share = parsed.filter(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == i)
-        asked = share.agg(F.collect_list(F.struct("query_id", "groups"))).scalar()
-        matching = text.bind(
-            info_upper(search_author), lambda i: F.filter("_asked", lambda q: keywords.groups_match(q["groups"], i))
-        )
-        ids = F.transform(matching, lambda q: q["query_id"])
-        hits = papers.withColumn("_asked", asked).select(F.explode(ids).alias("query_id"), *papers.columns)
+    for at in range(0, max(1, len(requests)), QUERIES_PER_PASS):
+        part = requests[at : at + QUERIES_PER_PASS]
+        hits = top_k(matching_rows(papers, part, ["paper_id", "ord", "year"], search_author), limit, order, by=["q"])
+        names = spark.createDataFrame(listed_requests(part), T.StructType([T.StructField("q", T.LongType()), T.StructField("query_id", id_type)]))
+        hits = numbered(hits, order, ["q"]).join(F.broadcast(names), "q").select("query_id", "paper_id", "rank")
         found = hits if found is None else found.unionByName(hits)
-    return numbered(top_k(found, limit, result_order(sort), by=["query_id"]), result_order(sort), ["query_id"])
+    return found.join(papers, "paper_id").select("query_id", *papers.columns, "rank")
 
 
 def numbered(result: DataFrame, order: list[Column], by: list[str] | None = None) -> DataFrame:

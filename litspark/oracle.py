@@ -304,6 +304,23 @@ oracle("keyword_batch", PAPERS, " union all ".join(
     f"from papers where {_matches(g)}) where rank <= 100" for i, g in _BATCH_GROUPS.items()))
 
 
+def _request(journals: list[str] | None, year_from: int | None, year_to: int | None) -> str:
+    parts = [] if journals is None else [f"journal in ({_list(journals)})" if journals else "false"]
+    parts += [f"year >= {year_from}"] * (year_from is not None) + [f"year <= {year_to}"] * (year_to is not None)
+    return " and ".join(parts) or "true"
+
+
+_FILTERED_GROUPS = {1: [["er"], ["wh"]], 2: [["wh", "eaux"], ["er"]], 3: [["the of"]], 4: [], 5: [], 6: [["er"]], 7: [["zq"], ["jx"]]}
+_FILTERS = {
+    1: (fx.GROUPS["top5"], 1990, 2010), 2: (None, None, 2005), 3: (fx.GROUPS["survey"], None, None), 4: (fx.GROUPS["general"], 2000, None),
+    5: (None, None, 1995), 6: ([], None, None), 7: (None, None, None),
+}
+oracle("keyword_batch_filtered", PAPERS, " union all ".join(
+    f"select * from (select {i} as query_id, cast(row_number() over (order by year desc, ord) as integer) as rank, paper_id, year "
+    f"from papers where {_matches(g)} and {_request(*_FILTERS[i])}) where rank <= 50" for i, g in _FILTERED_GROUPS.items()))
+oracle("prefilter_open", PAPERS, "select paper_id, journal, year from papers where year >= 2001")
+
+
 def _citation(similarity: str = "") -> str:
     return (
         f"rank || '. ' {similarity} || case when coalesce(url, '') <> '' then '[' || title || '](' || url || ')' else title end "

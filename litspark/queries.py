@@ -201,6 +201,24 @@ def keyword_batch(spark, sf):
     return search.keyword_search_batch(fx.papers(spark, sf), asked).select("query_id", "rank", "paper_id")
 
 
+#: query_id, query, journals, year_from, year_to of requests with filters of their own
+FILTERED_QUERIES = [
+    (1, "er wh", fx.GROUPS["top5"], 1990, 2010), (2, "wh|eaux er", None, None, 2005), (3, '"the of"', fx.GROUPS["survey"], None, None),
+    (4, "", fx.GROUPS["general"], 2000, None), (5, "", None, None, 1995), (6, "er", [], None, None), (7, "zq jx", None, None, None),
+]
+
+
+@query
+def keyword_batch_filtered(spark, sf):
+    asked = spark.createDataFrame(FILTERED_QUERIES, "query_id int, query string, journals array<string>, year_from int, year_to int")
+    return search.keyword_search_batch(fx.papers(spark, sf), asked, 50).select("query_id", "rank", "paper_id", "year")
+
+
+@query
+def prefilter_open(spark, sf):
+    return search.prefilter(fx.papers(spark, sf), year_from=2001).select("paper_id", "journal", "year")
+
+
 @query
 def citation_lines(spark, sf):
     return search.citations(search.keyword_search(fx.papers(spark, sf), "er wh|the", **WHERE))
