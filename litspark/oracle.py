@@ -357,6 +357,16 @@ best as (select *, row_number() over (partition by query_id order by similarity
  from scored where similarity >= 0.1)""", """
 select cast(query_id as bigint) as query_id, cast(rank as integer) as rank, paper_id, round(similarity, 6) as similarity
  from best where rank <= 20""")
+_SEMANTIC_FILTERS = [(fx.GROUPS["top5"], 1990, 2010), (None, None, 2005), (fx.GROUPS["survey"], 2000, None), ([], None, None)]
+_ACCEPTED = " or ".join(f"(query_id % 4 = {i} and {_request(*f)})" for i, f in enumerate(_SEMANTIC_FILTERS))
+oracle("semantic_batch_filtered", f"""{VECTORS},
+q as (select label as query_id, arg_min(e, paper_id) as e from vecs group by label),
+scored as (select q.query_id, v.paper_id, round({DOT}, 9) as similarity, journal, year from vecs v join papers p using (paper_id), q
+ where {REAL_ABSTRACT}),
+best as (select *, row_number() over (partition by query_id order by similarity desc, paper_id) as rank
+ from scored where similarity >= 0.1 and ({_ACCEPTED}))""", """
+select cast(query_id as bigint) as query_id, cast(rank as integer) as rank, paper_id, round(similarity, 6) as similarity
+ from best where rank <= 20""")
 oracle("knn_self_match", f"""{VECTORS},
 q as (select paper_id as probe_id, e from stored order by md5(concat_ws(':', '42', paper_id)), paper_id limit 8),
 scored as (select probe_id, v.paper_id, round({DOT}, 9) as similarity from vecs v, q),

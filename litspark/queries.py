@@ -290,6 +290,17 @@ def semantic_batch(spark, sf):
     return _rounded(found, "similarity")
 
 
+SEMANTIC_FILTERS = [(fx.GROUPS["top5"], 1990, 2010), (None, None, 2005), (fx.GROUPS["survey"], 2000, None), ([], None, None)]
+
+
+@query
+def semantic_batch_filtered(spark, sf):
+    stored = fx.embeddings(spark, sf)
+    first = stored.groupBy("label").agg(F.min_by("embedding", "paper_id").alias("embedding"))
+    asked = [(r.label, list(r.embedding), *SEMANTIC_FILTERS[r.label % 4]) for r in first.collect()]  # one request per label
+    return _rounded(semantic.semantic_search_batch(fx.papers(spark, sf), stored, asked, 0.1, 20), "similarity")
+
+
 @query
 def knn_self_match(spark, sf):
     stored = fx.vectors(spark, sf).select("paper_id", "embedding")
