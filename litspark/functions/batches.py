@@ -51,26 +51,30 @@ class WordCutter:
     def __init__(self, characters: np.ndarray):
         self.inside = np.unpackbits(characters).astype(bool)
 
-    def __call__(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def __call__(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct words, the number of each word in the order of the texts, and the text of each."""
         texts = column.fill_null("").to_pylist()
         joined = "\n".join(texts) + "\n"
         cp = np.frombuffer(joined.encode("utf-32-le"), np.uint32)
         inside = self.inside[cp]
-        edge = np.diff(inside.astype(np.int8), prepend=0)
-        start, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+        edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+        edge = np.append(0, edge) if inside[0] else edge  # the last character is a line break, so runs end
+        start, end = edge[0::2], edge[1::2]
         long = end - start >= 2
         start, end = start[long], end[long]
-        text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         if not len(start):
-            return [], np.empty(0, np.int64), np.empty(0, np.int64)
+            return pa.array([], pa.string()), np.empty(0, np.int64), np.empty(0, np.int64)
         mark = np.zeros(len(cp) + 1, np.int8)
         mark[start], mark[end] = 1, -1
-        keep = np.cumsum(mark[:-1]).astype(bool)
-        width = 1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000)
-        data = np.frombuffer(joined.encode(), np.uint8)[np.repeat(keep, width)]
-        place = np.append(0, np.cumsum(np.where(keep, width, 0), dtype=np.int64))
-        offsets = np.append(place[start], len(data)).astype(np.int32 if len(data) < 1 << 31 else np.int64)
-        kind = pa.string() if offsets.dtype == np.int32 else pa.large_string()
-        words = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
-        return words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64), np.searchsorted(text_end, start, "right")
+        keep = np.cumsum(mark[:-1], dtype=np.int8).view(bool)
+        data = joined.encode()
+        if len(data) == len(cp):
+            place, raw = np.append(0, np.cumsum(end - start)), np.frombuffer(data, np.uint8)[keep]
+        else:
+            width = 1 + (cp >= 0x80).astype(np.int8) + (cp >= 0x800) + (cp >= 0x10000)
+            at = np.append(0, np.cumsum(width, dtype=np.int64))
+            place, raw = np.append(0, np.cumsum(at[end] - at[start])), np.frombuffer(data, np.uint8)[np.repeat(keep, width)]
+        kind, offsets = (pa.string(), np.int32) if len(raw) < 1 << 31 else (pa.large_string(), np.int64)
+        words = pa.Array.from_buffers(kind, len(start), [None, pa.py_buffer(place.astype(offsets)), pa.py_buffer(raw)]).dictionary_encode()
+        text_end = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        return words.dictionary.cast(pa.string()), words.indices.to_numpy().astype(np.int64), np.searchsorted(text_end, start, "right")

@@ -10,21 +10,21 @@ again, exactly. Where the floors do not suffice for that, chunks send more.
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark import schema
-from litspark.functions.batches import WordCutter, slices, word_characters
+from litspark.functions.batches import SLICE_BYTES, WordCutter, slices, word_characters
 from litspark.operators.ranks import sample_k
 from litspark.sources.staging import discard, stage
 
 SCORE_DIGITS = 6  # scores are rounded here, so terms that always occur together tie
-HELD = 500_000  # terms that a task counts before it sends them
+HELD = 1_000_000  # counts of slices that a task holds before it adds them up and sends the leading ones
 SENT_PER_TERM = 8  # leading terms that a chunk sends at first, for each wanted term
 RECOUNTED = 1_000_000  # terms that are held in each task to be counted again
 
@@ -35,35 +35,39 @@ class Occurrences:
     """Terms of slices of lower-cased texts: words without stop words, and every two that stand next to each other."""
 
     def __init__(self, characters: np.ndarray):
-        self.cut, self.stop = WordCutter(characters), frozenset(schema.STOP_WORDS)
+        self.cut, self.stop = WordCutter(characters), pa.array(schema.STOP_WORDS)
 
-    def words(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
+    def words(self, column: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
         """Distinct words, the number of each that is no stop word, and its text."""
         values, codes, text = self.cut(column)
-        kept = ~np.fromiter(map(self.stop.__contains__, values), bool, len(values))[codes]
+        kept = ~pc.is_in(values, self.stop).to_numpy(zero_copy_only=False)[codes]
         return values, codes[kept], text[kept]
 
-    def counts(self, column: pa.Array) -> Iterator[tuple[str, int, int]]:
-        """(term, ctf, df) of a slice."""
+    def counts(self, column: pa.Array) -> Iterator[pa.Table]:
+        """(term, ctf, df) of a slice, each term once."""
         values, codes, text = self.words(column)
         if not len(codes):
             return
-        yield from zip(*self._counted(codes, text, values.__getitem__), strict=True)
-        beside = text[1:] == text[:-1]
-        pairs, n = codes[:-1][beside] * len(values) + codes[1:][beside], len(values)
-        yield from zip(*self._counted(pairs, text[1:][beside], lambda p: f"{values[p // n]} {values[p % n]}"), strict=True)
+        at, *counted = _counted(codes, text)
+        yield _table(values.take(pa.array(at)), *counted)
+        beside, n = text[1:] == text[:-1], len(values)
+        at, *counted = _counted(codes[:-1][beside] * n + codes[1:][beside], text[1:][beside])
+        yield _table(pc.binary_join_element_wise(values.take(pa.array(at // n)), values.take(pa.array(at % n)), " "), *counted)
+
+
+def _counted(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct codes, their occurrences, and the texts that hold them."""
+    order = np.argsort(codes, kind="stable")  # texts stay in order within a code
+    codes, text = codes[order], text[order]
+    first = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
+    at = np.flatnonzero(first)
+    first[1:] |= text[1:] != text[:-1]
+    df = np.add.reduceat(first.astype(np.int64), at) if len(at) else np.empty(0, np.int64)
+    return codes[at], np.diff(np.append(at, len(codes))), df
 
-    @staticmethod
-    def _counted(codes: np.ndarray, text: np.ndarray, name) -> tuple[list[str], list[int], list[int]]:
-        order = np.argsort(codes, kind="stable")  # texts stay in order within a code
-        codes, text = codes[order], text[order]
-        first = np.append(True, codes[1:] != codes[:-1])[: len(codes)]
-        at = np.flatnonzero(first)
-        fresh = first.copy()
-        fresh[1:] |= text[1:] != text[:-1]
-        ctf = np.diff(np.append(at, len(codes)))
-        df = np.add.reduceat(fresh.astype(np.int64), at) if len(at) else ctf
-        return list(map(name, codes[at].tolist())), ctf.tolist(), df.tolist()
+
+def _table(terms: pa.Array, ctf: np.ndarray, df: np.ndarray) -> pa.Table:
+    return pa.table({"term": terms, "ctf": pa.array(ctf, pa.int64()), "df": pa.array(df, pa.int64())})
 
 
 class TermIndex:
@@ -72,7 +76,7 @@ class TermIndex:
     def __init__(self, terms: list[str]):
         split = [t.split(" ") for t in terms]
         self.word = {w: k for k, w in enumerate(dict.fromkeys(w for s in split for w in s))}
-        self.n = len(self.word)
+        self.n, self.known = len(self.word), pa.array(list(self.word), pa.string())
         self.single = np.full(self.n + 1, -1, np.int64)
         pairs = []
         for k, s in enumerate(split):
@@ -83,11 +87,11 @@ class TermIndex:
         pairs.sort()
         self.pair, self.of_pair = (np.array([p[i] for p in pairs], np.int64) for i in (0, 1))
 
-    def find(self, values: list[str], codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def find(self, values: pa.Array, codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(term number, text) of every occurrence."""
-        if not len(codes):
-            return codes, text
-        known = np.fromiter((self.word.get(v, -1) for v in values), np.int64, len(values))[codes]
+        if not len(codes) or not self.n:
+            return codes[:0], text[:0]
+        known = pc.fill_null(pc.index_in(values, self.known), -1).to_numpy(zero_copy_only=False).astype(np.int64)[codes]
         one = self.single[known]
         two = np.full(len(codes), -1, np.int64)
         if len(self.pair):
@@ -103,38 +107,69 @@ def _lower(texts: DataFrame, body: str) -> DataFrame:
     return texts.select(F.lower(body).alias("body"))
 
 
-def _batch(columns: tuple, schema_names: tuple = ("term", "ctf", "df", "floor")) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=list(schema_names))
+class Leaders:
+    """The leading terms of a task: what each has for certain, and what it may have besides.
+
+    Chunks give their leading terms and a floor, which no other term of theirs passes. ``covered`` is the sum of the floors
+    of the chunks that did give a term; ``total`` less that is what it may still have.
+    """
+
+    def __init__(self, sent: int, held: int):
+        self.sent, self.held, self.total = sent, held, 0
+        self.known: pa.Table | None = None
+
+    def add(self, tables: list[pa.Table]) -> None:
+        """One chunk, as counts of slices."""
+        found = pa.concat_tables(tables).group_by("term").aggregate([("ctf", "sum"), ("df", "sum")]).rename_columns(["term", "ctf", "df"])
+        ctf = found.column("ctf").to_numpy()
+        floor = self._above(ctf, self.sent)
+        found = found.filter(pa.array(ctf > floor))
+        found = found.append_column("covered", pa.array(np.full(found.num_rows, floor, np.int64)))
+        self.total += floor
+        both = found if self.known is None else pa.concat_tables([self.known, found]).group_by("term").aggregate(
+            [(c, "sum") for c in ("ctf", "df", "covered")]
+        ).rename_columns(["term", "ctf", "df", "covered"])
+        self.known = both
+        if both.num_rows > self.held:
+            self.cut(self.held // 2)
+
+    @staticmethod
+    def _above(values: np.ndarray, n: int) -> int:
+        """The least value such that at most n are greater."""
+        return int(np.partition(values, len(values) - n - 1)[len(values) - n - 1]) if len(values) > n else 0
+
+    def cut(self, n: int) -> None:
+        """Keep n terms at most; no other passes ``total`` then."""
+        most = self.known.column("ctf").to_numpy() + self.total - self.known.column("covered").to_numpy()
+        total = max(self.total, self._above(most, n))
+        self.known = self.known.filter(pa.array(most > total)) if len(most) > n else self.known
+        covered = pa.array(self.known.column("covered").to_numpy() + (total - self.total))
+        self.known, self.total = self.known.set_column(3, "covered", covered), total
 
 
-def _chunk_counts(texts: DataFrame, body: str, sent: int | None, held: int) -> DataFrame:
-    """(term, ctf, df, floor): per chunk of a task its ``sent`` leading terms, or all, and one row without a term.
+def _chunk_counts(texts: DataFrame, body: str, sent: int, held: int, slice_bytes: int) -> DataFrame:
+    """(term, ctf, df, floor): the leading terms of a task, and one row without a term.
 
-    ``floor`` is the count that no unsent term of the chunk passes.
+    There ``floor`` is what no other term of the task passes; with a term, how much of that is not open for it.
     """
     characters = word_characters(texts.sparkSession)
 
-    def out(ctf: Counter, df: Counter) -> pa.RecordBatch:
-        terms, floor = list(ctf), 0
-        if sent is not None and len(terms) > sent:
-            sizes = np.fromiter(ctf.values(), np.int64, len(ctf))
-            floor = int(np.partition(sizes, len(sizes) - sent - 1)[len(sizes) - sent - 1])
-            terms = [t for t, n in ctf.items() if n > floor]  # those that tie with the first unsent one stay, too
-        rows = ([*terms, None], [*map(ctf.__getitem__, terms), 0], [*map(df.__getitem__, terms), 0], [floor] * (len(terms) + 1))
-        return _batch(rows)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, ctf, df = Occurrences(characters), Counter(), Counter()
-        for part in slices(batches, "body"):
-            for term, n, m in found.counts(part.column("body")):
-                ctf[term] += n
-                df[term] += m
-            if len(ctf) > held:
-                yield out(ctf, df)
-                ctf, df = Counter(), Counter()
-        if ctf:
-            yield out(ctf, df)
+        found, leaders, tables, rows = Occurrences(characters), Leaders(sent, held), [], 0
+        for part in slices(batches, "body", slice_bytes):
+            for counted in found.counts(part.column("body")):
+                tables.append(counted)
+                rows += counted.num_rows
+            if rows > held:
+                leaders.add(tables)
+                tables, rows = [], 0
+        if tables:
+            leaders.add(tables)
+        if leaders.known is not None:
+            leaders.cut(sent)
+            columns = [leaders.known.column(c).combine_chunks() for c in ("term", "ctf", "df", "covered")]
+            columns = [pa.concat_arrays([x, pa.array([y], x.type)]) for x, y in zip(columns, (None, 0, 0, leaders.total), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["term", "ctf", "df", "floor"])
 
     return _lower(texts, body).mapInArrow(run, _COUNTS)
 
@@ -142,9 +177,17 @@ def _chunk_counts(texts: DataFrame, body: str, sent: int | None, held: int) -> D
 def document_frequency(texts: DataFrame, body: str = "text") -> DataFrame:
     """(term, df, ctf): documents that hold a term, and its occurrences in all of them. A row is a document.
 
-    All terms are the result, so all travel, counted beforehand in each task.
+    All terms are the result, so all travel, counted beforehand in slices of texts and in each task.
     """
-    counts = _chunk_counts(texts, body, None, HELD).filter(F.col("term").isNotNull())
+    characters = word_characters(texts.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = Occurrences(characters)
+        for part in slices(batches, "body"):
+            for counted in found.counts(part.column("body")):
+                yield from counted.to_batches()
+
+    counts = _lower(texts, body).mapInArrow(run, "term string, ctf bigint, df bigint")
     return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
 
 
@@ -161,43 +204,43 @@ def recount(texts: DataFrame, terms: list[str], body: str = "text") -> DataFrame
             ctf += np.bincount(term, minlength=len(ctf))
             df += np.bincount(np.unique(term * part.num_rows + text) // part.num_rows, minlength=len(df))
         at = np.flatnonzero(ctf)
-        yield _batch(([wanted.value[k] for k in at.tolist()], ctf[at], df[at], np.zeros(len(at), np.int64)))
+        yield from _table(pa.array(wanted.value, pa.string()).take(pa.array(at)), ctf[at], df[at]).to_batches()
 
-    return _lower(texts, body).mapInArrow(run, _COUNTS).groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
+    return _lower(texts, body).mapInArrow(run, "term string, ctf bigint, df bigint").groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
 
 
 def frequent_terms(
     texts: DataFrame, documents: int, n_terms: int, min_df: int, max_df: float, body: str = "text",
-    sent: int | None = None, held: int = HELD,
+    sent: int | None = None, held: int = HELD, slice_bytes: int = SLICE_BYTES,
 ) -> list[tuple[str, int]]:
     """(term, df) of exactly the n_terms most frequent terms that are neither too rare nor too common; ties go by term."""
     sent, most = sent or SENT_PER_TERM * n_terms, max_df * documents
     ctf, df, floor = F.col("ctf"), F.col("df"), F.col("floor")
-    order = [ctf.desc(), F.col("term")]
     while True:
-        chunks = stage(_chunk_counts(texts, body, sent, held))
+        chunks = stage(_chunk_counts(texts, body, sent, held, slice_bytes))
         total = chunks.filter(F.col("term").isNull()).agg(F.coalesce(F.sum("floor"), F.lit(0))).first()[0]
         known = chunks.filter(F.col("term").isNotNull()).groupBy("term").agg(
             F.sum("ctf").alias("ctf"), F.sum("df").alias("df"), (F.lit(total) - F.sum("floor")).alias("floor")
         )  # floor: what a term may still gain
-        known = stage(known.filter((df + floor >= min_df) & (df <= most)))
-        discard(chunks)
         sure = known.filter((df >= min_df) & (df + floor <= most))
-        leading = [r.ctf for r in sure.orderBy(*order).limit(n_terms).select("ctf").collect()]
+        leading = [r.ctf for r in sure.orderBy(ctf.desc()).limit(n_terms).select("ctf").collect()]
         threshold = leading[-1] if len(leading) == n_terms else 0
-        candidates = known.filter(ctf + floor >= threshold)
-        unsure = candidates.filter(floor > 0).select("term")
         # unsent terms are out if they have too few documents or occurrences at the most
         closed = total == 0 or total < min_df or total < threshold
-        if closed and (total == 0 or unsure.limit(RECOUNTED + 1).count() <= RECOUNTED):
+        if closed:
+            candidates = known.filter((ctf + floor >= threshold) & (df + floor >= min_df) & (df <= most))
+            exact = candidates.filter(floor == 0).orderBy(ctf.desc(), "term").limit(n_terms)
+            unsure = candidates.filter(floor > 0).limit(RECOUNTED + 1)
+            rows = exact.unionByName(unsure).collect() if total else exact.collect()
+        discard(chunks)
+        if closed and len(rows) <= RECOUNTED:
             break
-        sent *= 8
-    exact = candidates.filter(floor == 0).select("term", "df", "ctf")
-    if total:
-        again = [r.term for r in unsure.collect()]
-        if again:
-            exact = exact.unionByName(recount(texts, again, body).filter((df >= min_df) & (df <= most)))
-    return [(r.term, r.df) for r in exact.orderBy(*order).limit(n_terms).select("term", "df").collect()]
+        sent, held = 8 * sent, max(held, 16 * sent)
+    found = [(r.ctf, r.term, r.df) for r in rows if not r.floor]
+    again = [r.term for r in rows if r.floor]
+    if again:
+        found += [(r.ctf, r.term, r.df) for r in recount(texts, again, body).filter((df >= min_df) & (df <= most)).collect()]
+    return [(term, n) for _, term, n in sorted(found, key=lambda r: (-r[0], r[1].encode()))[:n_terms]]
 
 
 def tfidf_scores(texts: DataFrame, kept: list[tuple[str, int]], documents: int, body: str = "text") -> DataFrame:

@@ -48,7 +48,7 @@ def test_batches_cut_words_as_expressions_do(spark):
     values, codes, of = WordCutter(word_characters(spark))(pa.array([r.text for r in rows], pa.string()))
     got = [[] for _ in rows]
     for c, d in zip(codes.tolist(), of.tolist()):
-        got[d].append(values[c])
+        got[d].append(values[c].as_py())
     assert got == [r.words or [] for r in rows]
 
 
@@ -61,14 +61,14 @@ def test_document_frequency(spark, corpus):
     assert "REPARTITION" not in plan
 
 
-@pytest.mark.parametrize("n, sent, held", [(10, 3, 40), (10, 12, 200), (40, 60, 10**6), (150, 20, 300), (5000, 50, 100), (25, 10**6, 10**6)])
+@pytest.mark.parametrize("n, sent, held", [(10, 3, 400), (10, 12, 700), (40, 60, 10**6), (150, 20, 300), (25, 10**6, 10**6)])
 @pytest.mark.parametrize("min_df, max_df", [(3, 0.3), (1, 1.0), (9, 0.08)])
 def test_leading_terms_are_exact(spark, corpus, n, sent, held, min_df, max_df):
     rows = corpus.select(text_functions.words(F.lower("text")).alias("w")).collect()
     ctf, df = plain_counts([r.w or [] for r in rows])
     usable = [t for t in ctf if min_df <= df[t] <= max_df * len(rows)]
     want = [(t, df[t]) for t in sorted(usable, key=lambda t: (-ctf[t], t))[:n]]
-    assert vocab.frequent_terms(corpus, len(rows), n, min_df, max_df, sent=sent, held=held) == want
+    assert vocab.frequent_terms(corpus, len(rows), n, min_df, max_df, sent=sent, held=held, slice_bytes=700) == want
 
 
 def test_unsent_terms_are_counted_again(spark, corpus, monkeypatch):
@@ -79,6 +79,33 @@ def test_unsent_terms_are_counted_again(spark, corpus, monkeypatch):
     assert asked and asked[0] < 100  # the few between the bounds, not the vocabulary
 
 
+@pytest.mark.parametrize("sent, held", [(5, 30), (20, 60), (3, 8), (100, 50)])
+def test_leaders_bound_every_term(sent, held):
+    """Whatever was cut on the way: certain counts are too low, certain and open ones together are high enough."""
+    rnd = random.Random(sent)
+    leaders, ctf, df = vocab.Leaders(sent, held), Counter(), Counter()
+    for _ in range(30):
+        tables = []
+        for _ in range(rnd.randrange(1, 4)):
+            rows = {f"t{min(199, int(rnd.expovariate(0.05)))}": rnd.randrange(1, 9) for _ in range(rnd.randrange(40))}
+            docs = {t: rnd.randrange(1, n + 1) for t, n in rows.items()}
+            ctf.update(rows)
+            df.update(docs)
+            tables.append(vocab._table(pa.array(list(rows), pa.string()), list(rows.values()), list(docs.values())))
+        leaders.add(tables)
+    for last in (False, True):
+        if last:
+            leaders.cut(sent)
+        known = {r["term"]: r for r in leaders.known.to_pylist()}
+        assert len(known) <= (sent if last else max(held, sent))
+        for t in ctf:
+            if t not in known:
+                assert ctf[t] <= leaders.total
+            else:
+                r, gain = known[t], leaders.total - known[t]["covered"]
+                assert r["ctf"] <= ctf[t] <= r["ctf"] + gain and r["df"] <= df[t] <= r["df"] + gain
+
+
 def test_empty_corpus(spark):
     none = spark.createDataFrame([], "paper_id bigint, text string")
     assert vocab.tfidf_vocabulary(none).count() == 0
