@@ -107,6 +107,13 @@ def cell_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def raw_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records as a CSV would hold them, years as texts; short titles are missing."""
+    years = cell_texts(spark, sf_dir).select("ord", "year")
+    title = F.when(F.length("title") >= 12, F.col("title"))
+    return papers_raw(spark, sf_dir).drop("year").withColumn("title", title).join(years, "ord")
+
+
 def requests(papers_df: DataFrame) -> DataFrame:
     """(query_id, query): one query text per paper, made of its whole title in four writings."""
     kind = F.length("title") % 4

@@ -157,8 +157,14 @@ def _hash_order(key: Sequence[str], seed: int) -> tuple[Column, Column]:
 
 
 def sample_k(df: DataFrame, k: int, seed: int, key: Sequence[str]) -> DataFrame:
-    """Exactly min(k, n) rows: those whose seeded hash of the key comes first."""
+    """Exactly min(k, n) rows: those whose seeded hash of the key, which must be unique, comes first.
+
+    A small sample takes one scan: each task keeps its k smallest hashes, the k smallest of those are the sample. A larger one
+    is cut by counts per hash range, so that no task gathers k rows of every other.
+    """
     block, order = _hash_order(key, seed)
+    if 0 < k <= PRUNED_K:
+        return top_k(df.withColumn("_hash", order), k, [F.col("_hash")]).drop("_hash")
     return first_k(df, k, order, block)
 
 

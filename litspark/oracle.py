@@ -243,6 +243,11 @@ oracle("na_normalise", CELLS, f"select ord, case when journal not in ({_list(sch
 oracle("type_year", f"{CELLS}, numbers as (select *, try_cast(year_text as double) as d from cells)", """
 select ord, cast(cast(case when d = floor(d) then d end as smallint) as varchar) as year, year_text,
  year_text is not null and (d is null or d <> floor(d)) as rejected from numbers""")
+oracle("rejects", f"""{RAW}, {CELLS}, texts as (select r.ord, case when length(title) >= 12 then title end as title, year_text,
+ try_cast(year_text as double) as d from papers_raw r join cells c using (ord)),
+judged as (select *, year_text is not null and (d is null or d <> floor(d)) as bad from texts)""", """
+select ord, year_text as year, 'year' as reason from judged where bad
+union all select ord, cast(cast(d as smallint) as varchar), 'title' from judged where not bad and year_text is not null and title is null""")
 ORACLE["scan_embeddings"] = """select vec_id as paper_id, label, cast(len(embedding) as integer) as width,
  round(sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * x))), 6) as norm from embeddings"""
 oracle("distinct_ratio", RAW, "select * from (" + " union all ".join(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from litspark.functions import periods
 from litspark.operators import clean
-from litspark.sources.papers import read_papers
+from litspark.sources.papers import read_papers, read_raw_papers
 from litspark.sources.staging import snapshot, stage
 
 
@@ -25,12 +25,17 @@ def curate(records: DataFrame) -> DataFrame:
     return with_period(clean.null_broken_links(clean.with_paper_id(unique)))
 
 
-def rejects(spark: SparkSession, data_dir: str) -> DataFrame:
-    """Records that curation leaves out for what they lack: a whole-number year or a title, with the reason."""
-    typed, bad = read_papers(spark, data_dir)
+def rejected_records(records: DataFrame) -> DataFrame:
+    """Records of texts that curation leaves out for what they lack: a whole-number year or a title, with the reason."""
+    typed, bad = clean.type_year(records)
     return bad.unionByName(clean.rejected(typed).withColumn("year", F.col("year").cast("string")).select(bad.columns))
 
 
+def rejects(spark: SparkSession, data_dir: str) -> DataFrame:
+    """The rejected records of a folder of drops."""
+    return rejected_records(read_raw_papers(spark, data_dir))
+
+
 def load_corpus(spark: SparkSession, data_dir: str) -> DataFrame:
     """The curated papers under a folder, kept as a snapshot until its files change."""
     return snapshot(spark, "papers", data_dir, lambda: curate(read_papers(spark, data_dir)[0]), ["period"])

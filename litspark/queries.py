@@ -11,7 +11,7 @@ from litspark import fixtures as fx
 from litspark import schema
 from litspark.functions import keywords, periods, text, vectors
 from litspark.operators import audit, clean, encode, maintain, pairs, ranks, search, semantic, vocab
-from litspark.plans import training
+from litspark.plans import curate, training
 from litspark.sources import listing
 from litspark.sources import manifest as mf
 from litspark.sources.staging import stage
@@ -66,6 +66,11 @@ def type_year(spark, sf):
     return both.withColumn("year", F.col("year").cast("string"))
 
 
+@query
+def rejects(spark, sf):
+    return curate.rejected_records(fx.raw_texts(spark, sf)).select("ord", "year", "reason")
+
+
 @query
 def scan_embeddings(spark, sf):
     return _rounded(fx.embeddings(spark, sf).select(
