@@ -12,6 +12,7 @@ quotes, records end with \\n or \\r\\n.
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -46,7 +47,7 @@ def inside_after(line: bytes, inside: bool) -> bool:
         at += 2
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
     text = spark.read.option("lineSep", "\n").text(path)
     return text.select(
         F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("line")
@@ -153,7 +154,7 @@ def _assembled(inside: frozenset[tuple[str, int]], crlf: frozenset[str]):
     return run
 
 
-def records(spark: SparkSession, path: str) -> DataFrame:
+def records(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(file, block, line, text) of every record, headers (block 0, line 0) included; file, block and line give the order.
 
     A record that nothing closes ends with its file.
@@ -175,12 +176,36 @@ def header_of(spark: SparkSession, path: str) -> list[str]:
     return spark.read.option("header", True).option("multiLine", True).options(**OPTIONS).csv(path).columns
 
 
-def read_csv_records(spark: SparkSession, path: str) -> DataFrame:
+def first_bytes(spark: SparkSession, path: str, n: int = 1 << 16) -> bytes:
+    """The start of one file."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def header_cells(start: bytes) -> list[str]:
+    """Column names in the first record of a file, none where it does not end in the bytes given."""
+    record, inside = [], False
+    lines = start.removeprefix(b"\xef\xbb\xbf").split(b"\n")
+    for line in lines:
+        record.append(line.removesuffix(b"\r"))
+        inside = inside_after(line, inside)
+        if not inside and record != [b""]:
+            return next(csv.reader(["\n".join(x.decode(errors="replace") for x in record)]), [])
+        if not inside:
+            record.clear()
+    return []
+
+
+def read_csv_records(spark: SparkSession, path: str | list[str], header: list[str] | None = None) -> DataFrame:
     """(file, block, line, cells): the records of all files under a path, ``cells`` a struct of the header's columns, all texts.
 
-    The read fails where a file has another header than the first.
+    The header is the first file's unless given; the read fails where a file has another.
     """
-    header = header_of(spark, path)
+    header = header or header_of(spark, path)
     schema = ", ".join(f"`{c.replace('`', '``')}` string" for c in header)
     found = records(spark, path).withColumn("cells", F.from_csv("text", schema, OPTIONS))
     is_header = (F.col("block") == 0) & (F.col("line") == 0)

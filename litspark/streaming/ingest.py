@@ -12,25 +12,49 @@ from litspark import schema
 from litspark.operators import clean
 from litspark.operators.encode import with_text
 from litspark.plans.curate import with_period
+from litspark.sources.csv_records import first_bytes, header_cells, read_csv_records
 from litspark.sources.staging import stage
 
-RAW_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in schema.PAPER_COLUMNS])
+FILES = "path string, modificationTime timestamp, length long, content binary"
+RECORD = T.StructType([*(T.StructField(c, T.StringType()) for c in schema.PAPER_COLUMNS), T.StructField("file", T.StringType()),
+                       T.StructField("block", T.LongType()), T.StructField("line", T.LongType())])
 
 
 def drops(spark: SparkSession, data_dir: str, files_per_batch: int = 1000) -> DataFrame:
-    """Stream of raw records. A stream needs a fixed schema; a drop with another header fails the batch."""
-    return (
-        spark.readStream.schema(RAW_SCHEMA).option("header", True).option("multiLine", True).option("quote", '"')
-        .option("escape", '"').option("enforceSchema", False).option("maxFilesPerTrigger", files_per_batch).csv(data_dir)
-        .select(*schema.PAPER_COLUMNS, F.col("_metadata.file_path").alias("file"),
-                F.col("_metadata.file_block_start").alias("block"))
-    )
+    """Stream of the names of arriving files. Their contents are read batch by batch, by what each file's header says."""
+    found = spark.readStream.schema(FILES).format("binaryFile").option("maxFilesPerTrigger", files_per_batch).load(data_dir)
+    return found.select("path", "length")
+
+
+def read_drops(spark: SparkSession, paths: list[str]) -> tuple[DataFrame, list[tuple[str, str]]]:
+    """Raw records of some files, and (file, reason) of the files that hold none.
+
+    Files are grouped by header, so columns may stand in any order and others may be there. Only the start of a file is read
+    here in the driver, and a trigger names a bounded number of files.
+    """
+    groups: dict[tuple[str, ...], list[str]] = {}
+    bad = []
+    for path in sorted(paths):
+        header = header_cells(first_bytes(spark, path))
+        missing = [c for c in schema.PAPER_COLUMNS if c not in header]
+        if missing:
+            bad.append((path, f"missing columns {missing}" if header else "no header"))
+        elif len({c.lower() for c in header}) < len(header):
+            bad.append((path, "repeated columns"))
+        else:
+            groups.setdefault(tuple(header), []).append(path)
+    records = spark.createDataFrame([], RECORD)
+    for header, files in groups.items():
+        found = read_csv_records(spark, files, list(header))
+        records = records.unionByName(found.select(*[F.col("cells")[c].alias(c) for c in schema.PAPER_COLUMNS], "file", "block", "line"))
+    return records, bad
 
 
 def typed_batch(batch: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Typed records of one batch, and those whose year is not a whole number."""
-    numbered = batch.withColumn("ord", F.struct("file", "block", F.monotonically_increasing_id().alias("line")))
-    return clean.type_year(clean.normalise_missing(numbered.drop("file", "block"), schema.PAPER_COLUMNS))
+    line = F.col("line") if "line" in batch.columns else F.monotonically_increasing_id()
+    numbered = batch.withColumn("ord", F.struct("file", "block", line.alias("line")))
+    return clean.type_year(clean.normalise_missing(numbered.select(*schema.PAPER_COLUMNS, "ord"), schema.PAPER_COLUMNS))
 
 
 def rejected_batch(batch: DataFrame) -> DataFrame:
@@ -57,14 +81,22 @@ def checkpoint_id(spark: SparkSession, checkpoint: str) -> str:
     return json.loads(spark.read.text(f"{checkpoint}/metadata").first()[0])["id"]
 
 
-def add_unseen(spark: SparkSession, batch: DataFrame, batch_id: int, table: str, encoder=None, run_id: str = "none") -> None:
+def add_unseen(
+    spark: SparkSession, batch: DataFrame, batch_id: int, table: str, encoder=None, run_id: str = "none",
+    bad_files: list[tuple[str, str]] | None = None,
+) -> None:
     """Write the batch's unseen papers as partition (run_id, batch_id) of the table.
 
     What is seen is the table itself, less this batch: run again after a failure the same partition
     is written again, so a batch counts once. Batches count from 0 in every checkpoint, so the run's id
-    tells them apart. The batch's rejects go to ``rejects_path(table)``, by run_id and batch_id too.
+    tells them apart. The batch's rejects go to ``rejects_path(table)``, by run_id and batch_id too: records, and a row for
+    each file (file, reason) that could not be read.
     """
-    rejects = rejected_batch(batch).withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id)})
+    rejects = rejected_batch(batch)
+    if bad_files:
+        said = spark.createDataFrame([(f"file {path}: {reason}",) for path, reason in bad_files], "reason string")
+        rejects = rejects.unionByName(said, allowMissingColumns=True)
+    rejects = rejects.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id)})
     rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(rejects_path(table))
     new = clean_batch(batch)
     try:
@@ -83,11 +115,17 @@ def add_unseen(spark: SparkSession, batch: DataFrame, batch_id: int, table: str,
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id", "period").parquet(table)
 
 
+def add_drops(spark: SparkSession, files: DataFrame, batch_id: int, table: str, encoder, run_id: str) -> None:
+    """Take in the files of one trigger; those that cannot be read are recorded and do not hold up the others."""
+    records, bad = read_drops(spark, [r.path for r in files.select("path").collect()])
+    add_unseen(spark, records, batch_id, table, encoder, run_id, bad)
+
+
 def ingest_available(spark: SparkSession, data_dir: str, table: str, checkpoint: str, encoder=None, files_per_batch: int = 1000):
     """Take in all drops that have arrived, then stop. Returns the finished query."""
     query = (
         drops(spark, data_dir, files_per_batch).writeStream
-        .foreachBatch(lambda df, i: add_unseen(df.sparkSession, df, i, table, encoder, checkpoint_id(df.sparkSession, checkpoint)))
+        .foreachBatch(lambda df, i: add_drops(df.sparkSession, df, i, table, encoder, checkpoint_id(df.sparkSession, checkpoint)))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

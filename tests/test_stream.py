@@ -87,3 +87,29 @@ def test_saved_searches(spark, tmp_path, papers_of):
     asked = spark.createDataFrame(queries, "query_id int, query string")
     batch = search.keyword_search_batch(arriving, asked).select(F.col("query_id"), "paper_id").collect()
     assert sorted(map(tuple, batch)) == got
+
+
+def test_bad_drops_are_recorded_and_passed_over(spark, tmp_path):
+    """Files without the wanted columns, blank ones, other column orders and more columns; then good ones again."""
+    data, table, state = tmp_path / "in", str(tmp_path / "papers"), str(tmp_path / "state")
+    data.mkdir()
+    row = {"title": "Good", "authors": "a", "abstract": "x", "url": "http://u/1", "journal": "aer", "year": "2001"}
+
+    def drop(name, header, cells):
+        (data / name).write_text(",".join(header) + "\n" + ",".join(cells) + "\n")
+
+    drop("p0.csv", list(row), row.values())
+    drop("p1.csv", ["title", "year"], ["Lost", "2001"])
+    (data / "p2.csv").write_text("\n\n")  # one of no bytes is not even listed
+    drop("p3.csv", [*list(row), "TITLE"], [*row.values(), "z"])
+    other = row | {"title": "Turned", "url": "http://u/2"}
+    drop("p4.csv", [*reversed(list(row)), "more"], [*reversed(list(other.values())), "m"])
+    for later in (False, True):
+        if later:
+            drop("p5.csv", list(row), (row | {"title": "Later", "url": "http://u/3"}).values())
+            drop("p6.csv", ["nothing"], ["x"])
+        ingest.ingest_available(spark, str(data), table, state, files_per_batch=2)
+    assert sorted((r.title, r.url, r.year) for r in spark.read.parquet(table).collect()) == [
+        ("Good", "http://u/1", 2001), ("Later", "http://u/3", 2001), ("Turned", "http://u/2", 2001)]
+    reasons = sorted(r.reason.rsplit("/", 1)[1].split("[")[0].strip() for r in spark.read.parquet(ingest.rejects_path(table)).collect())
+    assert reasons == ["p1.csv: missing columns", "p2.csv: no header", "p3.csv: repeated columns", "p6.csv: missing columns"]
