@@ -68,7 +68,7 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         stored = embeddings(spark, sf_dir).select("paper_id", "embedding")
         return narrow.join(stored, "paper_id").withColumn("batch", F.lit(0))
 
-    return snapshot(spark, "vectors", f"{sf_dir}/embeddings.parquet", build, ["period"])
+    return snapshot(spark, "vectors", [f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"], build, ["period"])
 
 
 def minutes_after(start: str, minutes):
@@ -84,7 +84,7 @@ def build_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same entries as they were stored."""
-    return snapshot(spark, "manifest", f"{sf_dir}/embeddings.parquet", lambda: build_manifest(spark, sf_dir))
+    return snapshot(spark, "manifest", [f"{sf_dir}/documents.parquet", f"{sf_dir}/embeddings.parquet"], lambda: build_manifest(spark, sf_dir))
 
 
 def source_times(spark: SparkSession, sf_dir: str) -> DataFrame:

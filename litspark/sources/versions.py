@@ -62,17 +62,24 @@ class Folder:
         stream = self.fs.create(beside, True)
         stream.write(bytearray(text.encode()))
         stream.close()
+        try:
+            self.move(beside.getName() if "/" not in name else f"{name.rpartition('/')[0]}/{beside.getName()}", name, replace)
+        except Exception:
+            self.fs.delete(beside, False)
+            raise
+
+    def move(self, name: str, to: str, replace: bool = False) -> None:
+        """Rename a file or folder at once; FileExistsError where the new name is taken, unless replaced."""
         kind = getattr(self.jvm.org.apache.hadoop.fs, "Options$Rename")
         how = self.spark.sparkContext._gateway.new_array(kind, int(replace))
         if replace:
             how[0] = kind.OVERWRITE
         context = self.jvm.org.apache.hadoop.fs.FileContext.getFileContext(self.fs.getUri(), self.conf)
         try:
-            context.rename(self.fs.makeQualified(beside), self.fs.makeQualified(self._path(name)), how)
+            context.rename(self.fs.makeQualified(self._path(name)), self.fs.makeQualified(self._path(to)), how)
         except Exception as e:
-            self.fs.delete(beside, False)
             if "FileAlreadyExistsException" in str(e):
-                raise FileExistsError(name) from e
+                raise FileExistsError(to) from e
             raise
 
     def delete(self, name: str) -> None:
