@@ -3,7 +3,6 @@
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from litspark.functions.grams import GramIndex, QueryIndex
 from litspark.operators import pairs, search
