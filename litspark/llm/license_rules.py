@@ -4,7 +4,8 @@ A rule is (label, rank, keyword, pattern). The keyword says when the pattern is
 between bars, and the text must hold all words of one, in any place. A match holds them all, whatever its
 blanks, so no match goes untried. Two sentences that several licences share (``SHARED``) also need the
 licence's name somewhere in the text. Blanks in a pattern stand for any run of blanks and comment marks.
-Lower ranks win.
+Lower ranks win. A match's place is that of its group ``id`` where it has one: each identifier of an SPDX
+expression is a detection of its own, so the licences of a choice stand beside each other.
 """
 
 from __future__ import annotations
@@ -16,6 +17,12 @@ WORTH = {TAG: 1.0, GRANT: 1.0, VERSION: 0.9, TITLE: 0.8, LINK: 0.8, MENTION: 0.6
 #: Words of keywords that need not be in the sentence: MPL, CDDL and ECL notices, and all GNU ones, have the same.
 SHARED = {"you may not use this file": "apache", "either version": "gnu"}
 
+#: What stands before an identifier in an SPDX expression: the tag and any operands before it; its blanks are plain ones.
+_TAGGED = (
+    r"spdx-license-identifier: ?(?:[(\"'<\x20]*[\w.+:-]+(?:[)\x20]+(?:and|or|with)(?=[(\x20])|[)\x20]*[,/;|]))*?"
+    r"[(\"'<\x20]*(?P<id>"
+)
+
 #: label, SPDX stem, keyword, title, versions (empty: none are written), link
 _FAMILIES = [
     ("agpl", "agpl", "affero", r"(?:gnu )?affero (?:general )?public licen[sc]e", ["1.0", "3.0", "3"], r"gnu\.org/licenses/agpl"),
@@ -137,7 +144,7 @@ def rules() -> list[tuple[str, int, str, str]]:
         out.append((label, GRANT, keyword, sentence))
     for label, stem, keyword, title, versions, link in _FAMILIES:
         spdx = stem.replace("-", r"-").replace(".", r"\.")
-        out.append((label, TAG, "spdx-license-identifier", rf"spdx-license-identifier: ?\(?[^\n]{{0,80}}?\b{spdx}(?:-[0-9][0-9.]*)?(?:-only|-or-later|\+)?(?![\w-])"))
+        out.append((label, TAG, "spdx-license-identifier", rf"{_TAGGED}{spdx}(?:-[0-9][0-9.]*)?(?:-only|-or-later|\+)?)(?![\w-])"))
         for v in versions:
             number = v.replace(".", r"\.")
             out.append((f"{label}-{v}", VERSION, keyword, rf"\b{title},? ?\(?(?:v|ver\.?|version)? ?{number}(?![\w]|\.[0-9])"))
@@ -145,7 +152,7 @@ def rules() -> list[tuple[str, int, str, str]]:
         out.append((label, MENTION, "licen", rf"\blicen[sc]ed? (?:under|with|by) (?:the )?(?:terms of )?(?:the )?{spdx}(?![\w-])"))
         out.append((label, LINK, link.split(r"\.")[0].split("(")[0].split("?")[0], link))
     for label, words, letters in _CREATIVE:
-        out.append((label, TAG, "spdx-license-identifier", rf"spdx-license-identifier: ?cc-{letters}(?:-[0-9.]+)?(?![\w-])"))
+        out.append((label, TAG, "spdx-license-identifier", rf"{_TAGGED}cc-{letters}(?:-[0-9.]+)?)(?![\w-])"))
         for v in ("1.0", "2.0", "2.5", "3.0", "4.0"):
             number = v.replace(".", r"\.")
             out.append((f"{label}-{v}", VERSION, "cc", rf"\bcc[- ]{letters}[- ]{number}(?![\w]|\.[0-9])"))

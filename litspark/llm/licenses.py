@@ -3,7 +3,8 @@
 One Aho-Corasick pass finds which words of keywords a text holds; only patterns whose keyword is complete
 run. Words are looked for one by one, so a keyword that wraps over lines counts. A detection
 that lies inside another of the same or a better rank is dropped, so a title inside a full notice, or a
-short name inside a versioned one, does not count twice. The four base phrases are found on words, by
+short name inside a versioned one, does not count twice. Identifiers of one SPDX expression don't lie in each
+other, so all of them count. The four base phrases are found on words, by
 word hashes, and are not suppressed.
 """
 
@@ -59,7 +60,12 @@ def tried(text: str) -> set[int]:
 def detect(text: str) -> list[tuple[str, int, int, int]]:
     """(label, rank, first, last) of the detections that stay, by place; text with A-Z lower-cased, places in code points."""
     patterns = _compiled()[0]
-    found = [(m.start(), -m.end(), rank, order, label) for order in tried(text) for label, rank, pattern in [patterns[order]] for m in pattern.finditer(text)]
+    found = []
+    for order in tried(text):
+        label, rank, pattern = patterns[order]
+        for m in pattern.finditer(text):
+            first, end = m.span(m.lastgroup or 0)
+            found.append((first, -end, rank, order, label))
     kept, reach = [], {}
     for first, end, rank, _, label in sorted(found):
         # Any detection before this one starts no later; it covers this one if it reaches as far.
