@@ -8,6 +8,7 @@ apart and return after an insertion. From each border a chunk reaches to the fir
 found by the 15th, a chunk's end at most 27 words later, and 7 more words make it the same in both documents:
 two documents that share more than 50 words share whole chunks, however short the words. Chunks meet
 by their 64-bit digest; the smallest document that holds a chunk keeps it, others lose its words.
+A chunk of very many places is not dealt to one task: see ``HOT_PLACES``.
 """
 
 from __future__ import annotations
@@ -26,6 +27,10 @@ from litspark.sources.staging import stage
 SPREAD = 8
 LEAST = 20
 REACH = 8
+#: A chunk with more places than this, and more than one place in HOT_SHARE, is hot: its owner is broadcast and its places stay
+#: where they are. There are fewer than HOT_SHARE hot chunks at any size of the input.
+HOT_PLACES = 1_000
+HOT_SHARE = 100_000
 _GEAR = (constants(21, 256) >> U64(32)).astype(np.uint32)
 _NEVER = np.uint32(0xFFFFFFFF)
 _NO_ID = (1 << 63) - 1
@@ -133,10 +138,15 @@ def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
     rows = stage(map_text(d, _chunks, CHUNKS, ["id"]).where(F.size("keys") > 0))
     keys = rows.select("id", F.explode("keys").alias("key"))
-    owners = keys.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("last")).where("owner != last").select("key", "owner")
+    counted = keys.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
+    shared = stage(counted.where("owner != last").select("key", "owner", "n"))
+    total = shared.agg(F.sum("n")).first()[0] or 0
+    is_hot = F.col("n") > max(HOT_PLACES, total // HOT_SHARE)
+    hot, others = F.broadcast(shared.where(is_hot).select("key", "owner")), shared.where(~is_hot).select("key", "owner")
     places = rows.select("id", "whole", "n_words", F.explode(F.arrays_zip("keys", "firsts", "sizes")).alias("c"))
     places = places.select("id", "whole", "n_words", F.col("c.keys").alias("key"), F.col("c.firsts").alias("first"), F.col("c.sizes").alias("size"))
-    return places.join(owners.hint("shuffle_hash"), "key").drop("key")
+    cold = places.join(hot.select("key"), "key", "left_anti").join(others.hint("shuffle_hash"), "key")
+    return places.join(hot, "key").unionByName(cold).drop("key")
 
 
 def substring_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
