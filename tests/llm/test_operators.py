@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import json
 import random
 import re
 import zipfile
@@ -242,6 +243,13 @@ def test_license_rules():
     assert found("cc by-nc 4.0") == ["cc-by-nc-4.0"]
     assert found("gnu\n * general public license v3") == ["gpl-3"]
     assert found("mit einem hund") == []
+    tag = "spdx-license-identifier: "
+    assert found(tag + "mit or apache-2.0") == ["mit", "apache"]
+    assert found(tag + "(mit and (gpl-2.0-only or bsd-3-clause))") == ["mit", "gpl", "bsd-3-clause"]
+    assert found(tag + "gpl-2.0-or-later with classpath-exception-2.0") == ["gpl"]
+    assert found(tag + "cc-by-4.0 or mit\n" + tag + "mit/apache-2.0") == ["cc-by", "mit", "mit", "apache"]
+    assert found(tag + "mit or " + "own-1 or " * 60 + "isc") == ["mit", "isc"]
+    assert found(tag + "mit\nthis or isc") == ["mit"]
 
 
 def samples(pattern):
@@ -423,6 +431,22 @@ def test_short_words_share_chunks():
             assert set(keys[0]) & set(keys[1]), texts
 
 
+def test_hot_chunks(spark, monkeypatch):
+    """Chunks of many places go another way and give the same."""
+    common, rare = " ".join(f"c{i}" for i in range(80)), " ".join(f"r{i}" for i in range(80))
+    rows = [(i if i % 5 else None, f"{' '.join(f'w{i}x{k}' for k in range(30))} {common} {rare if i % 10 < 2 else ''}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4)
+    taken = lambda: (
+        sorted(map(str, substrings.substring_repeats(docs).collect())), sorted(map(str, substrings.remove_repeats(docs).collect()))
+    )
+    want = taken()
+    assert len(want[0]) == 40
+    for places, share in ((12, 1000), (0, 1000), (0, 20)):
+        monkeypatch.setattr(substrings, "HOT_PLACES", places)
+        monkeypatch.setattr(substrings, "HOT_SHARE", share)
+        assert taken() == want
+
+
 def test_borders_return_after_an_insertion():
     words = [f"t{i * 7919 % 1009}" for i in range(400)]
     made = lambda w: set(substrings._chunks()(pa.array([" ".join(w)]))[2][0].as_py())
@@ -457,6 +481,66 @@ def test_zip64_directories_and_indexes():
         warc_zip.central_directory(Bytes(b"no zip"))
 
 
+def warc(kind, name, block, http=True, extra=""):
+    told = "content-type:application/http;msgtype=response\r\n" if http else "Content-Type: text/plain\r\n"
+    return f"WARC/1.0\r\nwarc-type:{kind}\r\nWARC-Record-ID:  <urn:{name}>\r\n{told}{extra}Content-Length:{len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+
+def test_archives_of_other_writers(spark, tmp_path):
+    page = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
+    many = [warc("response", f"m{k}", page + b"x" * (k * 40_000)) for k in range(60)]
+    odd = [
+        warc("warcinfo", "info", b"software: x\r\n\r\nmore", http=False), warc("response", "r", page + b"body", extra="X-Folded: a\r\n  b\r\n"),
+        warc("revisit", "v", page, extra="WARC-Payload-Digest: sha1:ABC\r\nWARC-Refers-To: <urn:r>\r\n"), warc("revisit", "w", b"", http=False),
+    ]
+    gz = [warc_zip._gzip(x) for x in odd]
+    offsets = [sum(map(len, gz[:k])) for k in range(4)]
+    line = lambda k, **more: f"com,x)/ 2020 {json.dumps({'filename': 'odd.warc.gz', 'offset': str(offsets[k]), 'length': str(len(gz[k])), **more})}"
+    foreign = "\n".join(map(line, range(4))).encode()
+
+    def package(name, *members):
+        with zipfile.ZipFile(tmp_path / name, "w") as z:
+            for path, data, how in members:
+                z.writestr(path, data, how)
+        return f"file://{tmp_path / name}"
+
+    stored, deflated = zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED
+    paths = [
+        package("plain.zip", ("archive/a.warc", b"".join(many), stored), ("datapackage.json", b"{}", deflated)),
+        package("deflated.zip", ("archive/a.warc", b"".join(many), deflated)),
+        package("both.zip", ("archive/a.warc.gz", b"".join(map(warc_zip._gzip, many)), deflated), ("archive/", b"", stored)),
+        package("index.zip", ("archive/odd.warc.gz", b"".join(gz), stored), ("indexes/index.cdx.gz", warc_zip._gzip(foreign), stored)),
+        package("entry.zip", ("archive/odd.warc.gz", b"".join(gz), stored), ("indexes/index.cdxj", line(1, length="-1"), deflated)),
+    ]
+    got: dict = {}
+    for path in paths:
+        packages = spark.createDataFrame([(path,)], "path string")
+        got[path] = sorted((r.record_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in warc_zip.read_packages(packages).collect())
+    bodies = sorted((f"<urn:m{k}>", "response", k * 40_000, warc_zip.digest32(b"x" * (k * 40_000)), None) for k in range(60))
+    assert got[paths[0]] == got[paths[1]] == got[paths[2]] == bodies
+    assert got[paths[3]] == got[paths[4]] == sorted([
+        ("<urn:info>", "warcinfo", 19, warc_zip.digest32(b"software: x\r\n\r\nmore"), None), ("<urn:r>", "response", 4, warc_zip.digest32(b"body"), None),
+        ("<urn:v>", "revisit", None, "ABC", "<urn:r>"), ("<urn:w>", "revisit", None, None, None)], key=str)
+    blocks = warc_zip.blocks_of(warc_zip.Ranges(paths[3]), 1)
+    assert len(blocks) == 4  # each record is a range of its own
+    for cut in (many[3][:-9], b"no record at all\r\n\r\n", b"WARC/1.0\r\nwarc-type: x\r\n\r\n", warc_zip._gzip(many[3])[:-20]):
+        with pytest.raises((ValueError, zlib.error)):
+            list(warc_zip.split_records(cut))
+    bad = package("bad.zip", ("archive/a.warc", b"x" * 999, zipfile.ZIP_BZIP2))
+    with pytest.raises(ValueError):
+        warc_zip.blocks_of(warc_zip.Ranges(bad))
+
+
+def test_revisits_past_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc_zip, "HOT_PAGES", 3)
+    rows = spark.createDataFrame([(i, None if i % 7 == 0 else f"s{min(i % 5, i % 3)}") for i in range(60)], "id bigint, same string")
+    firsts = rows.where("same IS NOT NULL").groupBy("same").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
+    want = sorted(map(str, warc_zip._with_firsts(rows, firsts).collect()))
+    for share in (100, 3):
+        monkeypatch.setattr(warc_zip, "HOT_SHARE", share)
+        assert sorted(map(str, warc_zip._with_firsts(rows, firsts, 0).select("same", "id", "first").collect())) == want
+
+
 def test_archives_round_trip(spark, tmp_path):
     rows = [(5, "u", "same"), (3, "u\nx", "same"), (9, None, None), (8, "u", ""), (None, "u", "same"), (3, "u", "same"), (7, "é", "ü" * 1000), (1, "u", "x" * 300_000)]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumn("first", F.lit(1)).repartition(3)
