@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from litspark import schema
+from litspark.functions import periods
 from litspark.operators import audit, encode, search, semantic
 from litspark.plans import search as plan
 
@@ -178,6 +179,24 @@ def test_counts_and_norms(spark, papers):
     assert (norms.vectors, norms.min_norm, norms.max_norm, norms.not_unit, norms.wrong_width) == (2, 1.0, 2.0, 1, 2)
 
 
+def test_audit_reads_each_table_once(spark, papers, tmp_path):
+    wide = make_vectors(spark, [[1.0, 0.0], [0.0, 2.0], [1.0]], start=4)
+    twice = papers.unionByName(papers.limit(1)).unionByName(papers.limit(1).withColumn("paper_id", F.lit(None).cast(papers.schema["paper_id"].dataType)))
+    twice, stored = twice.withColumn("period", periods.period_of(F.col("year"))), []
+    for name, df in (("papers", twice), ("vectors", wide)):
+        df.write.parquet(f"{tmp_path}/{name}")
+        stored.append(spark.read.parquet(f"{tmp_path}/{name}"))
+    facts = audit.audit_facts(*stored, 2)
+    plan = facts._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan parquet") == 2 and "Join" not in plan
+    got = facts.agg(*[F.sum(c) for c in ("papers", "vectors", "without_vector", "without_paper", "not_unit", "wrong_width")]).first()
+    assert tuple(got) == (7, 3, 6, 2, 1, 1)
+    whole = facts.agg(F.min("min_year"), F.max("max_year")).first()
+    assert tuple(whole) == tuple(twice.agg(F.min("year"), F.max("year")).first())
+    empty = audit.audit_facts(stored[0].limit(0), stored[1].limit(0), 2)
+    assert empty.count() == 0
+
+
 def test_open_year_bounds(papers_of):
     papers = papers_of([(i, f"t{i}", "a", "u", "aer", 1990 + i) for i in range(30)])
     assert search.prefilter(papers, year_from=2010).count() == 10
