@@ -13,6 +13,7 @@ from litspark.operators import clean
 from litspark.operators.encode import with_text
 from litspark.plans.curate import with_period
 from litspark.sources.csv_records import first_bytes, header_cells, read_csv_records
+from litspark.sources.seen import index_parts, parts, seen_keys
 from litspark.sources.staging import stage
 
 FILES = "path string, modificationTime timestamp, length long, content binary"
@@ -87,7 +88,7 @@ def add_unseen(
 ) -> None:
     """Write the batch's unseen papers as partition (run_id, batch_id) of the table.
 
-    What is seen is the table itself, less this batch: run again after a failure the same partition
+    What is seen is the table itself, less this batch, by the key index beside it (``sources/seen.py``): run again after a failure the same partition
     is written again, so a batch counts once. Batches count from 0 in every checkpoint, so the run's id
     tells them apart. The batch's rejects go to ``rejects_path(table)``, by run_id and batch_id too: records, and a row for
     each file (file, reason) that could not be read.
@@ -99,20 +100,16 @@ def add_unseen(
     rejects = rejects.withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id)})
     rejects.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id").parquet(rejects_path(table))
     new = clean_batch(batch)
-    try:
-        seen = spark.read.parquet(table).filter((F.col("run_id") != run_id) | (F.col("batch_id") != batch_id))
-    except Exception as e:  # the first batch finds no table
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-            raise
-        seen = None
+    seen = seen_keys(new, table, run_id, batch_id)
     if seen is not None:
-        new = new.join(seen.select("paper_id"), "paper_id", "left_anti")
+        new = new.join(seen, "paper_id", "left_anti")
     if encoder is not None:
         new = stage(new)
         texts = with_text(new).select("paper_id", "text")
         new = new.join(encoder(texts), "paper_id")
     out = new.drop("ord").withColumns({"run_id": F.lit(run_id), "batch_id": F.lit(batch_id)})
     out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id", "batch_id", "period").parquet(table)
+    index_parts(spark, table, parts(spark, table) & {(run_id, batch_id)})
 
 
 def add_drops(spark: SparkSession, files: DataFrame, batch_id: int, table: str, encoder, run_id: str) -> None:

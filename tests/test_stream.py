@@ -1,8 +1,11 @@
+import shutil
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from litspark.operators import search
 from litspark.plans import curate
-from litspark.sources import papers
+from litspark.sources import papers, seen
 from litspark.streaming import alerts, ingest
 from tests.test_sources import write_csv
 
@@ -62,6 +65,49 @@ def test_a_batch_run_twice_counts_once(spark, tmp_path):
     assert [r.batch_id for r in spark.read.parquet(table).collect()] == [0]
 
 
+def batch_of(spark, ids):
+    rows = [(f"T{i}", "a", "x", f"http://u/{i}", "aer", "1999", "f", i) for i in ids]
+    return spark.createDataFrame(rows, "title string, authors string, abstract string, url string, journal string, year string, file string, block bigint")
+
+
+def test_seen_keys_by_prefix(spark, tmp_path, monkeypatch):
+    """Filters with and without false answers, a batch without index, a table older than its index."""
+    table = str(tmp_path / "table")
+    for bits in (12, 1):
+        monkeypatch.setattr(seen, "BITS", bits)
+        run = f"run{bits}"
+        base = 1000 * bits
+        ingest.add_unseen(spark, batch_of(spark, range(base, base + 300)), 0, table, run_id=run)
+        ingest.add_unseen(spark, batch_of(spark, range(base + 200, base + 400)), 1, table, run_id=run)
+        ingest.add_unseen(spark, batch_of(spark, range(base, base + 400)), 2, table, run_id=run)
+        counts = {r.batch_id: r.n for r in spark.read.parquet(table).where(F.col("run_id") == run).groupBy("batch_id").agg(F.count("*").alias("n")).collect()}
+        assert counts == {0: 300, 1: 100}
+    # a part whose index was never written is indexed before the next batch looks
+    shutil.copytree(f"{table}/run_id=run12", f"{tmp_path}/older/run_id=run12")
+    older = str(tmp_path / "older")
+    assert seen.parts(spark, older) == {("run12", 0), ("run12", 1)} and seen.parts(spark, seen.filters_path(older)) == set()
+    ingest.add_unseen(spark, batch_of(spark, [12_000, 12_399, 5]), 7, older, run_id="next")
+    assert seen.parts(spark, seen.filters_path(older)) == {("run12", 0), ("run12", 1), ("next", 7)}
+    assert [r.title for r in spark.read.parquet(older).where("run_id = 'next'").collect()] == ["T5"]
+
+
+def test_seen_keys_are_pruned_and_verified(spark, tmp_path):
+    table = str(tmp_path / "table")
+    stored = spark.range(5000).select(F.col("id").alias("paper_id"), F.lit("r").alias("run_id"), F.lit(0).alias("batch_id"))
+    stored.write.partitionBy("run_id", "batch_id").parquet(table)
+    asked = spark.createDataFrame([(3,), (4999,), (7000,), (None,), (3,)], "paper_id bigint")
+    found = seen.seen_keys(asked, table, "new", 0)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    scan = next(x for x in plan.splitlines() if "FileScan" in x and "_seen" in x)
+    assert "PushedFilters: [In(prefix" in scan and "SortMergeJoin" not in plan
+    assert sorted(r.paper_id for r in found.collect()) == [3, 4999]
+    assert seen.seen_keys(asked, table, "r", 0) is None and seen.seen_keys(asked, str(tmp_path / "none"), "r", 0) is None
+    hashes = np.random.default_rng(1).integers(-(2**63), 2**63 - 1, 40_000)
+    kept = seen.bloom(hashes[:20_000])
+    assert seen.perhaps(hashes[:20_000], kept).all() and seen.perhaps(hashes[20_000:], kept).mean() < 0.01
+    assert not seen.perhaps(hashes[:9], seen.bloom(hashes[:0])).any()
+
+
 def test_rejects_of_each_batch_are_written(spark, tmp_path):
     table = str(tmp_path / "table")
     rows = [("T", "a", "x", "http://u", "aer", "1999", "f", 0), ("Bad", "a", "x", "http://v", "aer", "20x4", "f", 0), (None, "a", "x", "http://w", "aer", "2001", "f", 0)]
