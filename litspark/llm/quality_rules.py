@@ -1,11 +1,12 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule rejects a document whose share of something passes a cutoff. The cutoff of a stratum (the
-language) is the strictest of a fixed grid for which labelled good documents prove, by an exact binomial
-test, that the rule rejects at most ``RISK`` of the good ones. A grid is tested from the mildest cutoff
-on and ends at the first that fails (fixed sequence), so it needs no correction of its own; the level
-``LEVEL`` is divided by the number of rules and strata (Bonferroni), so all cutoffs hold together. A
-stratum with too few labels to prove anything gets no cutoff: only the base rules judge its documents.
+Each rule rejects a document whose share of something passes a cutoff. All rules of a stratum (the
+language) share one cutoff: the strictest of a fixed grid for which labelled good documents prove, by an
+exact binomial test, that all rules together reject at most ``RISK`` of the good ones. The grid is tested
+from the mildest cutoff on and ends at the first that fails (fixed sequence), so it needs no correction of
+its own; the level ``LEVEL`` is divided by the number of strata (Bonferroni), so all strata hold together. A
+stratum with too few labels to prove anything gets no cutoff: only the base rules judge its documents. At
+``RISK`` and ``LEVEL`` one stratum alone needs 598 good labels, five need 919 each.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from litspark.llm.words import NOT_BLANK, Words, free_name, map_text, run_hashes
 from litspark.sources.staging import stage
 
 RUN = 5
-#: Share of good documents that a rule may reject, and the chance that any cutoff breaks it.
+#: Share of good documents that the rules of a stratum may reject, and the chance that any stratum breaks it.
 RISK = 0.005
 LEVEL = 0.05
 #: Cutoffs lie at 1/GRID, 2/GRID, ... below 1.
@@ -133,26 +134,23 @@ def strictest(cells: dict[int, int], risk: float, level: float) -> int | None:
     return best
 
 
-def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, stratum: str, risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, int]]:
-    """Rule to the cutoff of each stratum that has one.
+def cutoffs(measured: DataFrame, labels: DataFrame, id_col: str, stratum: str, risk: float = RISK, level: float = LEVEL) -> dict[str, int]:
+    """Stratum to its cutoff, for those that have one.
 
     Only grid counts of strata with enough labels for any proof reach the driver: fewer cells than a
     fixed share of the labels.
     """
     good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias(id_col)).dropDuplicates()
-    passed = F.array(*(F.struct(F.lit(k).alias("rule"), step(v).alias("step")) for k, v in rules().items()))
-    rows = measured.join(good, id_col, "left_semi").select(F.col(stratum).alias("s"), F.explode(passed).alias("c"))
-    counted = stage(rows.groupBy("s", "c.rule", "c.step").count())
+    furthest = F.greatest(*(step(v) for v in rules().values()))
+    rows = measured.join(good, id_col, "left_semi").select(F.col(stratum).alias("s"), furthest.alias("step"))
+    counted = stage(rows.groupBy("s", "step").count())
     enough = math.log(level) / math.log1p(-risk)
-    large = counted.groupBy("s", "rule").agg(F.sum("count").alias("n")).where(F.col("n") >= enough).select("s").distinct()
+    large = counted.groupBy("s").agg(F.sum("count").alias("n")).where(F.col("n") >= enough).select("s")
     found: dict = {}
     for r in counted.join(large, "s", "left_semi").collect():
-        found.setdefault((r.s, r.rule), {})[r.step] = r["count"]
-    out: dict = {}
-    for (s, rule), cells in found.items():
-        if (cutoff := strictest(cells, risk, level / len(found))) is not None:
-            out.setdefault(rule, {})[s] = cutoff
-    return out
+        found.setdefault(r.s, {})[r.step] = r["count"]
+    proven = {s: strictest(cells, risk, level / len(found)) for s, cells in found.items()}
+    return {s: cutoff for s, cutoff in proven.items() if cutoff is not None}
 
 
 def quality_rules(
@@ -168,12 +166,10 @@ def quality_rules(
     s = free_name(docs, "stratum")
     read = docs.select(id_col, text_col, F.coalesce(F.col(stratum_col).cast("string"), F.lit("")).alias(s))
     measured = stage(measures(read, [id_col, s], text_col))
-    by_rule = cutoffs(measured, labels, id_col, s, risk, level)
-    broken = []
-    for rule, value in sorted(rules().items()):
-        if by_rule.get(rule):
-            cutoff = F.create_map(*(F.lit(x) for pair in by_rule[rule].items() for x in pair))[F.col(s)]
-            broken.append(F.when(step(value) >= cutoff, F.lit(rule)))
-    rejected = F.array_compact(F.array(*broken)) if broken else F.lit([]).cast("array<string>")
+    by_stratum = cutoffs(measured, labels, id_col, s, risk, level)
+    rejected = F.lit([]).cast("array<string>")
+    if by_stratum:
+        cutoff = F.create_map(*(F.lit(x) for pair in sorted(by_stratum.items()) for x in pair))[F.col(s)]
+        rejected = F.array_compact(F.array(*(F.when(step(value) >= cutoff, F.lit(rule)) for rule, value in sorted(rules().items()))))
     out = measured.withColumns({"base_failed": base_failed(), "rejected_by": rejected})
     return out.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop(s)
