@@ -113,6 +113,8 @@ class Voters:
         self.rarity = np.log((1 + n) / (1 + np.bincount(term, minlength=_TERMS))) + 1
         value = weights(text, term, count, self.rarity)
         self.axes = latent_axes(text, term, value, n, axes) if len(text) else np.zeros((_TERMS, 1), np.float32)
+        # Votes are ranked on products of doubles, so they don't hang on which texts share a batch.
+        self.axes = self.axes.astype(np.float64)
         self.vectors = project(n, text, term, value, self.axes)
 
     def scores(self, column: pa.Array) -> np.ndarray:
@@ -121,16 +123,16 @@ class Voters:
         return np.concatenate([self.votes(made[at : at + _BLOCK]) for at in range(0, len(made), _BLOCK)] or [np.empty(0)])
 
     def votes(self, made: np.ndarray) -> np.ndarray:
-        """Similarity-weighted share of label 1 among the nearest; equal similarities go by the sample's order."""
+        """Similarity-weighted share of label 1 among the nearest; similarities equal to nine digits go by the sample's order, its ids."""
         n = len(self.labels)
         best = np.full((len(made), 0), -1, dtype=np.int64)
         for at in range(0, n, _BLOCK):
-            near = np.rint(made @ self.vectors[at : at + _BLOCK].T * 1e4).astype(np.int64)
+            near = np.rint(made @ self.vectors[at : at + _BLOCK].T * 1e9).astype(np.int64)
             rank = near * n + (n - 1 - np.arange(at, at + near.shape[1]))
             best = np.concatenate([best, rank], axis=1)
             if best.shape[1] > NEIGHBOURS:
                 best = -np.partition(-best, NEIGHBOURS - 1, axis=1)[:, :NEIGHBOURS]
-        weight = np.maximum(best // n, 0) / 1e4 if n else np.zeros((len(made), 0))
+        weight = np.maximum(best // n, 0) / 1e9 if n else np.zeros((len(made), 0))
         total = weight.sum(axis=1)
         share = (weight * self.labels[n - 1 - best % n]).sum(axis=1) if n else total
         return np.where(total > 0, share / np.maximum(total, 1e-12), 0.0)
@@ -149,12 +151,15 @@ def _terms():
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str, text_col: str, learn: Column, per_label: int) -> DataFrame:
-    """At most ``per_label`` texts of either label: label, id and text, the first by hash of their id."""
+    """At most ``per_label`` texts of either label: label, id and text, the first by hash of their id.
+
+    Of labels that clash for an id the smaller stands, of texts that repeat one the smallest.
+    """
     known = labels.select(F.col("doc_id").cast("long").alias("id"), F.col(label).cast("int").alias("label"))
-    known = known.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).dropDuplicates(["id"]).where(learn)
+    known = known.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.min("label").alias("label")).where(learn)
     picked = [known.where(F.col("label") == y).orderBy(F.xxhash64("id"), "id").limit(per_label) for y in (0, 1)]
     texts = docs.select(docs[id_col].cast("long").alias("id"), docs[text_col].alias("text"))
-    return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id")
+    return texts.join(F.broadcast(picked[0].unionByName(picked[1])), "id").groupBy("id", "label").agg(F.min("text").alias("text"))
 
 
 def _fitted(axes: int):
@@ -176,7 +181,7 @@ def _fitted(axes: int):
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column, per_label: int, axes: int) -> Voters:
     """The classifier of the bounded sample, fitted in a task; only the axes and vectors reach the driver."""
     sample = labelled_sample(docs, labels, "quality", id_col, text_col, learn, per_label)
-    rows = map_text(sample, _terms, _TERMS_OF, ["id", "label"]).dropDuplicates(["id"])
+    rows = map_text(sample, _terms, _TERMS_OF, ["id", "label"])
     made = rows.repartition(1).mapInArrow(_fitted(axes), "model binary").head()
     none = np.empty(0, np.int64)
     return pickle.loads(made.model) if made else Voters(none, none, none, none, axes)
@@ -194,7 +199,8 @@ def quality_scores(
 
     Learns from labelled rows that are not held out, of either label ``per_label`` at most; only texts
     are inputs. Texts that are null, blank or have no neighbour score 0, and so does every text where
-    nothing is labelled. Of rows that repeat an id one stands in the sample; all are scored.
+    nothing is labelled. Of rows that repeat an id the smallest text stands in the sample, of clashing labels the
+    smaller; all rows are scored.
     """
     voters = fit(docs, labels, id_col, text_col, ~held_out("id", parts, part), per_label, axes)
     shared = docs.sparkSession.sparkContext.broadcast(voters)

@@ -152,7 +152,7 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, learn: Column, per_label: int) -> Model | None:
     """None where no text is labelled. The driver gets feature counts past the test and the sample's rows of these."""
     sample = labelled_sample(docs, labels, "toxic", id_col, text_col, learn, per_label)
-    rows = stage(map_text(sample, _features, _FOUND, ["id", "label"]).dropDuplicates(["id"]))
+    rows = stage(map_text(sample, _features, _FOUND, ["id", "label"]))
     total = {r.label: r["count"] for r in rows.groupBy("label").count().collect()}
     if not total:
         return None
@@ -176,7 +176,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
     Learns from labelled rows that are not held out, of either label ``per_label`` at most; only texts
     are inputs. Null and blank texts have no features and score the model's base. Where nothing is
-    labelled every score is 0. Of rows that repeat an id one stands in the sample; all are scored. Other
+    labelled every score is 0. Of rows that repeat an id the smallest text stands in the sample, of clashing labels the smaller. Other
     columns are not read.
     """
     model = fit(docs, labels, id_col, text_col, ~held_out("id", parts, part), per_label)
