@@ -60,8 +60,34 @@ def targets(sizes: dict, share: float = SHARE, repeats: int = REPEATS, weights:
 def route(patterns: dict[tuple, int], quotas: dict, repeats: int = REPEATS) -> dict[tuple, int]:
     """Words that each pattern gives, of the cheapest flow that fills the quotas as far as it can.
 
-    Pass k of a pattern's words costs k. Cheapest augmenting paths, found by label correction.
+    Pass k of a pattern's words costs k. Sources that no chain of patterns joins share no arc, so each joined
+    set is a flow of its own. A source with a single pattern takes its quota or all passes.
     """
+    parent = {s: s for pattern in patterns for s in pattern}
+
+    def root(s):
+        while parent[s] != s:
+            parent[s] = s = parent[parent[s]]
+        return s
+
+    for pattern in patterns:
+        for s in pattern[1:]:
+            parent[root(s)] = root(pattern[0])
+    joined: dict = {}
+    for pattern, size in patterns.items():
+        joined.setdefault(root(pattern[0]), {})[pattern] = size
+    out = {}
+    for part in joined.values():
+        sources = {s for pattern in part for s in pattern}
+        if len(part) == len(sources) == 1:
+            out |= {p: min(repeats * size, quotas[p[0]]) for p, size in part.items()}
+        else:
+            out |= _flow(part, {s: quotas[s] for s in quotas if s in sources}, repeats)
+    return out
+
+
+def _flow(patterns: dict[tuple, int], quotas: dict, repeats: int) -> dict[tuple, int]:
+    """The cheapest flow by cheapest augmenting paths, found by label correction."""
     first, last = "from", "to"
     capacity: dict = {}
     cost: dict = {}

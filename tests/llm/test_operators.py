@@ -5,6 +5,7 @@ import io
 import json
 import random
 import re
+import time
 import zipfile
 import zlib
 from itertools import pairwise
@@ -312,6 +313,23 @@ def test_license_base(spark):
         assert set(filter(None, g.base_labels.split(","))) <= set(filter(None, g.labels.split(","))) and 0 <= g.score <= 1
 
 
+def test_flows_of_apart_sources():
+    rng = random.Random(3)
+    many = {s: rng.randrange(1, 1000) for s in map(str, range(100_000))}
+    began = time.process_time()
+    quotas = mixing._whole(mixing.targets(many))
+    assert {p[0]: n for p, n in mixing.route({(s,): n for s, n in many.items()}, quotas).items()} == quotas
+    assert time.process_time() - began < 10
+    for _ in range(30):  # joined and apart sources give what one flow over all gives: the same words for the same cost
+        sources = [str(k) for k in range(9)]
+        patterns = {tuple(sorted(rng.sample(sources[:3] if rng.random() < 0.5 else sources[3:6], rng.randrange(1, 4)))): rng.randrange(50) for _ in range(6)}
+        patterns |= {(s,): rng.randrange(50) for s in sources[5:]}
+        quotas = {s: rng.randrange(80) for s in sources if any(s in p for p in patterns)}
+        got, want = mixing.route(patterns, quotas), mixing._flow(patterns, quotas, 2)
+        price = lambda x: sum(max(0, x[p] - n) for p, n in patterns.items())
+        assert got.keys() == want.keys() and (sum(got.values()), price(got)) == (sum(want.values()), price(want))
+
+
 def test_mixing(spark):
     rows = [(i, "w " * (i % 7), None, None if i % 5 == 0 else f"s{i % 5}", 0) for i in range(400)]
     got = mixing.mix_sources(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()
@@ -354,6 +372,66 @@ def test_rules(spark):
         assert not (failed and g.kept)
 
 
+def test_kept_by_naive_binomials(spark):
+    """One cutoff a stratum, for all rules together, by exact fractions; clashing and repeated labels don't matter."""
+    from fractions import Fraction
+    from math import comb
+
+    rng = random.Random(5)
+    rows = [(i, " ".join(rng.choice(["plain", "words", "HERE", "and", "#tag", "there", "go", "on"][: 4 + (i % 50 == 0) * 4]) + str(k) for k in range(12)), "ab"[i % 3 == 0]) for i in range(900)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(900) if i % 9] + [(1, 1), (2, 0)], "doc_id bigint, quality int")
+    risk, level = 0.05, 0.05
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels, risk=risk, level=level).collect()}
+    measured = {}
+    for i, text, lang in rows:
+        w = text.split(" ")
+        again = sum(x == y for x, y in zip(w, w[1:], strict=False))
+        letters = [c for c in text if c.isalpha()]
+        runs = [tuple(w[k : k + 5]) for k in range(len(w) - 4)]
+        repeated = len({p for k, r in enumerate(runs) if runs.count(r) > 1 for p in range(k, k + 5)})
+        values = {"symbols": Fraction(text.count("#"), 12), "repeated_words": Fraction(repeated, 12), "repeated_lines": Fraction(0), "same_words": Fraction(again, 12),
+                  "capitals": Fraction(sum(c.isupper() for c in letters), len(letters)), "long_words": Fraction(sum(map(len, w)), 12 * 40)}
+        measured[i] = lang, values
+    p, chosen = Fraction(risk), {}
+    for s in "ab":
+        good = [max(v.values()) for i, (lang, v) in measured.items() if lang == s and i % 9]
+        n = len(good)
+        for k in range(49, 0, -1):
+            hit = sum(v > Fraction(k, 50) for v in good)
+            if sum(comb(n, j) * p**j * (1 - p) ** (n - j) for j in range(hit + 1)) > Fraction(level) / 2:
+                break
+            chosen[s] = k
+    assert set(chosen) == {"a", "b"} and min(chosen.values()) > 1
+    for i, (lang, values) in measured.items():
+        want = sorted(rule for rule, v in values.items() if v > Fraction(chosen[lang], 50))
+        assert sorted(got[i].rejected_by) == want and got[i].kept == (not want)
+    assert any(r.rejected_by for r in got.values())
+
+
+def test_quality_by_a_naive_voter(spark):
+    """Every vote by plain sums of doubles, whatever the order of rows; clashing labels and texts of an id have one meaning."""
+    docs, labels = table(spark, SF, "documents"), table(spark, SF, "labels")
+    more = docs.limit(5).withColumn("text", F.lit("zzz other")).unionByName(docs)
+    clash = labels.unionByName(labels.limit(20).withColumn("quality", F.lit(1).cast(labels.schema["quality"].dataType)))
+    score = lambda d, y: {(r.doc_id, r.text): r.score for r in quality_classifier.quality_scores(d, y, ["doc_id", "text"]).collect()}
+    first, turned = score(more, clash), score(more.repartition(7, "n_chars").orderBy(F.desc("doc_id")), clash.repartition(3))
+    assert first.keys() == turned.keys() and all(abs(first[k] - turned[k]) < 1e-6 for k in first)
+    voters = quality_classifier.fit(docs, labels, "doc_id", "text", ~quality_classifier.held_out("id", 3, 1), 2000, quality_classifier.AXES)
+    texts = sorted({r.text for r in docs.select("text").limit(60).collect()})
+    text, term, count = quality_classifier.terms(pa.array(texts))
+    value = quality_classifier.weights(text, term, count, voters.rarity)
+    got = voters.scores(pa.array(texts))
+    for t in range(len(texts)):
+        at = text == t
+        vector = (value[at].astype(np.float64)[:, None] * voters.axes[term[at]]).sum(axis=0)
+        vector /= max(float(np.sqrt((vector * vector).sum())), 1e-9)
+        near = [(-round(float((vector * v).sum()), 9), k) for k, v in enumerate(voters.vectors)]
+        best = [(max(-s, 0.0), voters.labels[k]) for s, k in sorted(near)[: quality_classifier.NEIGHBOURS]]
+        total = sum(s for s, _ in best)
+        assert got[t] == pytest.approx(sum(s * y for s, y in best) / total if total else 0.0, abs=1e-6)
+
+
 def test_cutoffs_hold_their_risk():
     assert quality_rules.tail(10, 10, 0.3) == pytest.approx(1) and quality_rules.tail(3, 0, 0.5) == pytest.approx(0.125)
     assert quality_rules.strictest({0: 10_000}, 0.005, 0.001) == 1
