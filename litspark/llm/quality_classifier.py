@@ -26,8 +26,8 @@ NEIGHBOURS = 15
 _BUCKETS = 1 << 13
 _SHAPES = 1 << 9
 _TERMS = _BUCKETS + _SHAPES
-_BLOCK = 1024
-_PART = 1 << 16
+_BLOCK = 512
+_PART = 1 << 14
 _SALT = constants(31, 2)
 
 _UPPER = np.zeros(256, bool)
