@@ -43,7 +43,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest document of each linked group."""
     gone = stage(near_duplicates(docs).where(~F.col("kept")).select("doc_id").distinct())
-    return docs.join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    known = docs.where(F.col("doc_id").isNotNull()).join(small(gone), "doc_id", "left_anti").select(docs.columns)
+    return known.unionByName(docs.where(F.col("doc_id").isNull()))  # apart, as a join would bring them to one task
 
 
 def substrings(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
