@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from litspark import schema
 from litspark.functions import text
+from litspark.functions.batches import slices
 from litspark.functions.grams import GramIndex
 from litspark.functions.text import seeded_hash
 from litspark.operators.ranks import draw_position, first_k, hash_blocks, rows_at, sample_k, small, top_k
@@ -93,7 +94,7 @@ def paper_terms(papers: DataFrame, terms: list[str]) -> DataFrame:
         index = GramIndex([t for t in known if t])
         number = [k for k, t in enumerate(known) if t]
         always = [k for k, t in enumerate(known) if not t]
-        for batch in batches:
+        for batch in slices(batches, "_title"):
             found = [sorted([number[k] for k in index.find(t)] + always) for t in batch.column("_title").to_pylist()]
             at = [i for i, f in enumerate(found) if f]
             names = pa.array([[known[k] for k in found[i]] for i in at], pa.list_(pa.string()))

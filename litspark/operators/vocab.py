@@ -5,7 +5,8 @@ frequent usable terms, each task counts its rows in chunks of a bounded number o
 chunk, together with the count that no unsent term of the chunk passes (its floor). The sum of what was sent is the
 least that a term can have; adding the floors of the chunks that did not send it gives the most. The n-th best least
 value is a threshold: a term whose most lies below it is out, without ever having travelled. Terms between the bounds are counted
-again, exactly. Where the floors do not suffice for that, chunks send more.
+again, exactly. Where the floors do not suffice for that, chunks send more, and where that would not fit a task any more all
+terms are counted by shuffle. So what a task holds follows neither its rows nor the input.
 """
 
 from __future__ import annotations
@@ -24,9 +25,10 @@ from litspark.operators.ranks import sample_k
 from litspark.sources.staging import discard, stage
 
 SCORE_DIGITS = 6  # scores are rounded here, so terms that always occur together tie
-HELD = 1_000_000  # counts of slices that a task holds before it adds them up and sends the leading ones
+HELD = 1 << 18  # counts of slices that a task holds before it adds them up and keeps the leading ones
 SENT_PER_TERM = 8  # leading terms that a chunk sends at first, for each wanted term
-RECOUNTED = 1_000_000  # terms that are held in each task to be counted again
+SENT = 1 << 18  # leading terms that a chunk sends in a later attempt at most
+RECOUNTED = 1 << 17  # terms that are held in each task to be counted again
 
 _COUNTS = "term string, ctf bigint, df bigint, floor bigint"
 
@@ -236,6 +238,9 @@ def frequent_terms(
         if closed and len(rows) <= RECOUNTED:
             break
         sent, held = 8 * sent, max(held, 16 * sent)
+        if sent > SENT:
+            usable = document_frequency(texts, body).filter((df >= min_df) & (df <= most))
+            return [(r.term, r.df) for r in usable.orderBy(ctf.desc(), "term").limit(n_terms).collect()]
     found = [(r.ctf, r.term, r.df) for r in rows if not r.floor]
     again = [r.term for r in rows if r.floor]
     if again:

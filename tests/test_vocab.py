@@ -79,6 +79,20 @@ def test_unsent_terms_are_counted_again(spark, corpus, monkeypatch):
     assert asked and asked[0] < 100  # the few between the bounds, not the vocabulary
 
 
+def test_later_attempts_hold_no_more_than_fits(spark, monkeypatch):
+    """Of terms that are equally frequent no floor closes the rest: they are counted by shuffle, not all in each task."""
+    rows = [(d, " ".join(f"t{d % 7}x{i}" for i in range(60))) for d in range(28)]
+    flat = spark.createDataFrame(rows, "paper_id bigint, text string").repartition(4)
+    ctf, df = plain_counts([t.split() for _, t in rows])
+    asked = []
+    plain = vocab._chunk_counts
+    monkeypatch.setattr(vocab, "SENT", 40, raising=False)
+    monkeypatch.setattr(vocab, "_chunk_counts", lambda texts, body, sent, held, size: asked.append((sent, held)) or plain(texts, body, sent, held, size))
+    got = vocab.frequent_terms(flat, 28, 5, 1, 1.0, sent=3, held=20, slice_bytes=200)
+    assert got == [(t, df[t]) for t in sorted(ctf, key=lambda t: (-ctf[t], t))[:5]]
+    assert max(s for s, _ in asked) <= 40 and max(h for _, h in asked) <= 80
+
+
 @pytest.mark.parametrize("sent, held", [(5, 30), (20, 60), (3, 8), (100, 50)])
 def test_leaders_bound_every_term(sent, held):
     """Whatever was cut on the way: certain counts are too low, certain and open ones together are high enough."""
