@@ -45,6 +45,12 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             at = to
 
 
+def give_back() -> None:
+    """Returns to the system what Arrow and numpy use no longer; Python workers outlive their tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    pa.system_memory_pool().release_unused()  # the C heap, where numpy's arrays are
+
+
 class WordCutter:
     """Cuts lower-cased texts into their words of two or more characters."""
 

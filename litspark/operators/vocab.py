@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from litspark import schema
-from litspark.functions.batches import SLICE_BYTES, WordCutter, slices, word_characters
+from litspark.functions.batches import SLICE_BYTES, WordCutter, give_back, slices, word_characters
 from litspark.operators.ranks import sample_k
 from litspark.sources.staging import discard, stage
 
@@ -30,6 +30,11 @@ SENT_PER_TERM = 8  # leading terms that a chunk sends at first, for each wanted
 SENT = 1 << 18  # leading terms that a chunk sends in a later attempt at most
 RECOUNTED = 1 << 17  # terms that are held in each task to be counted again
 
+PART_BYTES = 4 << 20  # of texts whose terms one task adds up, while the parts are few
+UNSORTED = 200  # so many parts Spark writes without holding rows in memory (spark.shuffle.sort.bypassMergeThreshold)
+LARGE_BYTES = 32 << 20  # of texts whose terms one task adds up, where the parts are many
+COUNT_ROWS = 1 << 16  # of a batch of counts
+
 _COUNTS = "term string, ctf bigint, df bigint, floor bigint"
 
 
@@ -68,6 +73,11 @@ def _counted(codes: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return codes[at], np.diff(np.append(at, len(codes))), df
 
 
+def _added(tables: list[pa.Table]) -> pa.Table:
+    """Counts of slices, each term once."""
+    return pa.concat_tables(tables).group_by("term").aggregate([("ctf", "sum"), ("df", "sum")]).rename_columns(["term", "ctf", "df"])
+
+
 def _table(terms: pa.Array, ctf: np.ndarray, df: np.ndarray) -> pa.Table:
     return pa.table({"term": terms, "ctf": pa.array(ctf, pa.int64()), "df": pa.array(df, pa.int64())})
 
@@ -122,7 +132,7 @@ class Leaders:
 
     def add(self, tables: list[pa.Table]) -> None:
         """One chunk, as counts of slices."""
-        found = pa.concat_tables(tables).group_by("term").aggregate([("ctf", "sum"), ("df", "sum")]).rename_columns(["term", "ctf", "df"])
+        found = _added(tables)
         ctf = found.column("ctf").to_numpy()
         floor = self._above(ctf, self.sent)
         found = found.filter(pa.array(ctf > floor))
@@ -165,6 +175,7 @@ def _chunk_counts(texts: DataFrame, body: str, sent: int, held: int, slice_bytes
             if rows > held:
                 leaders.add(tables)
                 tables, rows = [], 0
+                give_back()
         if tables:
             leaders.add(tables)
         if leaders.known is not None:
@@ -179,17 +190,30 @@ def _chunk_counts(texts: DataFrame, body: str, sent: int, held: int, slice_bytes
 def document_frequency(texts: DataFrame, body: str = "text") -> DataFrame:
     """(term, df, ctf): documents that hold a term, and its occurrences in all of them. A row is a document.
 
-    All terms are the result, so all travel, counted beforehand in slices of texts and in each task.
+    All terms are the result, so all travel. They are counted beforehand in chunks of a bounded number of counts, not in whole
+    tasks, and added up in as many parts as the texts' size asks for.
     """
     characters = word_characters(texts.sparkSession)
+    size = texts.agg(F.coalesce(F.sum(F.octet_length(body)), F.lit(0))).first()[0]
+    parts = -(-size // PART_BYTES)
+    parts = parts if parts <= UNSORTED else max(UNSORTED, -(-size // LARGE_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = Occurrences(characters)
+        found, tables, rows = Occurrences(characters), [], 0
         for part in slices(batches, "body"):
             for counted in found.counts(part.column("body")):
-                yield from counted.to_batches()
+                tables.append(counted)
+                rows += counted.num_rows
+            if rows > HELD:
+                yield from _added(tables).to_batches(COUNT_ROWS)
+                tables, rows = [], 0
+                give_back()
+        if tables:
+            yield from _added(tables).to_batches(COUNT_ROWS)
 
     counts = _lower(texts, body).mapInArrow(run, "term string, ctf bigint, df bigint")
+    # dealt by term before anything is added up: the terms of a whole task would not stay in bounds
+    counts = counts.repartition(parts, "term") if parts > 1 else counts
     return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("ctf").alias("ctf"))
 
 

@@ -61,6 +61,19 @@ def test_document_frequency(spark, corpus):
     assert "REPARTITION" not in plan
 
 
+def test_terms_of_large_inputs_are_dealt_before_they_are_added_up(corpus, monkeypatch):
+    """No aggregate holds the terms of a whole map task; the parts follow the texts' size."""
+    want = {r.term: (r.df, r.ctf) for r in vocab.document_frequency(corpus).collect()}
+    size = corpus.agg(F.sum(F.octet_length("text"))).first()[0]
+    for name, value in (("PART_BYTES", 2000), ("UNSORTED", 4), ("LARGE_BYTES", size // 6), ("HELD", 50)):
+        monkeypatch.setattr(vocab, name, value, raising=False)
+    assert {r.term: (r.df, r.ctf) for r in vocab.document_frequency(corpus).collect()} == want
+    plan = vocab.document_frequency(corpus)._jdf.queryExecution().executedPlan().toString()
+    before = plan[plan.index("hashpartitioning(term") :]
+    assert "Aggregate" not in before and "MapInArrow" in before
+    assert f"hashpartitioning(term#{before.split('term#')[1].split(',')[0]}, {-(-size // (size // 6))})" in before
+
+
 @pytest.mark.parametrize("n, sent, held", [(10, 3, 400), (10, 12, 700), (40, 60, 10**6), (150, 20, 300), (25, 10**6, 10**6)])
 @pytest.mark.parametrize("min_df, max_df", [(3, 0.3), (1, 1.0), (9, 0.08)])
 def test_leading_terms_are_exact(spark, corpus, n, sent, held, min_df, max_df):
