@@ -172,13 +172,15 @@ def mix_sources(
 
     bounded = F.broadcast if len(summed) <= SMALL_ROWS // 10 else lambda df: df
     rest = {q: given[q] % n if n else 0 for q, n in summed.items()}
-    kinds = spark.createDataFrame(
-        [(list(q), int(given[q] // n) if n else 0, int(rest[q]), sum(sizes[s] for s in q), float(sum(wanted[s] for s in q))) for q, n in summed.items()],
-        T.StructType([
-            T.StructField(p, T.ArrayType(T.StringType())), T.StructField("passes", T.LongType()), T.StructField("rest", T.LongType()),
-            T.StructField("source_size", T.LongType()), T.StructField("target", T.DoubleType()),
-        ]),
-    )
+    # As an Arrow table: Spark would deal out Python rows through workers of their own, beside those of the operators.
+    columns = {
+        p: pa.array([list(q) for q in summed], pa.list_(pa.string())),
+        "passes": pa.array([int(given[q] // n) if n else 0 for q, n in summed.items()], pa.int64()),
+        "rest": pa.array([int(rest[q]) for q in summed], pa.int64()),
+        "source_size": pa.array([sum(sizes[s] for s in q) for q in summed], pa.int64()),
+        "target": pa.array([float(sum(wanted[s] for s in q)) for q in summed], pa.float64()),
+    }
+    kinds = spark.createDataFrame(pa.table(columns))
     before = F.sum("s").over(Window.partitionBy(p).orderBy("range").rowsBetween(Window.unboundedPreceding, -1))
     ranges = rows.groupBy(p, "range").agg(F.sum("size").alias("s")).withColumn("before", F.coalesce(before, F.lit(0)))
     border = ranges.join(bounded(kinds.select(p, "rest")), p).where((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("s")))

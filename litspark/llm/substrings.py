@@ -82,14 +82,6 @@ def _digests(words):
     return lambda s, e: mix((sums[e] - sums[s]) * back[s] + (e - s).astype(U64) * _LENGTH).view(np.int64)
 
 
-def _wholes():
-    def work(column):
-        words = split_words(column, NOT_BLANK, lower=True)
-        return (pa.array(_digests(words)(words.lo[:-1], words.lo[1:])),)
-
-    return work
-
-
 def _chunks():
     def work(column):
         words = split_words(column, NOT_BLANK, lower=True)
@@ -130,13 +122,19 @@ def _spans(found: DataFrame) -> DataFrame:
     return grouped.mapInArrow(_merge, T.StructType([f for f in grouped.schema if f.name != "places"] + [T.StructField("spans", _SPAN)]))
 
 
-def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks that two documents hold, one row per place: id, whole (digest of the text), n_words, first, size, owner.
+def repeated_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", by_text: bool = False) -> DataFrame:
+    """Chunks that two documents hold, one row per place: id, whole (digest of the text's words), n_words, first, size, owner.
 
-    ``owner`` is the smallest id that holds the chunk, ``id`` is the largest value where it is null.
+    ``owner`` is the smallest id that holds the chunk, ``id`` is the largest value where it is null. With ``by_text``
+    whole is Spark's xxhash64 of the text instead, which tells texts of equal words apart.
     """
     d = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("id"), F.col(text_col).alias("text"))
-    rows = stage(map_text(d, _chunks, CHUNKS, ["id"]).where(F.size("keys") > 0))
+    if by_text:
+        made = map_text(d.withColumn("hash", F.xxhash64("text")), _chunks, CHUNKS, ["id", "hash"])
+        made = made.drop("whole").withColumnRenamed("hash", "whole")
+    else:
+        made = map_text(d, _chunks, CHUNKS, ["id"])
+    rows = stage(made.where(F.size("keys") > 0))
     keys = rows.select("id", F.explode("keys").alias("key"))
     counted = keys.groupBy("key").agg(F.min("id").alias("owner"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n"))
     shared = stage(counted.where("owner != last").select("key", "owner", "n"))
@@ -196,13 +194,13 @@ def _cut(columns: list[str], text: str, hits: str):
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without the chunks that a smaller document holds; all rows and columns stay."""
-    found = repeated_chunks(docs, id_col, text_col).where(F.col("owner") < F.col("id")).distinct()
+    found = repeated_chunks(docs, id_col, text_col, by_text=True).where(F.col("owner") < F.col("id")).distinct()
     spans = stage(_spans(found).select("id", "whole", "spans"))
     hits, key, whole = (free_name(docs, name) for name in ("hits_", "id_", "whole_"))
     spans = spans.toDF(key, whole, hits)
     total = spans.agg(F.sum(F.size(hits))).first()[0] or 0
-    # Spans meet the rows of their text, so rows that share an id, or have none, don't meet in one group.
-    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)))
-    rows = map_text(rows, _wholes, T.StructType([T.StructField(whole, T.LongType())]), rows.columns, text_col)
+    # Spans meet the rows of their text, so rows that share an id, or have none, don't meet in one group. Texts go by a hash
+    # of Spark's: a digest by Python here would be a second worker in each task, beside that which cuts.
+    rows = docs.withColumn(key, F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID))).withColumn(whole, F.xxhash64(text_col))
     joined = rows.join(small(spans, total), [key, whole], "left").drop(key, whole)
     return joined.mapInArrow(_cut(docs.columns, text_col, hits), docs.schema)

@@ -348,6 +348,14 @@ def test_mixing(spark):
     assert mixing.route({("a",): 10, ("b",): 10, ("a", "b"): 10}, {"a": 20, "b": 10}) == {("a",): 10, ("b",): 10, ("a", "b"): 10}
 
 
+def test_mixing_deals_out_no_python_rows(spark, monkeypatch):
+    """Such rows start Python workers of another kind on each executor, beside those that read the texts."""
+    docs = spark.createDataFrame([(i, "w " * (i % 7), None, [None, "a", "b"][i % 3], 0) for i in range(60)], SCHEMA)
+    want = sorted(map(str, mixing.mix_sources(docs).collect()))
+    monkeypatch.setattr(type(spark.sparkContext), "parallelize", lambda *a, **b: pytest.fail("rows dealt out by Python"))
+    assert sorted(map(str, mixing.mix_sources(docs).collect())) == want and len(want) == 60
+
+
 def test_contamination_in_blocks(spark):
     docs, bench = table(spark, SF, "documents"), table(spark, SF, "benchmark")
     rows = lambda n: sorted((r.doc_id, r.n_words, str(r.spans), str(r.item_ids)) for r in con.contaminated_spans(docs, bench, ["doc_id"], block_bytes=n).collect())
@@ -498,6 +506,19 @@ def test_rows_without_id_take_only_their_own_spans(spark, monkeypatch):
     assert [df.count() for df in met] == [300]
 
 
+def test_cutting_takes_one_python_worker_a_task(spark):
+    """Texts of an id that differ in blanks and capitals only are cut alike, each in its own form."""
+    passage = [f"s{k}" for k in range(60)]
+    rows = [(1, " ".join(passage)), (2, "a " + " ".join(passage) + " z"), (2, "a  " + "\t".join(passage) + " z"), (2, "A " + " ".join(passage).upper() + " Z"), (2, None), (None, "n " + " ".join(passage))]
+    cut = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert cut._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow") == 1
+    got = [(r.doc_id, r.text) for r in cut.collect()]
+    assert len(got) == 6 and (1, " ".join(passage)) in got and (2, None) in got
+    forms = sorted(t for i, t in got if i == 2 and t)
+    assert [t[:3] for t in forms] == ["A S", "a  ", "a s"] and len({tuple(blanks(t, lower=True)) for t in forms}) == 1
+    assert all(len(blanks(t)) < 30 for i, t in got if i != 1 and t)
+
+
 def test_short_words_share_chunks():
     draw = random.Random(4)
     for size in (1, 1, 1, 2, 9):
